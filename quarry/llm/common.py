@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A settled table as a broadcast side where it has few rows; beyond that Spark picks the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def text_batches(batch: pa.RecordBatch, texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch, of about `most` bytes of text or one text each, so that memory is bounded by the longest text."""
+    start, held = 0, 0
+    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+        if i > start and held + (n or 0) > most:
+            yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
+            start, held = i, 0
+        held += n or 0
+    if start < len(texts):
+        yield batch.slice(start), texts.slice(start).to_pylist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing",)
+MODULES = ("mixing", "token_counts", "bpe")
 
 
 def queries() -> dict:
