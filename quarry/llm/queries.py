@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "quality", "token_counts", "language_id", "bpe")
+MODULES = ("mixing", "quality", "token_counts", "ngram_join", "language_id", "bpe")
 
 
 def queries() -> dict:
