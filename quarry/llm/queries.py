@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "hamming", "quality", "token_counts", "ngram_join", "nearest", "language_id", "bpe")
+MODULES = ("mixing", "hamming", "token_store", "quality", "token_counts", "ngram_join", "nearest", "language_id", "bpe")
 
 
 def queries() -> dict:
