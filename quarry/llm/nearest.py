@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -52,7 +52,7 @@ def bounds(bits: np.ndarray, length: np.ndarray, own: np.ndarray, q: np.ndarray,
     return both - cross * np.minimum(guess + error, 1) - slack, both - cross * np.maximum(guess - error, -1) + slack
 
 
-def search(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", k: int = 10, every: int = 100, bits: int = 512, sure: float = 2.6, shard: int = 8192, block: int = 512) -> DataFrame:
+def search(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", k: int = 10, every: int = 100, bits: int = 512, sure: float = 2.6, shard: int = 32_768, block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest others by Euclidean distance,
     ties to smaller ids; fewer if there are fewer. score is the exact distance in double precision. sure: half-widths of
     the error bound; shard and block bound the codes and queries a task holds. Rows that take no part: see vectors.usable."""
@@ -74,36 +74,41 @@ def search(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", k: in
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                x = part.column(1).flatten().to_numpy().reshape(-1, d)
+                x = part.column(2).flatten().to_numpy().reshape(-1, d)
                 packed, length, own = encode(x, mean, turn)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in packed], pa.binary()), pa.array(length, pa.float64()), pa.array(own.astype("f8"), pa.float64())], ["code_id", "bits", "length", "own"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([b.tobytes() for b in packed], pa.binary()), pa.array(length, pa.float64()), pa.array(own.astype("f8"), pa.float64()), part.column(2)], ["code_id", "v_id", "bits", "length", "own", "x"])
 
-    coded = settle(keyed.select("code_id", "key").mapInArrow(code, "code_id long, bits binary, length double, own double"))
+    coded = keyed.select("code_id", "v_id", "key").mapInArrow(code, "code_id long, v_id long, bits binary, length double, own double, x array<double>")
     asked = settle(queries.select("qkey").distinct().join(keyed.select(F.col("code_id").alias("qkey"), F.col("key").alias("q")), "qkey"))
     shards, blocks = -(-total // shard), max(1, -(-asked.count() // block))
     left = asked.withColumn("b", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = coded.withColumn("s", F.pmod(F.xxhash64("code_id"), F.lit(shards)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(c):
-            turn = rotation(d, width, turn_seed)
-            packed = np.frombuffer(b"".join(c["bits"]), "u1").reshape(len(c), -1)
-            ids = c["code_id"].to_numpy()
-            for at in range(0, len(q), 64):
-                some = q.iloc[at : at + 64]
-                low, high = bounds(packed, c["length"].to_numpy(), c["own"].to_numpy(), np.stack(some["q"]), mean, turn, sure)
-                most = np.partition(high, min(k, len(c) - 1), axis=1)[:, min(k, len(c) - 1)] if len(c) > k else np.full(len(some), np.inf)
-                i, j = np.nonzero(low <= most[:, None])
-                out.append(pd.DataFrame({"qkey": some["qkey"].to_numpy()[i], "code_id": ids[j], "low": low[i, j], "high": high[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"qkey": [], "code_id": [], "low": [], "high": []})
-
-    met = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(compare, "qkey long, code_id long, low double, high double")
-    met = settle(met)
-    # Over all shards the (k + 1)-th smallest upper bound is lower still; one of the k + 1 is the query itself.
-    order = Window.partitionBy("qkey").orderBy("high")
-    limit = met.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1).groupBy("qkey").agg(F.count(F.lit(1)).alias("n"), F.max("high").alias("most"))
-    chosen = met.join(limit, "qkey").where((F.col("n") <= k) | (F.col("low") <= F.col("most"))).select("qkey", "code_id")
+        if not len(q) or not len(c):
+            return pd.DataFrame({"qkey": np.zeros(0, "i8"), "code_id": np.zeros(0, "i8")})
+        turn, asked = rotation(d, width, turn_seed), np.stack(q["q"].to_numpy())
+        row, far, name, code = [np.zeros(0, t) for t in ("i8", "f8", "i8", "i8")]  # the best so far
+        reach = np.full(len(q), np.inf)
+        for at in range(0, len(c), 2048):
+            some = c.iloc[at : at + 2048]
+            packed = np.frombuffer(b"".join(some["bits"]), "u1").reshape(len(some), -1)
+            low, high = bounds(packed, some["length"].to_numpy(), some["own"].to_numpy(), asked, mean, turn, sure)
+            most = np.minimum(reach, np.partition(high, k, axis=1)[:, k]) if len(some) > k else reach
+            i, j = np.nonzero(low <= most[:, None])
+            x = np.stack(some["x"].to_numpy())
+            exact = np.concatenate([((x[j[n : n + 20_000]] - asked[i[n : n + 20_000]]) ** 2).sum(1) for n in range(0, len(j), 20_000)] or [np.zeros(0)])
+            row, far, name, code = np.concatenate([row, i]), np.concatenate([far, exact]), np.concatenate([name, some["v_id"].to_numpy()[j]]), np.concatenate([code, some["code_id"].to_numpy()[j]])
+            order = np.lexsort((name, far, row))
+            row, far, name, code = row[order], far[order], name[order], code[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+            full = row[place == k]
+            reach[full] = far[place == k]
+            row, far, name, code = row[place <= k], far[place <= k], name[place <= k], code[place <= k]
+        return pd.DataFrame({"qkey": q["qkey"].to_numpy()[row], "code_id": code})
+
+    # The k + 1 nearest of each shard, one of which may be the query itself; their exact distances decide.
+    chosen = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(compare, "qkey long, code_id long")
     exact = chosen.join(keyed.select("code_id", "ids", "key"), "code_id").join(asked, "qkey")
     apart = F.aggregate(F.zip_with("key", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return ranked(exact.select("qkey", "ids", F.sqrt(apart).alias("score")), queries, "score", k)
