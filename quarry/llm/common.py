@@ -36,6 +36,24 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Held:
+    """Small tables that several jobs read, kept by the executors (and computed again if one is lost) until the block ends."""
+
+    def __init__(self):
+        self._frames: list[DataFrame] = []
+
+    def __enter__(self) -> Held:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self._frames.append(df.persist())
+        return self._frames[-1]
+
+    def __exit__(self, *_) -> None:
+        for df in self._frames:
+            df.unpersist()
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null. Each word becomes one mark, so memory stays near the text's own size."""
     marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]++", "x")

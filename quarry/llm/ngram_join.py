@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, settle, table, text_batches
+from .common import Held, broadcast_if_small, settle, table, text_batches
 from .graph import components
 
 BUCKETS = 1 << 20
@@ -117,6 +117,11 @@ def _class_id(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    """The parity of the n-grams in each of 512 cells: it differs in at most as many cells as two sets differ in n-grams."""
+    return np.packbits(np.bincount((h >> np.uint64(21) & np.uint64(511)).astype("i8"), minlength=512) & 1).tobytes()
+
+
 def needed(nx, ny, percent: int):
     """The smallest overlap at which sets of these sizes link: 100 * overlap >= percent * union."""
     return -((-percent * (nx + ny)) // (100 + percent))
@@ -230,10 +235,10 @@ def _with_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
     return held.mapInArrow(run, "gid string, class_id long, grams binary")
 
 
-def _split_groups(members: DataFrame, most: int, grams: int) -> DataFrame:
+def _split_groups(held: Held, members: DataFrame, most: int, grams: int) -> DataFrame:
     """members(gid, class_id, rep, n) with large groups dealt into parts of about `most` sets or `grams` n-grams; groups of one go."""
     sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("__k"), F.sum("n").alias("__n")).where("__k > 1")
-    sizes = settle(sizes.select(F.col("gid").alias("__gid"), F.ceil(F.greatest(F.col("__k") / most, F.col("__n") / grams)).alias("__parts")))
+    sizes = held(sizes.select(F.col("gid").alias("__gid"), F.ceil(F.greatest(F.col("__k") / most, F.col("__n") / grams)).alias("__parts")))
     part = F.pmod(F.xxhash64("class_id"), F.col("__parts"))
     return members.join(broadcast_if_small(sizes), F.col("gid") == F.col("__gid")).select(F.concat_ws("-", "gid", part).alias("gid"), "class_id", "rep", "n")
 
@@ -252,84 +257,100 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", n: i
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_batches(batch, batch.column(1)):
-                sizes, ids, anchors, heads = [], [], [], []
+                sizes, ids, anchors, sketches, heads = [], [], [], [], []
                 for t in texts:
                     h = shingles(t, n)
                     sizes.append(len(h))
                     ids.append(_class_id(h) if len(h) else None)
                     anchors.append(int((h * np.uint64(0xD6E8FEB86659FD93) ^ h >> np.uint64(31)).min().astype("i8")) if len(h) else None)
+                    sketches.append(_sketch(h))
                     heads.append(_ordered(h, levels)[: len(h) - -(-percent * len(h) // 100) + 1].astype("i8"))
                 ends = np.cumsum([0, *map(len, heads)]).astype("i4")
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*heads, np.zeros(0, "i8")])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(anchors, pa.int64()), lists], ["doc_id", "n", "class_id", "anchor", "head"])
+                cells = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(sketches), "i8")), 8).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(anchors, pa.int64()), cells, lists], ["doc_id", "n", "class_id", "anchor", "sketch", "head"])
 
-    all_rows = settle(docs.mapInArrow(begin, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class_id long, anchor long, head array<long>"))
-    classes = all_rows.where("class_id is not null").groupBy("class_id").agg(F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.first("head").alias("head"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = settle(classes)
+    all_rows = settle(docs.mapInArrow(begin, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class_id long, anchor long, sketch array<long>, head array<long>"))
+    classes = all_rows.where("class_id is not null").groupBy("class_id").agg(F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.first("sketch").alias("sketch"), F.first("head").alias("head"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
     def look_up(members: DataFrame) -> DataFrame:
         return _links_in_groups(_with_sets(docs, members, "doc_id", "text", n, levels), percent)
 
     branches = classes.select(F.col("anchor").cast("string").alias("gid"), "class_id", "rep", "n")
-    edges = settle(look_up(_split_groups(branches, most, grams)))
-    known = components(edges)
-    for last in (False, True):
-        pairs = _open_pairs(classes, known, percent, last)
-        if pairs.limit(1).count():
-            edges = settle(edges.unionAll(look_up(_pair_groups(pairs, most))))
-            known = components(edges)
-    return _label(all_rows, classes, known)
+    with Held() as held:
+        classes = held(classes)
+        edges = held(look_up(_split_groups(held, branches, most, grams)))
+        known = components(edges)
+        posts = held(_open_posts(held, classes, known, percent))
+        for last in (False, True):
+            pairs = held(_open_pairs(held, posts, known, percent, last))
+            if pairs.limit(1).count():
+                edges = held(edges.unionAll(look_up(_pair_groups(held, pairs, most))))
+                known = components(edges)
+        return _label(held, all_rows, classes, known)
+
+
+def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with c, the component of class_id, and many: whether that has several members."""
+    of = known.select(F.col("node").alias("__node"), "component")
+    joined = rows.join(broadcast_if_small(of, 500_000), F.col("class_id") == F.col("__node"), "left")
+    return joined.select(*rows.columns, F.coalesce("component", "class_id").alias("c"), F.col("component").isNotNull().alias("many"))
+
 
+def _open_posts(held: Held, classes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """class_id, rep, n, p, sketch, at, gram: the beginnings of sets, only n-grams that different components have there."""
+    posts = _labelled(classes.select("class_id", "rep", "n", "sketch", "head"), known)
+    posts = posts.select("class_id", "rep", "n", F.size("head").alias("p"), "sketch", "c", F.posexplode("head").alias("at", "gram"))
+    state = posts.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
+    grams = held(state.select(F.col("gram").alias("__gram")))
+    return posts.join(broadcast_if_small(grams, 2_000_000), F.col("gram") == F.col("__gram")).drop("__gram", "c")
 
-def _open_pairs(classes: DataFrame, known: DataFrame, percent: int, last: bool) -> DataFrame:
+
+def _open_pairs(held: Held, posts: DataFrame, known: DataFrame, percent: int, last: bool) -> DataFrame:
     """Pairs of classes of different components that may link: x, x_rep, y, y_rep.
 
-    Two linked sets share an n-gram among the first of both. last: all such pairs whose shared n-grams there, with all
-    that may follow, reach the threshold. Otherwise one pair for each two components, of which one has several members.
+    last: all such pairs whose shared n-grams among the first, with all that may follow, reach the threshold. Otherwise
+    one pair for each two components, of which one has several members. A pair is left out, too, if the place of an
+    n-gram leaves too few for the rest, or if the sketches show that the sets differ in too many n-grams.
     """
-    of = known.select(F.col("node").alias("__node"), "component")
-    labelled = classes.join(broadcast_if_small(of, 500_000), F.col("class_id") == F.col("__node"), "left")
-    labelled = labelled.select("class_id", "rep", "n", "head", F.coalesce("component", "class_id").alias("c"), F.col("component").isNotNull().alias("many"))
-    posts = labelled.select("class_id", "rep", "n", F.size("head").alias("p"), "c", "many", F.posexplode("head").alias("at", "gram"))
-    state = posts.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("many").alias("m")).where("a <> b")
-    if not last:
-        state = state.where("m")
-    open_grams = settle(state.select(F.col("gram").alias("__gram")))
-    posts = posts.join(broadcast_if_small(open_grams, 500_000), F.col("gram") == F.col("__gram")).drop("__gram")
+    posts = _labelled(posts, known)
     if not last:
-        posts = posts.groupBy("gram", "c").agg(F.min(F.struct("n", "class_id", "rep", "p", "at", "many")).alias("s")).select("gram", "c", "s.*")
-    posts = settle(posts)
+        posts = posts.groupBy("gram", "c").agg(F.min(F.struct("n", "class_id", "rep", "p", "sketch", "at", "many")).alias("s")).select("gram", "c", "s.*")
+    posts = held(posts)
     x, y = posts.alias("x"), posts.alias("y")
+    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
+    room = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    differ = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(8)), F.lit(0))
     first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class_id") < F.col("y.class_id")))
     fits = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & first & (F.col("x.n") * 100 >= F.col("y.n") * percent)
-    met = x.join(y, fits)
+    met = x.join(y, fits & (room >= need) & (differ <= F.col("x.n") + F.col("y.n") - 2 * need))
     if last:
         most = F.greatest(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
         met = met.groupBy(F.col("x.class_id").alias("x"), F.col("y.class_id").alias("y")).agg(*[F.first(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("n", "p")], F.min("x.at").alias("xat"), F.min("y.at").alias("yat"), F.first("x.rep").alias("x_rep"), F.first("y.rep").alias("y_rep"), F.count(F.lit(1)).alias("shared"))
         most = F.least(F.col("shared") + most, F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))
         met = met.where(most * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
-    else:
-        low, high = F.least("x.c", "y.c"), F.greatest("x.c", "y.c")
-        met = met.where("x.many or y.many").groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("x.class_id", "x.rep", "y.class_id", "y.rep")).alias("s"))
-        met = met.select("s.*").toDF("x", "x_rep", "y", "y_rep")
-    return settle(met.select("x", "x_rep", "y", "y_rep"))
+        return met.select("x", "x_rep", "y", "y_rep")
+    low, high = F.least("x.c", "y.c"), F.greatest("x.c", "y.c")
+    met = met.where("x.many or y.many").groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("x.class_id", "x.rep", "y.class_id", "y.rep")).alias("s"))
+    return met.select("s.*").toDF("x", "x_rep", "y", "y_rep")
 
 
-def _pair_groups(pairs: DataFrame, most: int) -> DataFrame:
+def _pair_groups(held: Held, pairs: DataFrame, most: int) -> DataFrame:
     """members(gid, class_id, rep): each x with the sets it is to be compared with, dealt into groups of about `most`."""
-    parts = settle(pairs.groupBy(F.col("x").alias("__x")).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")))
+    parts = held(pairs.groupBy(F.col("x").alias("__x")).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")))
     dealt = pairs.join(broadcast_if_small(parts), F.col("x") == F.col("__x")).withColumn("gid", F.concat_ws("-", "x", F.pmod(F.xxhash64("y"), F.col("__parts"))))
     own = dealt.select("gid", F.col("x").alias("class_id"), F.col("x_rep").alias("rep")).distinct()
     return own.unionAll(dealt.select("gid", F.col("y").alias("class_id"), F.col("y_rep").alias("rep")))
 
 
-def _label(rows: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+def _label(held: Held, rows: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
     """Only classes of several documents or sets need a look-up; any other document is its own component."""
     of = known.select(F.col("node").alias("__node"), "component")
-    held = classes.select("class_id", "rep", "copies").join(of, F.col("class_id") == F.col("__node"), "left").where("copies > 1 or component is not null")
-    held = settle(held.select("class_id", "rep", F.coalesce("component", "class_id").alias("c")))
-    least = settle(held.groupBy(F.col("c").alias("__c")).agg(F.min("rep").alias("component_id")))
-    labels = settle(held.join(least, F.col("c") == F.col("__c")).select(F.col("class_id").alias("__class"), "component_id"))
+    named = classes.select("class_id", "rep", "copies").join(of, F.col("class_id") == F.col("__node"), "left").where("copies > 1 or component is not null")
+    named = held(named.select("class_id", "rep", F.coalesce("component", "class_id").alias("c")))
+    least = held(named.groupBy(F.col("c").alias("__c")).agg(F.min("rep").alias("component_id")))
+    parts = max(1, -(-named.count() // 200_000))
+    labels = settle(named.join(least, F.col("c") == F.col("__c")).select(F.col("class_id").alias("__class"), "component_id").coalesce(parts))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class_id").join(broadcast_if_small(labels, 500_000), F.col("class_id") == F.col("__class"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id")
 
