@@ -1,7 +1,7 @@
 """Byte-level BPE through a table of distinct words: each word is encoded once, its ids joined back by position.
 
-Texts are split where the tokenizer's own pattern always splits: before a space that follows a character that isn't
-white space. Each distinct word of a batch that the worker's table lacks is encoded once, with the others in one call;
+Texts are split where the tokenizer's own pattern always splits: before a space or line end that follows a character
+that isn't white space. Each distinct word of a batch that the worker's table lacks is encoded once, with the others in one call;
 the ids of a text are those of its words in order. Ids are decoded by a join with the vocabulary's id-to-piece table.
 
 The table is kept for each worker and bounded. A table shared through a shuffle would move every (text, word) pair
@@ -24,11 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import table, text_batches
 
-#: White space before a space: there the tokenizer's pattern looks at the run as a whole.
-_RUN = re.compile(r"\s ")
 _PARTS = re.compile(r"\S+|\s+\S*")
-#: Python counts these as white space, the tokenizer's pattern doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
+#: \0 marks the splits; Python counts the others as white space, the tokenizer's pattern doesn't.
+_ODD = ("\0", "\x1c", "\x1d", "\x1e", "\x1f")
 _JOINED = 400  # words encoded in one string
 _LONG = 256  # words as long aren't kept
 
@@ -43,7 +41,7 @@ def _byte_of_char() -> dict[str, int]:
 class WordTable:
     """Words and their ids, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,7 +51,7 @@ class WordTable:
         with open(path, encoding="utf-8") as f:
             added = {x["id"]: x["content"] for x in json.load(f)["added_tokens"]}
         chars = _byte_of_char()
-        self.added = tuple(added.values())
+        self.whole = (*_ODD, *added.values())
         self.pieces: list[bytes] = [b""] * self.library.get_vocab_size(with_added_tokens=True)
         for piece, i in self.library.get_vocab(with_added_tokens=True).items():
             self.pieces[i] = added[i].encode() if i in added else bytes(chars[c] for c in piece)
@@ -68,7 +66,7 @@ class WordTable:
         groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
         for group, found in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w.encode()) for w in group])) + 1
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in group])) + 1
             data, at = ids.tobytes(), 0
             for word, end in zip(group, ends.tolist(), strict=True):
                 self.new[word] = data[4 * at : 4 * end]
@@ -76,34 +74,53 @@ class WordTable:
 
     def _split(self, text: str) -> list[str] | None:
         """The text's words, each with the white space before it; None if the library must see the text whole."""
-        if "\0" in text or _ODD.search(text):
+        if any(x in text for x in self.whole):
             return None
-        return _PARTS.findall(text) if _RUN.search(text) else text.replace(" ", "\0 ").split("\0")
+        words = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+        # As many as all white space gives: each stretch of it is one space or line end. Else the pattern looks at runs as a whole.
+        return words if len(text.split()) == len(words) - (not words[0]) else _PARTS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the library gives them with add_special_tokens=False."""
-        split, missing = [self._split(t) for t in texts], {}
+        split, found, missing = [self._split(t) for t in texts], [], {}
         for words in split:
-            for w in words or ():
+            found.append(ids := list(map(self.new.get, words or ())))
+            if None in ids:
+                for i, x in enumerate(ids):
+                    if x is None:
+                        w = words[i]
+                        if (x := self.old.get(w)) is None:
+                            missing[w] = None
+                        else:
+                            self.new[w] = ids[i] = x
+        # A letter and the mark after it never share a token: most words that end so are known without it.
+        tails = {w: (w[:-1], w[-1]) for w in missing if w[-1:] in (",", ".") and w[-2:-1].isalpha()}
+        for core, tail in tails.values():
+            for w in (core, tail):
                 if w not in self.new:
-                    if (found := self.old.get(w)) is not None:
-                        self.new[w] = found
-                    else:
+                    if (x := self.old.get(w)) is None:
                         missing[w] = None
+                    else:
+                        self.new[w] = x
+        for w in tails:
+            del missing[w]
         # In a joined string a word must begin with white space and end without, as words do in a text.
-        self._learn([w for w in missing if len(w) < _LONG and w[:1].isspace() and not w[-1].isspace() and not any(a in w for a in self.added)])
+        joined = [w for w in missing if w[:1] in (" ", "\n") and len(w) < _LONG and not w[-1].isspace()]
+        self._learn(joined)
         once = {}
         for w in missing:
             if w not in self.new:
                 (once if len(w) >= _LONG else self.new)[w] = self._whole(w)
+        for w, (core, tail) in tails.items():
+            (once if len(w) >= _LONG else self.new)[w] = (once[core] if core in once else self.new[core]) + self.new[tail]
         out = []
-        for text, words in zip(texts, split, strict=True):
+        for text, words, ids in zip(texts, split, found, strict=True):
             if words is None:
                 out.append(self._whole(text))
-            elif once:
-                out.append(b"".join([once[w] if w in once else self.new[w] for w in words]))
-            else:
-                out.append(b"".join(map(self.new.__getitem__, words)))
+                continue
+            if None in ids:
+                ids = [(once[w] if w in once else self.new[w]) if x is None else x for w, x in zip(words, ids, strict=True)]
+            out.append(b"".join(ids))
         if len(self.new) > self.most // 2:
             self.old, self.new = self.new, {}
         return out
@@ -115,12 +132,12 @@ class WordTable:
 
 
 @functools.lru_cache(maxsize=1)
-def word_table(path: str, most: int = 500_000) -> WordTable:
+def word_table(path: str, most: int = 800_000) -> WordTable:
     """One for each worker process; later tasks find earlier words."""
     return WordTable(path, most)
 
 
-def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 500_000) -> DataFrame:
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 800_000) -> DataFrame:
     """A row for each row of docs: doc_id, ids array<int>, decoded. Null texts count as empty: no ids, decoded ''.
 
     kept_words bounds a worker's table. Repeated rows and ids are encoded row by row; other columns are ignored.
@@ -140,7 +157,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
     return _rows(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 500_000) -> DataFrame:
+def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 800_000) -> DataFrame:
     """encode_and_decode, but of ids and decoded text only the digests leave the task: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

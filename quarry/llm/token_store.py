@@ -101,7 +101,7 @@ def _unpacked(data: bytes, wide: bool) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4" if wide else "<u2").astype("<u4")
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id", text_col="text", end_id: int = 0, kept_words: int = 500_000) -> None:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id", text_col="text", end_id: int = 0, kept_words: int = 800_000) -> None:
     """Encode each text, append end_id, and write the store. Null texts count as empty: the end id alone.
 
     Documents stand in ascending doc_id order, null ids last; rows of one id in the order of their roots. Other columns
