@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The word class of the contracts: runs of anything but ASCII space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,3 +91,17 @@ def text_batches(batch: pa.RecordBatch, texts: pa.Array, most: int = 4_000_000)
         held += n or 0
     if start < len(texts):
         yield batch.slice(start), texts.slice(start).to_pylist()
+
+
+def keep_rows(docs: DataFrame, text_col: str, decide: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of docs whose text decide() accepts, with all their columns, whatever their names."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_batches(batch, batch.column(at)):
+                yield part.filter(pa.array(decide(texts), pa.bool_()))
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kind = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)])
+    return docs.toDF(*names).mapInArrow(run, kind).toDF(*docs.columns)

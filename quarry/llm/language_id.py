@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learnable, table, text_batches, unit_hash
+from .common import keep_rows, learnable, table, text_batches, unit_hash
 
 DIMS = 4096
 SEED = 7
@@ -117,29 +117,42 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
     return names, fit(x, y, len(names)) if len(names) > 1 else {"code": np.ones((1, 0), "f4")}
 
 
-def identify(docs: DataFrame, names: list[str], model: dict | None, *, id_col="doc_id", text_col="text", keep: tuple[str, ...] = (), close: float = 0.1) -> DataFrame:
-    """A row for each row of docs: id, the columns in keep, lang_pred, score, margin, ambiguous.
+def judge(texts: list[str | None], names: list[str], model: dict | None) -> tuple[list[str], list[float], list[float]]:
+    """(language, score, margin) of each text; 'und', 0, 0 for null texts, texts without a letter, and where nothing was learned."""
+    full = [i for i, t in enumerate(texts) if names and has_letter(t)]
+    lang, score, margin = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    for at in range(0, len(full), 256):
+        some = full[at : at + 256]
+        for i, k, s, m in zip(some, *decode(model, np.stack([features(texts[i]) for i in some])), strict=True):
+            lang[i], score[i], margin[i] = names[k], float(s), float(m)
+    return lang, score, margin
 
-    Null texts, texts without a letter and all texts where no language was learned: 'und', score 0, ambiguous.
+
+def identify(docs: DataFrame, names: list[str], model: dict | None, *, id_col="doc_id", text_col="text", close: float = 0.1) -> DataFrame:
+    """A row for each row of docs: doc_id, lang_pred, score, margin, ambiguous (margin below close).
+
+    See judge() for texts without a language. Repeated rows and ids are judged row by row; other columns are ignored.
     """
-    names = list(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_batches(batch, batch.column(0)):
-                full = [i for i, t in enumerate(texts) if names and has_letter(t)]
-                lang, score, margin = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-                for at in range(0, len(full), 256):
-                    some = full[at : at + 256]
-                    for i, k, s, m in zip(some, *decode(model, np.stack([features(texts[i]) for i in some])), strict=True):
-                        lang[i], score[i], margin[i] = names[k], float(s), float(m)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], [*part.schema.names[1:], "lang_pred", "score", "margin"])
-
-    kept = [id_col, *[c for c in keep if c != id_col]]
-    fields = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
-    rows = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)])
-    out = rows.mapInArrow(run, f"{fields}, lang_pred string, score double, margin double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "lang_pred", "score", "margin", (F.col("margin") < close).alias("ambiguous"))
+            for part, texts in text_batches(batch, batch.column(1)):
+                lang, score, margin = judge(texts, names, model)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, margin double")
+    return out.withColumn("ambiguous", F.col("margin") < close)
+
+
+def keep_identified(docs: DataFrame, names: list[str], model: dict | None, *, text_col="text", close: float = 0.1) -> DataFrame:
+    """The rows of docs whose language is known and not ambiguous, with all their columns."""
+
+    def decide(texts: list[str | None]) -> list[bool]:
+        lang, _, margin = judge(texts, names, model)
+        return [k != "und" and m >= close for k, m in zip(lang, margin, strict=True)]
+
+    return keep_rows(docs, text_col, decide)
 
 
 def op9_language_id(spark, sf_dir):

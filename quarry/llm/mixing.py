@@ -98,7 +98,10 @@ def _times() -> Column:
 
 
 def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as often as the mix takes it. With few sources the rows meet the plan where they are read."""
+    """docs, each row as often as the mix takes it. With few sources the rows meet the plan where they are read.
+
+    Columns named like the working columns here (two leading underscores) are not allowed; any other names are.
+    """
     o = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "bins": 4096, "seed": SEED} | options
     _, plan = mix_plan(docs, **options)
     own = docs.columns

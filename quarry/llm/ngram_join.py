@@ -355,6 +355,24 @@ def _label(held: Held, rows: DataFrame, classes: DataFrame, known: DataFrame) ->
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id")
 
 
+def keep_one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs less all but one of each group that links join: the one of the smallest id stays.
+
+    Where ids are null or repeat, rows are told apart by their place, and of equal ids the first row stays. Rows
+    without words all stay.
+    """
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("k")).where("k > 1 or id is null")
+    if ids.limit(1).count():
+        key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
+    else:
+        key = F.col(id_col)
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], key.alias("__key"))
+    found = similar_documents(rows, id_col="__key", text_col=f"c{docs.columns.index(text_col)}", n=n, percent=percent)
+    gone = settle(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
+    kept = rows.join(broadcast_if_small(gone, 500_000), F.col("__key") == F.col("__gone"), "left_anti")
+    return kept.drop("__key").toDF(*docs.columns)
+
+
 def op7_ngram_join(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents"), n=4, percent=85)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, learnable, settle, table, text_batches, unit_hash
+from .common import broadcast_if_small, keep_rows, learnable, settle, table, text_batches, unit_hash
 
 SEED = 11
 _ENDS = re.compile(r"[.!?]+")
@@ -119,20 +119,26 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     return boost(x, found["y"].to_numpy().astype("f8"))
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], *, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each row of docs: id, the columns in keep, score, predicted. Null texts score as empty ones."""
+def judge(texts: list[str | None], model: dict[str, np.ndarray]) -> np.ndarray:
+    return traverse(model, np.array([statistics(t) for t in texts], "f8").reshape(-1, len(NAMES)))
+
+
+def score(docs: DataFrame, model: dict[str, np.ndarray], *, id_col="doc_id", text_col="text") -> DataFrame:
+    """A row for each row of docs: doc_id, score, predicted (1 from 0.5 on). Null texts score as empty ones; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_batches(batch, batch.column(0)):
-                p = traverse(model, np.array([statistics(t) for t in texts], "f8").reshape(-1, len(NAMES)))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p, pa.float64())], [*part.schema.names[1:], "score"])
-
-    kept = [id_col, *[c for c in keep if c != id_col]]
-    fields = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
-    rows = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)])
-    out = rows.mapInArrow(run, f"{fields}, score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+            for part, texts in text_batches(batch, batch.column(1)):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(judge(texts, model), pa.float64())], ["doc_id", "score"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: dict[str, np.ndarray], *, text_col="text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score at least `least`, with all their columns."""
+    return keep_rows(docs, text_col, lambda texts: (judge(texts, model) >= least).tolist())
 
 
 def op4_quality(spark, sf_dir):
