@@ -316,7 +316,6 @@ def _open_pairs(held: Held, posts: DataFrame, known: DataFrame, percent: int, la
     posts = _labelled(posts, known)
     if not last:
         posts = posts.groupBy("gram", "c").agg(F.min(F.struct("n", "class_id", "rep", "p", "sketch", "at", "many")).alias("s")).select("gram", "c", "s.*")
-    posts = held(posts)
     x, y = posts.alias("x"), posts.alias("y")
     need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
     room = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
