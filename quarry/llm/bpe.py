@@ -16,19 +16,22 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import parts_of, table
 
 _PARTS = re.compile(r"\S+|\s+\S*")
 #: \0 marks the splits; Python counts the others as white space, the tokenizer's pattern doesn't.
 _ODD = ("\0", "\x1c", "\x1d", "\x1e", "\x1f")
 _JOINED = 400  # words encoded in one string
 _LONG = 256  # words as long aren't kept
+_LEADS = (" ", "\n")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -72,59 +75,78 @@ class WordTable:
                 self.new[word] = data[4 * at : 4 * end]
                 at = end
 
-    def _split(self, text: str) -> list[str] | None:
-        """The text's words, each with the white space before it; None if the library must see the text whole."""
-        if any(x in text for x in self.whole):
-            return None
-        words = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        # As many as all white space gives: each stretch of it is one space or line end. Else the pattern looks at runs as a whole.
-        return words if len(text.split()) == len(words) - (not words[0]) else _PARTS.findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as the library gives them with add_special_tokens=False."""
-        split, found, missing = [self._split(t) for t in texts], [], {}
-        for words in split:
-            found.append(ids := list(map(self.new.get, words or ())))
-            if None in ids:
-                for i, x in enumerate(ids):
-                    if x is None:
-                        w = words[i]
-                        if (x := self.old.get(w)) is None:
-                            missing[w] = None
-                        else:
-                            self.new[w] = ids[i] = x
-        # A letter and the mark after it never share a token: most words that end so are known without it.
-        tails = {w: (w[:-1], w[-1]) for w in missing if w[-1:] in (",", ".") and w[-2:-1].isalpha()}
-        for core, tail in tails.values():
-            for w in (core, tail):
-                if w not in self.new:
-                    if (x := self.old.get(w)) is None:
-                        missing[w] = None
-                    else:
-                        self.new[w] = x
-        for w in tails:
-            del missing[w]
-        # In a joined string a word must begin with white space and end without, as words do in a text.
-        joined = [w for w in missing if w[:1] in (" ", "\n") and len(w) < _LONG and not w[-1].isspace()]
-        self._learn(joined)
-        once = {}
-        for w in missing:
-            if w not in self.new:
-                (once if len(w) >= _LONG else self.new)[w] = self._whole(w)
-        for w, (core, tail) in tails.items():
-            (once if len(w) >= _LONG else self.new)[w] = (once[core] if core in once else self.new[core]) + self.new[tail]
-        out = []
-        for text, words, ids in zip(texts, split, found, strict=True):
-            if words is None:
-                out.append(self._whole(text))
-                continue
-            if None in ids:
-                ids = [(once[w] if w in once else self.new[w]) if x is None else x for w, x in zip(words, ids, strict=True)]
-            out.append(b"".join(ids))
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, as the library gives them with add_special_tokens=False.
+
+        Words are told apart and numbered column-wise; only distinct words are looked up in the table.
+        """
+        if not len(texts):
+            return []
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        split = pc.split_pattern(marked, "\0")
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        once = self._know({w for w in distinct if w not in self.new})
+        found = [once[w] if w in once else self.new[w] for w in distinct]
+        ids = np.frombuffer(b"".join([x or b"" for x in found]), "<u4")
+        size = np.array([len(x or b"") // 4 for x in found], "i4")
+        first = np.concatenate([[0], np.cumsum(size[:-1])]).astype("i4")
+        # Join the ids back by position: word after word, each with its run of ids.
+        word = coded.indices.to_numpy()
+        n = size[word]
+        ends = np.concatenate([[0], np.cumsum(n, dtype="i8")])
+        flat = ids[np.repeat(first[word] - ends[:-1].astype("i4"), n) + np.arange(ends[-1], dtype="i4")]
+        borders = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        out = np.split(flat, ends[borders[1:-1]])
+        odd = functools.reduce(pc.or_, [pc.match_substring(texts, x) for x in self.whole]).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.frombuffer(self._whole(texts[i].as_py()), "<u4")
+        # Words that end with white space have no ids of their own: their texts hold longer runs of it.
+        blank = np.array([x is None for x in found])
+        if blank.any():
+            for i in np.unique(np.searchsorted(borders, np.flatnonzero(blank[word]), side="right") - 1).tolist():
+                if not odd[i]:
+                    out[i] = np.frombuffer(self._by_runs(texts[i].as_py()), "<u4")
         if len(self.new) > self.most // 2:
             self.old, self.new = self.new, {}
         return out
 
+    def _by_runs(self, text: str) -> bytes:
+        """For texts with longer runs of white space, which the pattern looks at as a whole."""
+        words = _PARTS.findall(text)
+        tail = words.pop() if words and words[-1][-1].isspace() else ""
+        once = self._know({w for w in words if w not in self.new})
+        return b"".join([once[w] if w in once else self.new[w] for w in words]) + self._whole(tail)
+
+    def _know(self, lacking: set[str]) -> dict[str, bytes]:
+        """Have the table hold the words that it lacks; those too long to keep are returned."""
+        new, old = self.new, self.old
+        held = [w for w in lacking if w in old]
+        new.update(zip(held, map(old.__getitem__, held), strict=True))
+        lacking.difference_update(held)
+        # A letter and the marks after it never share a token: most words that end so are known without them.
+        cores = {w: c for w in lacking if (c := w.rstrip(punctuation)) is not w and c[-1:].isalpha()}
+        lacking.difference_update(cores)
+        for w, c in cores.items():
+            for part in (c, w[len(c) :]):
+                if part not in new:
+                    if part in old:
+                        new[part] = old[part]
+                    else:
+                        lacking.add(part)
+        blank = [w for w in lacking if w[-1:].isspace()]
+        new.update(dict.fromkeys(blank))
+        lacking.difference_update(blank)
+        # In a joined string each word must begin with white space, as words do in a text.
+        joined = [w for w in lacking if w[:1] in _LEADS and len(w) < _LONG]
+        self._learn(joined)
+        lacking.difference_update(joined)
+        once = {w: self._whole(w) for w in lacking}
+        once |= {w: once.get(c, new.get(c)) + once.get(w[len(c) :], new.get(w[len(c) :])) for w, c in cores.items()}
+        short = [w for w in once if len(w) < _LONG]
+        new.update(zip(short, map(once.pop, short), strict=True))
+        return once
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the text: ids joined with the id-to-piece table; what isn't UTF-8 becomes U+FFFD, as in the library."""
         pieces = self.pieces
@@ -146,8 +168,8 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_table(tokenizer_path, kept_words)
         for batch in batches:
-            for part, texts in text_batches(batch, batch.column(1)):
-                ids = [np.frombuffer(x, "<u4") for x in words.encode(texts)]
+            for part, texts in parts_of(batch, batch.column(1), 8_000_000):
+                ids = words.encode(texts)
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype("i4"))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), flat)
@@ -164,10 +186,9 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
         words = word_table(tokenizer_path, kept_words)
         decimals = [b"%d" % i for i in range(len(words.pieces))]
         for batch in batches:
-            for part, texts in text_batches(batch, batch.column(1)):
+            for part, texts in parts_of(batch, batch.column(1), 8_000_000):
                 n, a, b = [], [], []
-                for data in words.encode(texts):
-                    ids = np.frombuffer(data, "<u4")
+                for ids in words.encode(texts):
                     n.append(len(ids))
                     a.append(hashlib.sha256(b",".join([decimals[i] for i in ids.tolist()])).hexdigest())
                     b.append(hashlib.sha256(words.decode(ids)).hexdigest())

@@ -81,16 +81,21 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def text_batches(batch: pa.RecordBatch, texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def parts_of(batch: pa.RecordBatch, texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of a batch, of about `most` bytes of text or one text each, so that memory is bounded by the longest text."""
     start, held = 0, 0
     for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
         if i > start and held + (n or 0) > most:
-            yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
+            yield batch.slice(start, i - start), texts.slice(start, i - start)
             start, held = i, 0
         held += n or 0
     if start < len(texts):
-        yield batch.slice(start), texts.slice(start).to_pylist()
+        yield batch.slice(start), texts.slice(start)
+
+
+def text_batches(batch: pa.RecordBatch, texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    for part, some in parts_of(batch, texts, most):
+        yield part, some.to_pylist()
 
 
 def keep_rows(docs: DataFrame, text_col: str, decide: Callable[[list[str | None]], list[bool]]) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import word_table
-from .common import broadcast_if_small, settle, shared_dir, table, text_batches
+from .common import broadcast_if_small, parts_of, settle, shared_dir, table
 
 _GEAR = np.random.default_rng(17).integers(0, 2**64, 1 << 16, dtype="u8")
 _MASK = np.uint64(0x3FF) << np.uint64(40)  # a cut every 1024 ids on average
@@ -55,7 +55,7 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*ends, len(ids)] if len(ids) > last else ends
 
 
-def digest(data: bytes) -> bytes:
+def digest(data: bytes | np.ndarray) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
@@ -67,29 +67,35 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0] if level else digest(b"")
 
 
+_POLY = 0xEDB88320
+
+
+def _product(a: int, b: int) -> int:
+    """Of two polynomials over GF(2), modulo that of crc32; bit 31 is the constant term."""
+    out, bit = 0, 1 << 31
+    while a:
+        if a & bit:
+            out ^= b
+            a ^= bit
+        bit >>= 1
+        b = (b >> 1) ^ _POLY if b & 1 else b >> 1
+    return out
+
+
 @functools.lru_cache(maxsize=8192)
-def _crc_shift(n: int) -> np.ndarray:
-    """The linear map of crc32 over n zero bytes, as 32 columns."""
-    step = np.zeros(32, "u4")
-    step[0] = 0xEDB88320
-    step[1:] = np.uint32(1) << np.arange(31, dtype="u4")
-    total, power, bits = np.uint32(1) << np.arange(32, dtype="u4"), step, 8 * n
+def _shift(n: int) -> int:
+    """x to the power 8n: multiplying a crc32 by it gives that of the bytes with n zero bytes after."""
+    out, power, bits = 1 << 31, 1 << 30, 8 * n
     while bits:
         if bits & 1:
-            total = _apply(power, total)
-        power, bits = _apply(power, power), bits >> 1
-    return total
-
-
-def _apply(m: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """m applied to each of v, over bits."""
-    on = (v[:, None] >> np.arange(32, dtype="u4")) & np.uint32(1)
-    return np.bitwise_xor.reduce(np.where(on, m[None], np.uint32(0)), axis=1)
+            out = _product(power, out)
+        power, bits = _product(power, power), bits >> 1
+    return out
 
 
 def crc_join(a: int, b: int, size_of_b: int) -> int:
     """crc32 of two byte strings together, from theirs and the length of the second."""
-    return int(_apply(_crc_shift(size_of_b), np.array([a], "u4"))[0]) ^ b
+    return _product(_shift(size_of_b), a) ^ b
 
 
 def _packed(ids: np.ndarray, to: zstandard.ZstdCompressor) -> tuple[bytes, bool]:
@@ -110,18 +116,18 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id",
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, to = word_table(tokenizer_path, kept_words), zstandard.ZstdCompressor(level=3)
-        end = np.array([end_id], "<u4").tobytes()
+        words, to = word_table(tokenizer_path, kept_words), zstandard.ZstdCompressor(level=1)
+        end = np.array([end_id], "<u4")
         met: set[bytes] = set()  # chunks that this task has put out already
         for batch in batches:
-            for part, texts in text_batches(batch, batch.column(1)):
+            for part, texts in parts_of(batch, batch.column(1), 8_000_000):
                 rows: dict[str, list] = {c: [] for c in ("doc_id", "n", "root", "chunks", "digest", "size", "data", "wide")}
-                for doc, data in zip(part.column(0).to_pylist(), words.encode(texts), strict=True):
-                    ids = np.frombuffer(data + end, "<u4")
+                for doc, ids in zip(part.column(0).to_pylist(), words.encode(texts), strict=True):
+                    ids = np.concatenate([ids, end])
                     own, last = [], 0
                     for at in cuts(ids):
                         piece = ids[last:at]
-                        d = digest(piece.tobytes())
+                        d = digest(piece)
                         own.append(d)
                         if d not in met:
                             if len(met) < 500_000:
@@ -151,7 +157,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id",
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("at", F.when(F.col("digest").isNull(), F.xxhash64("doc_id", "root")).otherwise(F.xxhash64("digest")))
     rows = rows.repartition(parts, "at").sortWithinPartitions("at", "digest").drop("at").mapInArrow(once, kind)
-    rows.withColumn("kind", F.when(F.col("digest").isNull(), "document").otherwise("chunk")).write.partitionBy("kind").parquet(f"{folder}/encoded")
+    rows.withColumn("kind", F.when(F.col("digest").isNull(), "document").otherwise("chunk")).write.option("compression", "none").partitionBy("kind").parquet(f"{folder}/encoded")
     # The order of documents, and where each starts: sums within range partitions, then over the partitions.
     found = spark.read.schema(_encoded(kind)).parquet(f"{folder}/encoded").where("kind = 'document'").select("doc_id", "n", "root", "chunks")
     dealt = settle(found.repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), "root").withColumn("part", F.spark_partition_id()))
@@ -187,7 +193,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def _checked(data: bytes, wide: bool, size: int, name: bytes) -> np.ndarray:
     ids = _unpacked(data, wide)
-    if len(ids) != size or digest(ids.tobytes()) != name:
+    if len(ids) != size or digest(ids) != name:
         raise ValueError(f"chunk {name.hex()} doesn't match its digest")
     return ids
 
@@ -206,7 +212,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = [zlib.crc32(_checked(r["data"], r["wide"], r["size"], r["digest"]).tobytes()) for r in batch.to_pylist()]
+            crcs = [zlib.crc32(_checked(*row)) for row in zip(*[batch.column(c).to_pylist() for c in ("data", "wide", "size", "digest")], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], ["digest", "size", "crc"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
