@@ -76,7 +76,9 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    w = rows.withColumn("words", _words(F.col("text")))
+    """rows(text, ...) with words and grams. The words leave a generator, so that grams don't split the text again for each gram."""
+    made = F.explode(F.array(F.struct(_words(F.col("text")).alias("words"))))
+    w = rows.withColumn("__w", made).withColumn("words", F.col("__w.words")).drop("__w")
     return w.withColumn("grams", F.concat("words", _grams(F.col("words"), 2), _grams(F.col("words"), 3)))
 
 
@@ -92,12 +94,13 @@ def train(docs: DataFrame, *, text_col="text", others: int = 1000, precision: fl
     n = max(1, docs.count())
     prose = docs.where(unit_hash(F.xxhash64(text_col), seed=5) < others / n).select(F.lit("none").alias("family"), F.lit(0).alias("variant"), F.element_at(F.split(text_col, "\n"), 1).alias("text"))
     prose = prose.where(F.col("text").isNotNull() & ~F.lower("text").rlike(CUES))
-    rows = settle(_featured(known.unionAll(prose)).withColumn("kept", F.pmod(F.xxhash64("text"), F.lit(5)) == 0))
+    # A few thousand rows whatever the corpus: in one part, each step of the fit is one small task.
+    rows = settle(_featured(known.unionAll(prose)).withColumn("kept", F.pmod(F.xxhash64("text"), F.lit(5)) == 0).coalesce(1))
     fit = rows.where(~F.col("kept") | (F.col("variant") == 0))
     model = Pipeline(stages=[
         StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc"), CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2, vocabSize=1 << 14),
-        LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.0005, maxIter=60),
-    ]).fit(fit.withColumn("weight", F.lit(1.0)))
+        LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.0005, maxIter=40),
+    ]).fit(fit)
     test = predict(model, rows.where("kept and variant > 0")).select("family", "guess", "p").where("guess <> 'none'").collect()
     test.sort(key=lambda r: -r["p"])
     right, threshold = 0, 0.5
@@ -124,7 +127,7 @@ def paragraphs(text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(lines, blocks), lambda x: F.lower(x).rlike(CUES)))
 
 
-def scan(docs: DataFrame, model: PipelineModel, threshold: float, *, id_col="doc_id", text_col="text", contained: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, model: PipelineModel, threshold: float, *, id_col="doc_id", text_col="text", contained: float = 0.8) -> DataFrame:
     """A row for each row of docs: doc_id, license, score, n_paragraphs, n_licensed.
 
     license: the family of the surest confirmed paragraph (ties: first by name); 'unknown' if there are paragraphs in question but
