@@ -13,7 +13,7 @@ def slugify(text: Column) -> Column:
 
 def csv_list(text: Column) -> Column:
     """Comma-separated items, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def collapse(text: Column) -> Column:
