@@ -5,8 +5,9 @@ whose sets have the same n-gram of smallest second hash are dealt to the same tr
 sharing the overlap with common path pieces and leaving subtrees whose remaining length can't reach the threshold or
 that are linked already. That finds most links. The rest is found through the n-grams that two linked sets
 must share near their beginnings: n-grams there that join different components name pairs to look up in tries of their
-own, first one pair for each two components, then all that are left. So no link between components is lost, and large
-groups of near copies aren't spelled out in pairs.
+own, first one pair for each two components, then all that are left. Bounds that no linked pair fails (place of the
+n-gram, parity sketches, shared beginnings) keep the pairs few. So no link between components is lost, and large groups
+of near copies aren't spelled out in pairs.
 
 The order of n-grams comes from counts over all documents, in a fixed number of buckets: it steers the work, any order
 gives the same components. N-grams are told apart by 58 bits of a hash, classes by 64.
@@ -30,6 +31,7 @@ from .common import Held, broadcast_if_small, settle, table, text_batches
 from .graph import components
 
 BUCKETS = 1 << 20
+CELLS = 256
 _CHUNK = 1 << 14
 _LOW = np.uint64((1 << 58) - 1)
 
@@ -118,8 +120,8 @@ def _class_id(h: np.ndarray) -> int:
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    """The parity of the n-grams in each of 512 cells: it differs in at most as many cells as two sets differ in n-grams."""
-    return np.packbits(np.bincount((h >> np.uint64(21) & np.uint64(511)).astype("i8"), minlength=512) & 1).tobytes()
+    """The parity of the n-grams in each of CELLS cells: it differs in at most as many cells as two sets differ in n-grams."""
+    return np.packbits(np.bincount((h >> np.uint64(21) & np.uint64(CELLS - 1)).astype("i8"), minlength=CELLS) & 1).tobytes()
 
 
 def needed(nx, ny, percent: int):
@@ -214,7 +216,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
         yield ids, grams
 
 
-def _with_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, n: int, levels: np.ndarray) -> DataFrame:
+def _with_sets(held: Held, docs: DataFrame, members: DataFrame, id_col: str, text_col: str, n: int, levels: np.ndarray) -> DataFrame:
     """members(gid, class_id, rep) with the ordered set of each class, from the text of its document rep: gid, class_id, grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +232,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([pa.array(gids, pa.string()), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["gid", "class_id", "grams"])
 
     # Each class is in few groups at a time: see the callers.
-    wanted = settle(members.groupBy("rep").agg(F.collect_set(F.struct("gid", "class_id")).alias("in")))
+    wanted = held(members.groupBy("rep").agg(F.collect_set(F.struct("gid", "class_id")).alias("in")))
     held = docs.join(broadcast_if_small(wanted, 500_000), docs[id_col].eqNullSafe(wanted["rep"])).select(docs[text_col].alias("t"), "in")
     return held.mapInArrow(run, "gid string, class_id long, grams binary")
 
@@ -267,23 +269,25 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", n: i
                     heads.append(_ordered(h, levels)[: len(h) - -(-percent * len(h) // 100) + 1].astype("i8"))
                 ends = np.cumsum([0, *map(len, heads)]).astype("i4")
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*heads, np.zeros(0, "i8")])))
-                cells = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(sketches), "i8")), 8).cast(pa.list_(pa.int64()))
+                cells = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(sketches), "i8")), CELLS // 64).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(anchors, pa.int64()), cells, lists], ["doc_id", "n", "class_id", "anchor", "sketch", "head"])
 
     all_rows = settle(docs.mapInArrow(begin, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class_id long, anchor long, sketch array<long>, head array<long>"))
     classes = all_rows.where("class_id is not null").groupBy("class_id").agg(F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.first("sketch").alias("sketch"), F.first("head").alias("head"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
-    def look_up(members: DataFrame) -> DataFrame:
-        return _links_in_groups(_with_sets(docs, members, "doc_id", "text", n, levels), percent)
-
     branches = classes.select(F.col("anchor").cast("string").alias("gid"), "class_id", "rep", "n")
     with Held() as held:
+
+        def look_up(members: DataFrame) -> DataFrame:
+            return _links_in_groups(_with_sets(held, docs, members, "doc_id", "text", n, levels), percent)
+
         classes = held(classes)
         edges = held(look_up(_split_groups(held, branches, most, grams)))
         known = components(edges)
         posts = held(_open_posts(held, classes, known, percent))
         for last in (False, True):
-            pairs = held(_open_pairs(held, posts, known, percent, last))
+            pairs = held(_open_pairs(posts, known, percent, last))
+            pairs = held(_overlapping(pairs, classes, percent))
             if pairs.limit(1).count():
                 edges = held(edges.unionAll(look_up(_pair_groups(held, pairs, most))))
                 known = components(edges)
@@ -298,40 +302,50 @@ def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _open_posts(held: Held, classes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """class_id, rep, n, p, sketch, at, gram: the beginnings of sets, only n-grams that different components have there."""
+    """class_id, rep, n, sketch, at, lead, gram, m: the beginnings of sets, only n-grams that different components have there.
+
+    Of two linked sets the smaller has an n-gram they share among its first n - needed(n, n) + 1 (lead), the larger among
+    its first n - percent% of n + 1. m: whether one of the components has several members.
+    """
     posts = _labelled(classes.select("class_id", "rep", "n", "sketch", "head"), known)
-    posts = posts.select("class_id", "rep", "n", F.size("head").alias("p"), "sketch", "c", F.posexplode("head").alias("at", "gram"))
-    state = posts.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
-    grams = held(state.select(F.col("gram").alias("__gram")))
-    return posts.join(broadcast_if_small(grams, 2_000_000), F.col("gram") == F.col("__gram")).drop("__gram", "c")
+    posts = posts.select("class_id", "rep", "n", "sketch", "c", "many", F.posexplode("head").alias("at", "gram"))
+    posts = posts.withColumn("lead", F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)))
+    state = posts.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("many").alias("m"), F.max("lead").alias("lead"))
+    grams = held(state.where("a <> b and lead").select(F.col("gram").alias("__gram"), "m"))
+    return posts.drop("c", "many").join(broadcast_if_small(grams, 2_000_000), F.col("gram") == F.col("__gram")).drop("__gram")
 
 
-def _open_pairs(held: Held, posts: DataFrame, known: DataFrame, percent: int, last: bool) -> DataFrame:
+def _open_pairs(posts: DataFrame, known: DataFrame, percent: int, last: bool) -> DataFrame:
     """Pairs of classes of different components that may link: x, x_rep, y, y_rep.
 
-    last: all such pairs whose shared n-grams among the first, with all that may follow, reach the threshold. Otherwise
-    one pair for each two components, of which one has several members. A pair is left out, too, if the place of an
-    n-gram leaves too few for the rest, or if the sketches show that the sets differ in too many n-grams.
+    last: all such pairs. Otherwise one pair for each two components, of which one has several members. A pair doesn't
+    link if the place of an n-gram leaves too few for the rest, or if the sketches show that the sets differ in too
+    many n-grams.
     """
-    posts = _labelled(posts, known)
+    posts = _labelled(posts if last else posts.where("m"), known).drop("m")
     if not last:
-        posts = posts.groupBy("gram", "c").agg(F.min(F.struct("n", "class_id", "rep", "p", "sketch", "at", "many")).alias("s")).select("gram", "c", "s.*")
-    x, y = posts.alias("x"), posts.alias("y")
+        posts = posts.groupBy("gram", "c").agg(F.min(F.struct((~F.col("lead")).alias("late"), "n", "class_id", "rep", "sketch", "at", "lead", "many")).alias("s")).select("gram", "c", "s.*")
+    x, y = posts.where("lead").alias("x"), posts.alias("y")
     need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
     room = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    differ = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(8)), F.lit(0))
+    differ = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(CELLS // 64)), F.lit(0))
     first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class_id") < F.col("y.class_id")))
-    fits = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & first & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+    fits = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & (first | F.lit(not last)) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     met = x.join(y, fits & (room >= need) & (differ <= F.col("x.n") + F.col("y.n") - 2 * need))
+    pair = F.struct(F.col("x.class_id").alias("x"), F.col("x.rep").alias("x_rep"), F.col("y.class_id").alias("y"), F.col("y.rep").alias("y_rep"))
     if last:
-        most = F.greatest(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp"))
-        met = met.groupBy(F.col("x.class_id").alias("x"), F.col("y.class_id").alias("y")).agg(*[F.first(f"{s}.{c}").alias(f"{s}{c}") for s in "xy" for c in ("n", "p")], F.min("x.at").alias("xat"), F.min("y.at").alias("yat"), F.first("x.rep").alias("x_rep"), F.first("y.rep").alias("y_rep"), F.count(F.lit(1)).alias("shared"))
-        most = F.least(F.col("shared") + most, F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))
-        met = met.where(most * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
-        return met.select("x", "x_rep", "y", "y_rep")
-    low, high = F.least("x.c", "y.c"), F.greatest("x.c", "y.c")
-    met = met.where("x.many or y.many").groupBy(low.alias("low"), high.alias("high")).agg(F.min(F.struct("x.class_id", "x.rep", "y.class_id", "y.rep")).alias("s"))
-    return met.select("s.*").toDF("x", "x_rep", "y", "y_rep")
+        return met.select(pair.alias("s")).distinct().select("s.*")
+    return met.where("x.many or y.many").groupBy(F.least("x.c", "y.c").alias("low"), F.greatest("x.c", "y.c").alias("high")).agg(F.min(pair).alias("s")).select("s.*")
+
+
+def _overlapping(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose beginnings share enough n-grams: beyond the end of the one that ends first, only its own rest can be shared."""
+    named = broadcast_if_small(pairs.select("x", "y"), 500_000)
+    sides = [classes.join(named, F.col("class_id") == F.col(s)).select("x", "y", F.col("n").alias(f"{s}n"), F.col("head").alias(f"{s}h")) for s in "xy"]
+    both = sides[0].join(sides[1], ["x", "y"])
+    rest = F.greatest(F.col("xn") - F.size("xh"), F.col("yn") - F.size("yh"))
+    enough = (F.size(F.array_intersect("xh", "yh")) + rest) * (100 + percent) >= percent * (F.col("xn") + F.col("yn"))
+    return pairs.join(both.where(enough).select("x", "y"), ["x", "y"])
 
 
 def _pair_groups(held: Held, pairs: DataFrame, most: int) -> DataFrame:

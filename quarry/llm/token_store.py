@@ -154,7 +154,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id",
     kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n long, root binary, chunks array<binary>, digest binary, size int, data binary, wide boolean"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(encode, kind)
     # Documents and chunks leave one pass over the texts; equal chunks meet in one partition.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # files of a useful size
     rows = rows.withColumn("at", F.when(F.col("digest").isNull(), F.xxhash64("doc_id", "root")).otherwise(F.xxhash64("digest")))
     rows = rows.repartition(parts, "at").sortWithinPartitions("at", "digest").drop("at").mapInArrow(once, kind)
     rows.withColumn("kind", F.when(F.col("digest").isNull(), "document").otherwise("chunk")).write.option("compression", "none").partitionBy("kind").parquet(f"{folder}/encoded")
