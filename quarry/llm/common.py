@@ -50,6 +50,11 @@ class Held:
         self._frames.append(df.persist())
         return self._frames[-1]
 
+    def cut(self, df: DataFrame, rows: int = 200_000) -> DataFrame:
+        """df settled, in one file for so many rows: for results that are small beside the work they take."""
+        kept = self(df)
+        return settle(kept.coalesce(max(1, -(-kept.count() // rows))))
+
     def __exit__(self, *_) -> None:
         for df in self._frames:
             df.unpersist()

@@ -232,7 +232,7 @@ def _with_sets(held: Held, docs: DataFrame, members: DataFrame, id_col: str, tex
                 yield pa.RecordBatch.from_arrays([pa.array(gids, pa.string()), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["gid", "class_id", "grams"])
 
     # Each class is in few groups at a time: see the callers.
-    wanted = held(members.groupBy("rep").agg(F.collect_set(F.struct("gid", "class_id")).alias("in")))
+    wanted = held.cut(members.groupBy("rep").agg(F.collect_set(F.struct("gid", "class_id")).alias("in")))
     held = docs.join(broadcast_if_small(wanted, 500_000), docs[id_col].eqNullSafe(wanted["rep"])).select(docs[text_col].alias("t"), "in")
     return held.mapInArrow(run, "gid string, class_id long, grams binary")
 
@@ -282,14 +282,14 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", n: i
             return _links_in_groups(_with_sets(held, docs, members, "doc_id", "text", n, levels), percent)
 
         classes = held(classes)
-        edges = held(look_up(_split_groups(held, branches, most, grams)))
+        edges = held.cut(look_up(_split_groups(held, branches, most, grams)))
         known = components(edges)
         posts = held(_open_posts(held, classes, known, percent))
         for last in (False, True):
-            pairs = held(_open_pairs(posts, known, percent, last))
-            pairs = held(_overlapping(pairs, classes, percent))
+            pairs = held.cut(_open_pairs(posts, known, percent, last))
+            pairs = held.cut(_overlapping(pairs, classes, percent))
             if pairs.limit(1).count():
-                edges = held(edges.unionAll(look_up(_pair_groups(held, pairs, most))))
+                edges = edges.unionAll(held.cut(look_up(_pair_groups(held, pairs, most))))
                 known = components(edges)
         return _label(held, all_rows, classes, known)
 
@@ -311,7 +311,7 @@ def _open_posts(held: Held, classes: DataFrame, known: DataFrame, percent: int)
     posts = posts.select("class_id", "rep", "n", "sketch", "c", "many", F.posexplode("head").alias("at", "gram"))
     posts = posts.withColumn("lead", F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)))
     state = posts.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("many").alias("m"), F.max("lead").alias("lead"))
-    grams = held(state.where("a <> b and lead").select(F.col("gram").alias("__gram"), "m"))
+    grams = held.cut(state.where("a <> b and lead").select(F.col("gram").alias("__gram"), "m"))
     return posts.drop("c", "many").join(broadcast_if_small(grams, 2_000_000), F.col("gram") == F.col("__gram")).drop("__gram")
 
 
