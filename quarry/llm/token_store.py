@@ -141,22 +141,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id",
                 kinds = (part.schema.field(0).type, pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by digest: the first of each stays, and every document."""
-        before = None
-        for batch in batches:
-            keep = []
-            for d in batch.column("digest").to_pylist():
-                keep.append(d is None or d != before)
-                before = d
-            yield batch.filter(pa.array(keep))
-
     kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n long, root binary, chunks array<binary>, digest binary, size int, data binary, wide boolean"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(encode, kind)
     # Documents and chunks leave one pass over the texts; equal chunks meet in one partition.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # files of a useful size
     rows = rows.withColumn("at", F.when(F.col("digest").isNull(), F.xxhash64("doc_id", "root")).otherwise(F.xxhash64("digest")))
-    rows = rows.repartition(parts, "at").sortWithinPartitions("at", "digest").drop("at").mapInArrow(once, kind)
+    before = F.lag("digest").over(Window.partitionBy("at").orderBy("digest"))
+    rows = rows.repartition(parts, "at").withColumn("before", before).where("digest is null or before is null or before <> digest").drop("at", "before")
     rows.withColumn("kind", F.when(F.col("digest").isNull(), "document").otherwise("chunk")).write.option("compression", "none").partitionBy("kind").parquet(f"{folder}/encoded")
     # The order of documents, and where each starts: sums within range partitions, then over the partitions.
     found = spark.read.schema(_encoded(kind)).parquet(f"{folder}/encoded").where("kind = 'document'").select("doc_id", "n", "root", "chunks")
