@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["scalar", "retrieval"]
+MODULES: list[str] = ["scalar", "retrieval", "relational", "corpus"]
 
 
 def _all(name: str) -> dict:
