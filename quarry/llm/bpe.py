@@ -159,7 +159,7 @@ def word_table(path: str, most: int = 800_000) -> WordTable:
     return WordTable(path, most)
 
 
-def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 800_000) -> DataFrame:
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 300_000) -> DataFrame:
     """A row for each row of docs: doc_id, ids array<int>, decoded. Null texts count as empty: no ids, decoded ''.
 
     kept_words bounds a worker's table. Repeated rows and ids are encoded row by row; other columns are ignored.
@@ -179,7 +179,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
     return _rows(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 800_000) -> DataFrame:
+def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 300_000) -> DataFrame:
     """encode_and_decode, but of ids and decoded text only the digests leave the task: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

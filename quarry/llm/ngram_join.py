@@ -9,8 +9,8 @@ own, first one pair for each two components, then all that are left. Bounds that
 n-gram, parity sketches, shared beginnings) keep the pairs few. So no link between components is lost, and large groups
 of near copies aren't spelled out in pairs.
 
-The order of n-grams comes from counts over all documents, in a fixed number of buckets: it steers the work, any order
-gives the same components. N-grams are told apart by 58 bits of a hash, classes by 64.
+The order of n-grams comes from counts over all documents, in buckets: it steers the work, any order gives the same
+components. N-grams are told apart by 58 bits of a hash, classes by 64.
 """
 
 from __future__ import annotations
@@ -30,17 +30,18 @@ from pyspark.sql import functions as F
 from .common import Held, broadcast_if_small, settle, table, text_batches
 from .graph import components
 
-BUCKETS = 1 << 20
+#: Buckets that n-grams are counted in: about one for 32 n-grams, within these bounds (a byte each, sent to every task).
+FEWEST, MOST_BUCKETS = 1 << 18, 1 << 25
 CELLS = 256
 _CHUNK = 1 << 14
 _LOW = np.uint64((1 << 58) - 1)
 
 
 class _Hashes(dict):
-    """Word -> 64-bit hash, for at most a million words."""
+    """Word -> 64-bit hash, for at most 300,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
@@ -68,51 +69,59 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(h)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(BUCKETS - 1)).astype("i8")
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h & np.uint64(buckets - 1)).astype("i4")
 
 
 def _levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """For each bucket of n-grams 0 if it is as full as most, or how many times that doubled. BUCKETS bytes."""
+    """For each bucket of n-grams 0 if it is as full as most, or how many times that doubled. The buckets grow with the
+    corpus, so that how full most are doesn't."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = min(max(1 << (size // 7 // 32).bit_length(), FEWEST), MOST_BUCKETS)
+    chunks = buckets // _CHUNK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size, part = np.zeros(BUCKETS, "i8"), [], 0, None
+        total, held, size, part = np.zeros(buckets, "u4"), [], 0, None
+
+        def flush():
+            if held:
+                at, times = np.unique(np.concatenate(held), return_counts=True)
+                total[at] += times.astype("u4")
+            held.clear()
+
         for batch in batches:
             part = batch.column(1)[0].as_py() if len(batch) else part
             for _, texts in text_batches(batch, batch.column(0)):
-                held += [_bucket(shingles(t, n)) for t in texts]
+                held += [_bucket(shingles(t, n), buckets) for t in texts]
                 size += sum(map(len, held[-len(texts) :]))
                 if size > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    flush()
+                    size = 0
+        flush()
         if part is not None:
-            yield pack(range(BUCKETS // _CHUNK), [part] * (BUCKETS // _CHUNK), total.reshape(-1, _CHUNK))
-
-    def pack(chunk, part, counts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(part, pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in counts], pa.binary())], ["chunk", "part", "counts"])
+            for i, c in enumerate(total.reshape(-1, _CHUNK)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())], ["chunk", "part", "counts"])
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_CHUNK, "i8")
+        total = np.zeros(_CHUNK, "u4")
         for data in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(data), "i8")
+            total += np.frombuffer(zlib.decompress(data), "u4")
         return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     kind = "chunk int, part int, counts binary"
     found = docs.select(F.col(text_col).alias("t"), F.spark_partition_id().alias("p")).mapInArrow(count, kind)
     for _ in range(2):  # sums of at most 100 each, however many partitions there are
         found = found.groupBy("chunk", F.floor(F.col("part") / 100).cast("int").alias("part")).applyInPandas(add, kind)
-    total = np.zeros((BUCKETS // _CHUNK, _CHUNK), "i8")
+    total = np.zeros((chunks, _CHUNK), "u4")
     for row in found.toLocalIterator():
-        total[row["chunk"]] += np.frombuffer(zlib.decompress(row["counts"]), "i8")
-    usual = max(2 * total.sum() / BUCKETS, 4.0)
+        total[row["chunk"]] += np.frombuffer(zlib.decompress(row["counts"]), "u4")
+    usual = max(2 * total.sum(dtype="i8") / buckets, 4.0)
     return np.clip(np.floor(np.log2(np.maximum(total.ravel(), 1) / usual)) + 1, 0, 60).astype("u1")
 
 
 def _ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """n-grams as numbers whose order is the global one: level, then hash."""
-    return np.sort((levels[_bucket(h)].astype("u8") << np.uint64(58)) | (h & _LOW))
+    return np.sort((levels[_bucket(h, len(levels))].astype("u8") << np.uint64(58)) | (h & _LOW))
 
 
 def _class_id(h: np.ndarray) -> int:
