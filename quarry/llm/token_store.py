@@ -2,9 +2,9 @@
 
 Layout below one folder, all Parquet:
 
-  encoded/    kind=chunk: digest, size, data, wide: each distinct chunk once; data is the ids as little-endian unsigned
-              16-bit integers (wide: 32-bit, where an id doesn't fit), compressed with zstd
-              kind=document: the documents as they were encoded, from which the recipes are made
+  encoded/    rows with a digest: digest, size, data, wide: each distinct chunk once; data is the ids as little-endian
+              unsigned 16-bit integers (wide: 32-bit, where an id doesn't fit), compressed with zstd
+              rows without: the documents as they were encoded, from which the recipes are made
   recipes/    part, doc_id, start, n, root, chunks: each document's chunk digests in order, in ascending doc_id order
   manifest/   part, docs, ids, root: the Merkle root of each part's document roots
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import word_table
-from .common import broadcast_if_small, parts_of, settle, shared_dir, table
+from .common import Held, broadcast_if_small, parts_of, settle, shared_dir, table
 
 _GEAR = np.random.default_rng(17).integers(0, 2**64, 1 << 16, dtype="u8")
 _MASK = np.uint64(0x3FF) << np.uint64(40)  # a cut every 1024 ids on average
@@ -144,14 +144,14 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id",
     kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n long, root binary, chunks array<binary>, digest binary, size int, data binary, wide boolean"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(encode, kind)
     # Documents and chunks leave one pass over the texts; equal chunks meet in one partition.
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)  # files of a useful size
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)  # files of a useful size
     rows = rows.withColumn("at", F.when(F.col("digest").isNull(), F.xxhash64("doc_id", "root")).otherwise(F.xxhash64("digest")))
     before = F.lag("digest").over(Window.partitionBy("at").orderBy("digest"))
     rows = rows.repartition(parts, "at").withColumn("before", before).where("digest is null or before is null or before <> digest").drop("at", "before")
-    rows.withColumn("kind", F.when(F.col("digest").isNull(), "document").otherwise("chunk")).write.option("compression", "none").partitionBy("kind").parquet(f"{folder}/encoded")
+    rows.write.option("compression", "none").parquet(f"{folder}/encoded")
     # The order of documents, and where each starts: sums within range partitions, then over the partitions.
-    found = spark.read.schema(_encoded(kind)).parquet(f"{folder}/encoded").where("kind = 'document'").select("doc_id", "n", "root", "chunks")
-    dealt = settle(found.repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), "root").withColumn("part", F.spark_partition_id()))
+    found = spark.read.schema(kind).parquet(f"{folder}/encoded").where("digest is null").select("doc_id", "n", "root", "chunks")
+    dealt = settle(found.repartitionByRange(max(1, -(-found.count() // 200_000)), F.col("doc_id").asc_nulls_last(), "root").withColumn("part", F.spark_partition_id()))
     sums = dealt.groupBy("part").agg(F.sum("n").alias("ids"))
     sums = settle(sums.withColumn("before", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("part").alias("__part"), "before"))
     run = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "root").rowsBetween(Window.unboundedPreceding, 0)
@@ -161,10 +161,6 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id",
     _roots(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
 
 
-def _encoded(kind: str) -> str:
-    return f"{kind}, kind string"
-
-
 def _roots(recipes: DataFrame) -> DataFrame:
     """part, docs, ids, root from the roots of each part's documents, in order."""
 
@@ -178,8 +174,8 @@ def _roots(recipes: DataFrame) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    kind = "digest binary, size int, data binary, wide boolean, kind string"
-    return spark.read.schema(kind).parquet(f"{folder}/encoded").where("kind = 'chunk'").drop("kind")
+    kind = "digest binary, size int, data binary, wide boolean"
+    return spark.read.schema(kind).parquet(f"{folder}/encoded").where("digest is not null")
 
 
 def _checked(data: bytes, wide: bool, size: int, name: bytes) -> np.ndarray:
@@ -218,7 +214,8 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    sizes = settle(_chunks(spark, folder).mapInArrow(check, "digest binary, size int, crc long"))
+    with Held() as held:
+        sizes = held.cut(_chunks(spark, folder).mapInArrow(check, "digest binary, size int, crc long"))
     recipes = spark.read.parquet(f"{folder}/recipes")
     named = recipes.select("doc_id", "start", "n", "root", F.posexplode("chunks").alias("at", "digest"))
     whole = named.join(broadcast_if_small(sizes), "digest").groupBy("start", "doc_id", "n", "root").agg(F.array_sort(F.collect_list(F.struct("at", "size", "crc", "digest"))).alias("found"))

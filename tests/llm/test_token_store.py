@@ -48,7 +48,7 @@ def test_store(spark, tmp_path):
     assert all(b.start == a.start + len(a.ids) for a, b in zip(whole, whole[1:], strict=False)) and whole[0].start == 0
     found = sorted(S.read_digests(spark, folder).collect(), key=lambda r: r.start)
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found] == [(r.doc_id, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in whole]
-    chunks = spark.read.parquet(f"{folder}/encoded").where("kind = 'chunk'")
+    chunks = spark.read.parquet(f"{folder}/encoded").where("digest is not null")
     assert chunks.count() == chunks.select("digest").distinct().count()
     recipes = spark.read.parquet(f"{folder}/recipes")
     recipes.where("doc_id <> 12 or doc_id is null").write.parquet(str(tmp_path / "store2" / "recipes"))
