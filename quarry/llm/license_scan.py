@@ -46,7 +46,7 @@ PASSAGES = {
     "public-domain": ("This is free and unencumbered software released into the public domain.", "This work is in the public domain."),
     "reserved": ("All rights reserved.", "Copyright (c) the authors. All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 }
-FRAMES = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This software is distributed under the terms of the {}.", "SPDX-License-Identifier: {}", "See the {} for details.", "Code is available under the {} license.")
+FRAMES = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This software is distributed under the terms of the {}.", "SPDX-License-Identifier: {}", "Code is available under the {} license.")
 #: Text with cue words that licenses nothing.
 OTHER = (
     "You need permission from the owner to enter the garden.", "He renewed his driving license last week.", "The licensed electrician checked the wiring.", "A fishing licence costs ten pounds.", "Copyright law is a difficult subject.",
@@ -54,7 +54,7 @@ OTHER = (
     "Redistribution of wealth was the topic of the debate.", "A warrant was issued on Monday.", "The apache helicopter landed.", "Permission was denied by the council.", "The public domain of the town is clean.", "Licence fees rose again this year.",
     "The museum reserved all seats.", "Terms of the contract were agreed.", "We distributed the software on disks.", "The mozilla browser opened the page.",
 )
-CUES = r"licen[cs]e|copyright|permission|public domain|redistribut|warrant|rights reserved|all rights|cc0|cc by|creative commons|unauthorized copying|spdx"
+CUES = r"licen[cs]e|released under|distributed under the terms|copyright|permission|public domain|redistribut|warrant|rights reserved|all rights|cc0|cc by|creative commons|unauthorized copying|spdx"
 
 
 def _literal(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -83,13 +83,13 @@ def _featured(rows: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, *, text_col="text", others: int = 1000, precision: float = 0.95) -> tuple[PipelineModel, float]:
-    """(model, threshold) from the templates whole and with words left out, from OTHER, and from about `others` documents' first
+    """(model, threshold) from the templates whole and with words left out (not those in capitals, which names have), from OTHER, and from about `others` documents' first
     lines without cue words. One variant in five is kept from training; the threshold is the least probability from which
     on at least `precision` of the kept rows have their own family."""
     spark = docs.sparkSession
     known = _literal(spark, [*templates(), *(("none", x) for x in OTHER)])
     w = F.split("text", " ")
-    gone = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.array_join(F.filter(w, lambda x, i: (k == 0) | (F.pmod(F.xxhash64(x, i, k), F.lit(14)) != 0)), " "))
+    gone = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.array_join(F.filter(w, lambda x, i: (k == 0) | ~x.rlike("^[a-z]") | (F.pmod(F.xxhash64(x, i, k), F.lit(7)) != 0)), " "))
     known = known.select("family", F.posexplode(F.array_distinct(gone)).alias("variant", "text"))
     n = max(1, docs.count())
     prose = docs.where(unit_hash(F.xxhash64(text_col), seed=5) < others / n).select(F.lit("none").alias("family"), F.lit(0).alias("variant"), F.element_at(F.split(text_col, "\n"), 1).alias("text"))
