@@ -311,50 +311,56 @@ def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _open_posts(held: Held, classes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """class_id, rep, n, sketch, at, lead, gram, m: the beginnings of sets, only n-grams that different components have there.
+    """class_id, n, s0.., at, lead, gram, m: the beginnings of sets, only n-grams that different components have there.
 
     Of two linked sets the smaller has an n-gram they share among its first n - needed(n, n) + 1 (lead), the larger among
-    its first n - percent% of n + 1. m: whether one of the components has several members.
+    its first n - percent% of n + 1. m: whether one of the components has several members. An n-gram of two sets whose
+    sizes are too far apart joins nothing.
     """
-    posts = _labelled(classes.select("class_id", "rep", "n", "sketch", "head"), known)
-    posts = posts.select("class_id", "rep", "n", "sketch", "c", "many", F.posexplode("head").alias("at", "gram"))
+    cells = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(CELLS // 64)]
+    posts = _labelled(classes.select("class_id", "n", *cells, "head"), known)
+    posts = posts.select("class_id", "n", *[f"s{i}" for i in range(CELLS // 64)], "c", "many", F.posexplode("head").alias("at", "gram"))
     posts = posts.withColumn("lead", F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)))
     state = posts.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("many").alias("m"), F.max("lead").alias("lead"))
     grams = held.cut(state.where("a <> b and lead").select(F.col("gram").alias("__gram"), "m"))
-    return posts.drop("c", "many").join(broadcast_if_small(grams, 2_000_000), F.col("gram") == F.col("__gram")).drop("__gram")
+    posts = held(posts.drop("c", "many").join(broadcast_if_small(grams, 2_000_000), F.col("gram") == F.col("__gram")).drop("__gram"))
+    sizes = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    apart = held.cut(sizes.where((F.col("k") == 2) & (F.col("lo") * 100 < F.col("hi") * percent)).select(F.col("gram").alias("__gram")))
+    return posts.join(broadcast_if_small(apart, 2_000_000), F.col("gram") == F.col("__gram"), "left_anti")
 
 
 def _open_pairs(posts: DataFrame, known: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Pairs of classes of different components that may link: x, x_rep, y, y_rep.
+    """Pairs (x, y) of classes of different components that may link.
 
     last: all such pairs. Otherwise one pair for each two components, of which one has several members. A pair doesn't
     link if the place of an n-gram leaves too few for the rest, or if the sketches show that the sets differ in too
     many n-grams.
     """
-    posts = _labelled(posts if last else posts.where("m"), known).drop("m")
-    if not last:
-        posts = posts.groupBy("gram", "c").agg(F.min(F.struct((~F.col("lead")).alias("late"), "n", "class_id", "rep", "sketch", "at", "lead", "many")).alias("s")).select("gram", "c", "s.*")
-    x, y = posts.where("lead").alias("x"), posts.alias("y")
+    posts, cells = _labelled(posts if last else posts.where("m"), known).drop("m"), [f"s{i}" for i in range(CELLS // 64)]
+    if last:
+        posts = posts.drop("many")
+    else:
+        posts = posts.groupBy("gram", "c").agg(F.min(F.struct((~F.col("lead")).alias("late"), "n", "class_id", *cells, "at", "lead", "many")).alias("s")).select("gram", "c", "s.*").drop("late")
+    x, y = posts.where("lead").drop("lead").alias("x"), posts.drop("lead").alias("y")
     need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
     room = F.least("x.at", "y.at") + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    differ = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(CELLS // 64)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in cells), F.lit(0))
     first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class_id") < F.col("y.class_id")))
     fits = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.c") != F.col("y.c")) & (first | F.lit(not last)) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     met = x.join(y, fits & (room >= need) & (differ <= F.col("x.n") + F.col("y.n") - 2 * need))
-    pair = F.struct(F.col("x.class_id").alias("x"), F.col("x.rep").alias("x_rep"), F.col("y.class_id").alias("y"), F.col("y.rep").alias("y_rep"))
+    pair = F.struct(F.col("x.class_id").alias("x"), F.col("y.class_id").alias("y"))
     if last:
         return met.select(pair.alias("s")).distinct().select("s.*")
     return met.where("x.many or y.many").groupBy(F.least("x.c", "y.c").alias("low"), F.greatest("x.c", "y.c").alias("high")).agg(F.min(pair).alias("s")).select("s.*")
 
 
 def _overlapping(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose beginnings share enough n-grams: beyond the end of the one that ends first, only its own rest can be shared."""
-    named = broadcast_if_small(pairs.select("x", "y"), 500_000)
-    sides = [classes.join(named, F.col("class_id") == F.col(s)).select("x", "y", F.col("n").alias(f"{s}n"), F.col("head").alias(f"{s}h")) for s in "xy"]
-    both = sides[0].join(sides[1], ["x", "y"])
+    """The pairs whose beginnings share enough n-grams, with x_rep and y_rep: beyond the end of the one that ends first, only its own rest can be shared."""
+    named = broadcast_if_small(pairs, 500_000)
+    sides = [classes.join(named, F.col("class_id") == F.col(s)).select("x", "y", F.col("n").alias(f"{s}n"), F.col("head").alias(f"{s}h"), F.col("rep").alias(f"{s}_rep")) for s in "xy"]
     rest = F.greatest(F.col("xn") - F.size("xh"), F.col("yn") - F.size("yh"))
     enough = (F.size(F.array_intersect("xh", "yh")) + rest) * (100 + percent) >= percent * (F.col("xn") + F.col("yn"))
-    return pairs.join(both.where(enough).select("x", "y"), ["x", "y"])
+    return sides[0].join(sides[1], ["x", "y"]).where(enough).select("x", "x_rep", "y", "y_rep")
 
 
 def _pair_groups(held: Held, pairs: DataFrame, most: int) -> DataFrame:
