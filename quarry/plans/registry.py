@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["scalar", "retrieval", "relational", "corpus"]
+MODULES: list[str] = ["scalar", "retrieval", "relational", "corpus", "validation"]
 
 
 def _all(name: str) -> dict:
