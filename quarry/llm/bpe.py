@@ -86,8 +86,11 @@ class WordTable:
         split = pc.split_pattern(marked, "\0")
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        once = self._know({w for w in distinct if w not in self.new})
-        found = [once[w] if w in once else self.new[w] for w in distinct]
+        found = list(map(self.new.get, distinct))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        once = self._know({w for i in lacking if (w := distinct[i]) not in self.new})
+        for i in lacking:
+            found[i] = once[distinct[i]] if distinct[i] in once else self.new[distinct[i]]
         ids = np.frombuffer(b"".join([x or b"" for x in found]), "<u4")
         size = np.array([len(x or b"") // 4 for x in found], "i4")
         first = np.concatenate([[0], np.cumsum(size[:-1])]).astype("i4")

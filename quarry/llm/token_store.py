@@ -2,9 +2,9 @@
 
 Layout below one folder, all Parquet:
 
-  encoded/    rows with a digest: digest, size, data, wide: each distinct chunk once; data is the ids as little-endian
-              unsigned 16-bit integers (wide: 32-bit, where an id doesn't fit), compressed with zstd
-              rows without: the documents as they were encoded, from which the recipes are made
+  encoded/    kind=chunk: digest, size, data, wide: each distinct chunk once; data is the ids as little-endian unsigned
+              16-bit integers (wide: 32-bit, where an id doesn't fit), compressed with zstd
+              kind=document: the documents as they were encoded, from which the recipes are made
   recipes/    part, doc_id, start, n, root, chunks: each document's chunk digests in order, in ascending doc_id order
   manifest/   part, docs, ids, root: the Merkle root of each part's document roots
 
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .bpe import word_table
 from .common import Held, broadcast_if_small, parts_of, settle, shared_dir, table
 
-_GEAR = np.random.default_rng(17).integers(0, 2**64, 1 << 16, dtype="u8")
-_MASK = np.uint64(0x3FF) << np.uint64(40)  # a cut every 1024 ids on average
+_GEAR = np.random.default_rng(17).integers(0, 2**32, 1 << 16, dtype="u4")
+_MASK = np.uint32(0x3FF << 21)  # a cut every 1024 ids on average
 LEAST, MOST = 256, 4096
 
 
@@ -40,7 +40,7 @@ def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of a stream of ids: where the rolling hash of the last 32 has 10 zero bits, LEAST to MOST apart."""
     h = _GEAR[ids & np.uint32(0xFFFF)]
     for step in (1, 2, 4, 8, 16):  # sums of 2, 4, ... 32 shifted values
-        h[step:] += h[:-step] << np.uint64(step)
+        h[step:] += h[:-step] << np.uint32(step)
     ends, last = [], 0
     for at in (np.flatnonzero((h & _MASK) == 0) + 1).tolist():
         while at - last > MOST:
@@ -148,9 +148,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id",
     rows = rows.withColumn("at", F.when(F.col("digest").isNull(), F.xxhash64("doc_id", "root")).otherwise(F.xxhash64("digest")))
     before = F.lag("digest").over(Window.partitionBy("at").orderBy("digest"))
     rows = rows.repartition(parts, "at").withColumn("before", before).where("digest is null or before is null or before <> digest").drop("at", "before")
-    rows.write.option("compression", "none").parquet(f"{folder}/encoded")
+    rows.withColumn("kind", F.when(F.col("digest").isNull(), "document").otherwise("chunk")).write.option("compression", "none").partitionBy("kind").parquet(f"{folder}/encoded")
     # The order of documents, and where each starts: sums within range partitions, then over the partitions.
-    found = spark.read.schema(kind).parquet(f"{folder}/encoded").where("digest is null").select("doc_id", "n", "root", "chunks")
+    found = spark.read.schema(f"{kind}, kind string").parquet(f"{folder}/encoded").where("kind = 'document'").select("doc_id", "n", "root", "chunks")
     dealt = settle(found.repartitionByRange(max(1, -(-found.count() // 200_000)), F.col("doc_id").asc_nulls_last(), "root").withColumn("part", F.spark_partition_id()))
     sums = dealt.groupBy("part").agg(F.sum("n").alias("ids"))
     sums = settle(sums.withColumn("before", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("part").alias("__part"), "before"))
@@ -174,8 +174,8 @@ def _roots(recipes: DataFrame) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    kind = "digest binary, size int, data binary, wide boolean"
-    return spark.read.schema(kind).parquet(f"{folder}/encoded").where("digest is not null")
+    kind = "digest binary, size int, data binary, wide boolean, kind string"
+    return spark.read.schema(kind).parquet(f"{folder}/encoded").where("kind = 'chunk'").drop("kind")
 
 
 def _checked(data: bytes, wide: bool, size: int, name: bytes) -> np.ndarray:
