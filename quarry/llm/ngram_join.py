@@ -6,7 +6,7 @@ sharing the overlap with common path pieces and leaving subtrees whose remaining
 that are linked already. That finds most links. The rest is found through the n-grams that two linked sets
 must share near their beginnings: n-grams there that join different components name pairs to look up in tries of their
 own, first one pair for each two components, then all that are left. Bounds that no linked pair fails (place of the
-n-gram, parity sketches, shared beginnings) keep the pairs few. So no link between components is lost, and large groups
+n-gram, parity sketches) keep the pairs few. So no link between components is lost, and large groups
 of near copies aren't spelled out in pairs.
 
 The order of n-grams comes from counts over all documents, in buckets: it steers the work, any order gives the same
@@ -32,7 +32,8 @@ from .graph import components
 
 #: Buckets that n-grams are counted in: about one for 32 n-grams, within these bounds (a byte each, sent to every task).
 FEWEST, MOST_BUCKETS = 1 << 18, 1 << 25
-CELLS = 256
+#: Cells of the parity sketches: those that travel with n-grams are folds of those that pairs are checked with.
+CELLS, WIDE = 256, 2048
 _CHUNK = 1 << 14
 _LOW = np.uint64((1 << 58) - 1)
 
@@ -129,8 +130,8 @@ def _class_id(h: np.ndarray) -> int:
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    """The parity of the n-grams in each of CELLS cells: it differs in at most as many cells as two sets differ in n-grams."""
-    return np.packbits(np.bincount((h >> np.uint64(21) & np.uint64(CELLS - 1)).astype("i8"), minlength=CELLS) & 1).tobytes()
+    """The parity of the n-grams in each of WIDE cells: it differs in at most as many cells as two sets differ in n-grams."""
+    return np.packbits(np.bincount((h >> np.uint64(21) & np.uint64(WIDE - 1)).astype("i8"), minlength=WIDE) & 1).tobytes()
 
 
 def needed(nx, ny, percent: int):
@@ -278,7 +279,7 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", n: i
                     heads.append(_ordered(h, levels)[: len(h) - -(-percent * len(h) // 100) + 1].astype("i8"))
                 ends = np.cumsum([0, *map(len, heads)]).astype("i4")
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*heads, np.zeros(0, "i8")])))
-                cells = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(sketches), "i8")), CELLS // 64).cast(pa.list_(pa.int64()))
+                cells = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(sketches), "i8")), WIDE // 64).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(anchors, pa.int64()), cells, lists], ["doc_id", "n", "class_id", "anchor", "sketch", "head"])
 
     all_rows = settle(docs.mapInArrow(begin, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class_id long, anchor long, sketch array<long>, head array<long>"))
@@ -296,7 +297,7 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", n: i
         posts = held(_open_posts(held, classes, known, percent))
         for last in (False, True):
             pairs = held.cut(_open_pairs(posts, known, percent, last))
-            pairs = held.cut(_overlapping(pairs, classes, percent))
+            pairs = held.cut(_near(pairs, classes, percent))
             if pairs.limit(1).count():
                 edges = edges.unionAll(held.cut(look_up(_pair_groups(held, pairs, most))))
                 known = components(edges)
@@ -317,7 +318,12 @@ def _open_posts(held: Held, classes: DataFrame, known: DataFrame, percent: int)
     its first n - percent% of n + 1. m: whether one of the components has several members. An n-gram of two sets whose
     sizes are too far apart joins nothing.
     """
-    cells = [F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(CELLS // 64)]
+    cells = []
+    for i in range(CELLS // 64):
+        folded = F.get("sketch", F.lit(i))
+        for k in range(i + CELLS // 64, WIDE // 64, CELLS // 64):
+            folded = folded.bitwiseXOR(F.get("sketch", F.lit(k)))
+        cells.append(folded.alias(f"s{i}"))
     posts = _labelled(classes.select("class_id", "n", *cells, "head"), known)
     posts = posts.select("class_id", "n", *[f"s{i}" for i in range(CELLS // 64)], "c", "many", F.posexplode("head").alias("at", "gram"))
     posts = posts.withColumn("lead", F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)))
@@ -354,13 +360,13 @@ def _open_pairs(posts: DataFrame, known: DataFrame, percent: int, last: bool) ->
     return met.where("x.many or y.many").groupBy(F.least("x.c", "y.c").alias("low"), F.greatest("x.c", "y.c").alias("high")).agg(F.min(pair).alias("s")).select("s.*")
 
 
-def _overlapping(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose beginnings share enough n-grams, with x_rep and y_rep: beyond the end of the one that ends first, only its own rest can be shared."""
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide sketches allow a link, with x_rep and y_rep."""
     named = broadcast_if_small(pairs, 500_000)
-    sides = [classes.join(named, F.col("class_id") == F.col(s)).select("x", "y", F.col("n").alias(f"{s}n"), F.col("head").alias(f"{s}h"), F.col("rep").alias(f"{s}_rep")) for s in "xy"]
-    rest = F.greatest(F.col("xn") - F.size("xh"), F.col("yn") - F.size("yh"))
-    enough = (F.size(F.array_intersect("xh", "yh")) + rest) * (100 + percent) >= percent * (F.col("xn") + F.col("yn"))
-    return sides[0].join(sides[1], ["x", "y"]).where(enough).select("x", "x_rep", "y", "y_rep")
+    sides = [classes.join(named, F.col("class_id") == F.col(s)).select("x", "y", F.col("n").alias(f"{s}n"), F.col("sketch").alias(f"{s}s"), F.col("rep").alias(f"{s}_rep")) for s in "xy"]
+    differ = F.aggregate(F.zip_with("xs", "ys", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, v: t + v)
+    need = F.ceil(F.lit(percent) * (F.col("xn") + F.col("yn")) / (100 + percent))
+    return sides[0].join(sides[1], ["x", "y"]).where(differ <= F.col("xn") + F.col("yn") - 2 * need).select("x", "x_rep", "y", "y_rep")
 
 
 def _pair_groups(held: Held, pairs: DataFrame, most: int) -> DataFrame:
