@@ -6,7 +6,7 @@ sharing the overlap with common path pieces and leaving subtrees whose remaining
 that are linked already. That finds most links. The rest is found through the n-grams that two linked sets
 must share near their beginnings: n-grams there that join different components name pairs to look up in tries of their
 own, first one pair for each two components, then all that are left. Bounds that no linked pair fails (place of the
-n-gram, parity sketches) keep the pairs few. So no link between components is lost, and large groups
+n-gram, parity sketches, shared beginnings) keep the pairs few. So no link between components is lost, and large groups
 of near copies aren't spelled out in pairs.
 
 The order of n-grams comes from counts over all documents, in buckets: it steers the work, any order gives the same
@@ -297,7 +297,7 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", n: i
         posts = held(_open_posts(held, classes, known, percent))
         for last in (False, True):
             pairs = held.cut(_open_pairs(posts, known, percent, last))
-            pairs = held.cut(_near(pairs, classes, percent))
+            pairs = held.cut(_overlapping(held.cut(_near(pairs, classes, percent)), classes, percent))
             if pairs.limit(1).count():
                 edges = edges.unionAll(held.cut(look_up(_pair_groups(held, pairs, most))))
                 known = components(edges)
@@ -369,6 +369,19 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sides[0].join(sides[1], ["x", "y"]).where(differ <= F.col("xn") + F.col("yn") - 2 * need).select("x", "x_rep", "y", "y_rep")
 
 
+def _overlapping(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose beginnings share enough n-grams: beyond the end of the one that ends first, only its own rest can be shared.
+
+    31 bits of each n-gram are enough here: a chance match only lets a pair through.
+    """
+    named, bits = broadcast_if_small(pairs.select("x", "y"), 500_000), F.transform("head", lambda g: g.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    sides = [classes.join(named, F.col("class_id") == F.col(s)).select("x", "y", F.col("n").alias(f"{s}n"), bits.alias(f"{s}h")) for s in "xy"]
+    rest = F.greatest(F.col("xn") - F.size("xh"), F.col("yn") - F.size("yh"))
+    shared = F.size(F.array_intersect("xh", "yh")) + (F.size("xh") - F.size(F.array_distinct("xh")))
+    both = sides[0].join(sides[1], ["x", "y"]).where((shared + rest) * (100 + percent) >= percent * (F.col("xn") + F.col("yn")))
+    return pairs.join(both.select("x", "y"), ["x", "y"])
+
+
 def _pair_groups(held: Held, pairs: DataFrame, most: int) -> DataFrame:
     """members(gid, class_id, rep): each x with the sets it is to be compared with, dealt into groups of about `most`."""
     parts = held(pairs.groupBy(F.col("x").alias("__x")).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")))
