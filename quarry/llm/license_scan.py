@@ -2,13 +2,16 @@
 
 Lines and blank-separated blocks that hold one of a few cue words are paragraphs in question. A sparse (L1) logistic
 regression over word 1- to 3-grams, trained on licence notices and other text, names a family for each; a family holds
-if its probability is above a threshold calibrated on notices kept from training, and if the paragraph contains enough
-of the 3-grams of one of the family's templates. Other paragraphs in question are unknown. All of it is DataFrame and
-ML-pipeline work inside the JVM.
+if its probability is above a threshold calibrated on notices kept from training, and if the paragraph holds one of the
+family's names, in whatever sentence, or enough of the 3-grams of one of its passages. Other paragraphs in question are
+unknown. All of it is DataFrame and ML-pipeline work inside the JVM.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StringIndexer
@@ -67,6 +70,26 @@ def templates() -> list[tuple[str, str]]:
     return [*((k, f.format(n)) for k, names in NAMES.items() for n in names for f in FRAMES), *((k, p) for k, ps in PASSAGES.items() for p in ps)]
 
 
+def name_pattern(family: str) -> str:
+    """A pattern of a family's names in words joined by spaces: ids with any version, names up to their version and without a last "license". A name of a single
+    plain word (MIT) must stand where a licence is named: behind "under", "terms of", "license" or SPDX's key, or before "license"."""
+    plain, whole = set(), set()
+    for name in NAMES.get(family, ()):
+        words = re.findall(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*", name.lower())
+        at = next((i for i, w in enumerate(words) if i and re.fullmatch(r"version|[0-9.]+|v[0-9.]+", w)), len(words))
+        core = " ".join(words[:at]).removesuffix(" license").removesuffix(" licence")
+        id_ = re.fullmatch(r"([a-z]+)-[0-9][a-z0-9.+-]*", core)
+        if re.fullmatch("[a-z]+", core):
+            plain.add(core)
+        else:
+            whole.add(rf"{id_[1]}-[0-9][a-z0-9.+-]*" if id_ else re.escape(core).replace(r"\ ", " ").replace(r"\-", "-"))
+    some = [rf" (?:{'|'.join(sorted(whole))}) "] if whole else []
+    if plain:
+        one = f"(?:{'|'.join(sorted(plain))})"
+        some += [rf" (?:under|terms of|licen[cs]ed?|spdx-license-identifier)(?: the| an?)? {one} ", rf" {one}(?: (?:version|v?[0-9][0-9.]*|software|public|open|source))* licen[cs]e[ds]? "]
+    return "|".join(some)
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"), F.lit(0))
 
@@ -82,20 +105,51 @@ def _featured(rows: DataFrame) -> DataFrame:
     return w.withColumn("grams", F.concat("words", _grams(F.col("words"), 2), _grams(F.col("words"), 3)))
 
 
+def _variants(known: DataFrame) -> DataFrame:
+    """known(family, text) with variant: 0 the whole text, others with words left out (not those in capitals, which names have)."""
+    w = F.split("text", " ")
+    gone = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.array_join(F.filter(w, lambda x, i: (k == 0) | ~x.rlike("^[a-z]") | (F.pmod(F.xxhash64(x, i, k), F.lit(7)) != 0)), " "))
+    return known.select("family", F.posexplode(F.array_distinct(gone)).alias("variant", "text"))
+
+
+def _kept() -> Column:
+    return F.pmod(F.xxhash64("text"), F.lit(5)) == 0
+
+
+def _passages(spark: SparkSession) -> DataFrame:
+    """(family, wants): the 3-grams of each passage of a family; families without passages have none."""
+    grams = F.array_distinct(_grams(_words(F.col("text")), 3))
+    rows = [(k, p) for k in sorted({*NAMES, *PASSAGES}) for p in PASSAGES.get(k, ("",))]
+    return _literal(spark, rows).select("family", F.when(F.size(grams) > 0, grams).alias("want")).groupBy("family").agg(F.collect_set("want").alias("wants"))
+
+
+def _share() -> Column:
+    """The largest share of a passage's 3-grams (wants) that a paragraph has (words)."""
+    has = _grams(F.col("words"), 3)
+    return F.coalesce(F.array_max(F.transform("wants", lambda t: F.size(F.array_intersect(has, t)) / F.size(t))), F.lit(0.0))
+
+
+def bound(spark: SparkSession, *, kept: float = 0.95) -> float:
+    """The share of a passage's 3-grams that at least `kept` of the altered passages kept from training have, but more than any text of OTHER has."""
+    wants = _passages(spark)
+    rows = _featured(_variants(_literal(spark, [(k, p) for k, ps in PASSAGES.items() for p in ps])).where(_kept() & (F.col("variant") > 0)))
+    mine = sorted((r["s"] for r in rows.join(wants, "family").select(_share().alias("s")).collect()), reverse=True)
+    least = mine[max(0, math.ceil(kept * len(mine)) - 1)] if mine else 0.8
+    other = _featured(_literal(spark, [("none", x) for x in OTHER])).drop("family").crossJoin(wants).select(F.max(_share())).first()[0]  # both are small
+    return max(least, other + 0.05)
+
+
 def train(docs: DataFrame, *, text_col="text", others: int = 1000, precision: float = 0.95) -> tuple[PipelineModel, float]:
     """(model, threshold) from the templates whole and with words left out (not those in capitals, which names have), from OTHER, and from about `others` documents' first
     lines without cue words. One variant in five is kept from training; the threshold is the least probability from which
     on at least `precision` of the kept rows have their own family."""
     spark = docs.sparkSession
-    known = _literal(spark, [*templates(), *(("none", x) for x in OTHER)])
-    w = F.split("text", " ")
-    gone = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.array_join(F.filter(w, lambda x, i: (k == 0) | ~x.rlike("^[a-z]") | (F.pmod(F.xxhash64(x, i, k), F.lit(7)) != 0)), " "))
-    known = known.select("family", F.posexplode(F.array_distinct(gone)).alias("variant", "text"))
+    known = _variants(_literal(spark, [*templates(), *(("none", x) for x in OTHER)]))
     n = max(1, docs.count())
     prose = docs.where(unit_hash(F.xxhash64(text_col), seed=5) < others / n).select(F.lit("none").alias("family"), F.lit(0).alias("variant"), F.element_at(F.split(text_col, "\n"), 1).alias("text"))
     prose = prose.where(F.col("text").isNotNull() & ~F.lower("text").rlike(CUES))
     # A few thousand rows whatever the corpus: in one part, each step of the fit is one small task.
-    rows = settle(_featured(known.unionAll(prose)).withColumn("kept", F.pmod(F.xxhash64("text"), F.lit(5)) == 0).coalesce(1))
+    rows = settle(_featured(known.unionAll(prose)).withColumn("kept", _kept()).coalesce(1))
     fit = rows.where(~F.col("kept") | (F.col("variant") == 0))
     model = Pipeline(stages=[
         StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc"), CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2, vocabSize=1 << 14),
@@ -139,11 +193,13 @@ def scan(docs: DataFrame, model: PipelineModel, threshold: float, *, id_col="doc
     rows = rows.select("doc_id", F.when(F.lower("t").rlike(CUES), paragraphs(F.col("t"))).alias("parts"), F.monotonically_increasing_id().alias("row"))
     rows = settle(rows)
     asked = _featured(rows.where("parts is not null").select("row", F.explode("parts").alias("text")))
-    guessed = predict(model, asked).where((F.col("guess") != "none") & (F.col("p") >= threshold)).select("row", "guess", "p", "text", _grams(F.col("words"), 3).alias("has"))
-    # A few templates for each family, all written down above.
-    wanted = _literal(spark, templates()).select("family", F.array_distinct(_grams(_words(F.col("text")), 3)).alias("want")).where(F.size("want") > 0).groupBy("family").agg(F.collect_set("want").alias("wants"))
-    near = F.exists("wants", lambda t: F.size(F.array_intersect(F.col("has"), t)) >= F.lit(contained) * F.size(t))
-    held = guessed.join(F.broadcast(wanted), F.col("guess") == F.col("family")).where(near)
+    guessed = predict(model, asked).where((F.col("guess") != "none") & (F.col("p") >= threshold)).select("row", "guess", "p", "words")
+    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    named = F.lit(False)
+    for family in NAMES:
+        named = named | ((F.col("guess") == family) & joined.rlike(name_pattern(family)))
+    # A few passages for each family, all written down above.
+    held = guessed.join(F.broadcast(_passages(spark)), F.col("guess") == F.col("family")).where(named | (_share() >= contained))
     best = held.groupBy("row").agg(F.count(F.lit(1)).alias("n_licensed"), F.min(F.struct((-F.col("p")).alias("p"), "guess")).alias("b"))
     out = rows.join(best, "row", "left")
     found = F.coalesce(F.col("b.guess"), F.when(F.col("parts").isNull(), "none").otherwise("unknown"))
@@ -153,7 +209,7 @@ def scan(docs: DataFrame, model: PipelineModel, threshold: float, *, id_col="doc
 def op5_license_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model, threshold = train(docs)
-    return scan(docs, model, threshold)
+    return scan(docs, model, threshold, contained=bound(spark))
 
 
 QUERIES = {"op5_license_scan": op5_license_scan}

@@ -111,3 +111,18 @@ def test_cues_cover_templates():
     import re
 
     assert all(re.search(C.CUES, t.lower()) for _, t in C.templates())
+
+
+def test_license_names_in_any_sentence(spark):
+    """SPDX lines of two words, reworded notices and passages count; names without a licence don't."""
+    told = [("MIT", "SPDX-License-Identifier: MIT"), ("Apache", "SPDX-License-Identifier: Apache-2.0"), ("BSD", "SPDX-License-Identifier: BSD-3-Clause"), ("GPL", "SPDX-License-Identifier: GPL-3.0-or-later"), ("MPL", "SPDX-License-Identifier: MPL-2.0"), ("ISC", "SPDX-License-Identifier: ISC")]
+    told += [("MIT", "This project is licensed under the terms of the MIT license."), ("GPL", "You can use it under the GNU General Public License, either version 2 or later."), ("BSD", "Use is governed by a BSD 3-Clause License that can be found in the LICENSE file.")]
+    told += [("unknown", "MIT researchers were denied permission to enter."), ("unknown", "The isc meeting discussed licence fees."), ("unknown", "The licensed apache helicopter pilot slept.")]
+    altered = [("public-domain", "This file is in the public domain."), ("MIT", "Permission is granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"), ("unknown", "The public domain of the town is large.")]
+    rng = random.Random(3)
+    model, threshold = C.train(spark.createDataFrame([(i, prose(rng, "en", 30)) for i in range(40)], "doc_id long, text string"))
+    asked = [spark.createDataFrame([(i, t) for i, (_, t) in enumerate(x)], "doc_id long, text string") for x in (told, altered)]
+    got = {r.doc_id: r.license for r in C.scan(asked[0], model, threshold).collect()}
+    assert [got[i] for i in range(len(told))] == [k for k, _ in told]
+    got = {r.doc_id: r.license for r in C.scan(asked[1], model, threshold, contained=C.bound(spark)).collect()}
+    assert [got[i] for i in range(len(altered))] == [k for k, _ in altered]
