@@ -47,6 +47,27 @@ def pack(text: str | None, most: int = MOST) -> list[str]:
     return [*out, now] if now else out
 
 
+def unrepeated(text: str | None, chunks: list[str]) -> str:
+    """The words of pack()'s chunks in order, without the headers it repeated."""
+    own, above, header = [], [], None  # the words of text; for each, the header above its line
+    for raw in (text or "").split("\n"):
+        words = raw.split()
+        if not words:
+            continue
+        line = " ".join(words)
+        is_row = line.count("|") >= 2
+        above += [header if is_row else None] * len(words)
+        header = (header or line) if is_row else None
+        own += words
+    out: list[str] = []
+    for chunk in chunks:
+        first, _, rest = chunk.partition("\n")
+        at, more = len(out), rest.split()
+        again = out and more and at < len(own) and above[at] == first and own[at : at + len(more)] == more
+        out += more if again else chunk.split()
+    return " ".join(out)
+
+
 def build_chunks(sources: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     """chunk_id, source_id, chunk_index, section_ref, jurisdiction_id, districts, uses, source_text_hash, token_count, chunk_text.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -23,6 +26,20 @@ def c01_chunk_coverage(spark, d):
     return made.join(s.select("source_id", "full_text", "doc"), "source_id").where(~F.contains("full_text", F.lit("|"))).select(F.col("doc").alias("doc_id"), F.md5(plain).alias("words_md5"))
 
 
+def c01_all_coverage(spark, d):
+    """The words of each document's chunks, without stamps and repeated headers, are its own, in order; tables too."""
+    s = sources(table(spark, d, "documents")).withColumn("title", F.lit(""))
+    made = chunking.build_chunks(s, least=1).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("c"))
+    rows = made.join(s.select("source_id", "full_text", "doc_id"), "source_id").select("doc_id", "full_text", F.col("c.chunk_text").alias("chunks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [chunking.unrepeated(t.as_py(), c.as_py()) for t, c in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], ["doc_id", "words"])
+
+    return rows.mapInArrow(run, "doc_id long, words string").select("doc_id", F.md5("words").alias("words_md5"))
+
+
 def x20_page_text(spark, d):
     return html.clean_pages(table(spark, d, "pages")).select("page_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
 
@@ -82,10 +99,11 @@ def t08_stage_trace(spark, d):
     return c.groupBy("conv_id", "role").agg(F.max("turn").alias("last_turn"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (c01_chunks, c01_chunk_coverage, x20_page_text, x22_page_sections, w06_table_headers, w14_sections, w11_carried, w09_unique_names, w10_slices, w07_daily_quota, w08_throttle, t02_window_counts, w13_question_dedupe, t08_stage_trace)}
+QUERIES = {f.__name__: f for f in (c01_chunks, c01_chunk_coverage, c01_all_coverage, x20_page_text, x22_page_sections, w06_table_headers, w14_sections, w11_carried, w09_unique_names, w10_slices, w07_daily_quota, w08_throttle, t02_window_counts, w13_question_dedupe, t08_stage_trace)}
 
 ORACLE = {
     "c01_chunk_coverage": "select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as words_md5 from documents where not contains(text, '|') and trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''",
+    "c01_all_coverage": "select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as words_md5 from documents where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''",
     "w06_table_headers": "with l as (select doc_id as doc, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents), r as (select *, length(line) - length(replace(line, '|', '')) >= 2 as is_row from l), g as (select *, sum((not is_row)::int) over (partition by doc order by pos) as run from r), h as (select *, first_value(line) over (partition by doc, run, is_row order by pos) as header, row_number() over (partition by doc, run, is_row order by pos) as k from g where is_row) select doc, pos::int as pos, md5(header) as header from h where k > 1",
     "w14_sections": "with l as (select conv_id as doc, turn as pos, case when turn % 3 = 1 then 'Sec. 4 ' || text else text end as line from conversations), g as (select *, trim(line) like 'Sec. 4 %' or trim(line) = 'Sec. 4' as h, sum((trim(line) like 'Sec. 4%')::int) over (partition by doc order by pos) as section from l) select doc, section::bigint as section, count(*) filter (not h) as lines, md5(max(case when h then trim(line) end)) as heading from g group by 1, 2",
     "w11_carried": "select event_id, last_value(case when event_type = 'signup' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as article from events",

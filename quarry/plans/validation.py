@@ -53,6 +53,16 @@ def x56_replies(spark, d):
     return e.select("event_id", decision.alias("decision"), F.round(confidence, 6).alias("confidence"))
 
 
+def x56_all_replies(spark, d):
+    """Every event as a reply: of twenty in turn, five fenced, five without JSON, five without a decision, five plain."""
+    e = table(spark, d, "events")
+    n = F.col("event_id")
+    body = F.concat(F.lit('{"decision":"'), F.col("event_type"), F.lit('","confidence":'), (n % 30) / 10.0, F.lit("}"))
+    text = F.when(n % 20 < 5, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n % 20 < 10, "sorry").when(n % 20 < 15, "{}").otherwise(body)
+    decision, confidence = V.parse_reply(text)
+    return e.select("event_id", decision.alias("decision"), F.round(confidence, 6).alias("confidence"))
+
+
 def x50_valid_citations(spark, d):
     o = table(spark, d, "orders")
     n = F.col("o_orderkey")
@@ -87,7 +97,7 @@ def x29_merged_context(spark, d):
     return asked.select("conv_id", F.md5(F.concat(F.lit("Clarifications:\n- "), F.array_join(F.transform("l", lambda x: x["line"]), "\n- "))).alias("context_md5"))
 
 
-QUERIES = {f.__name__: f for f in (x27_url_problems, p19_reserved, x36_labels, j07_resolve, o06_pick, x56_replies, x50_valid_citations, w03_reserved_hits, a12_status_counts, a22_states, u05_ordered_distinct, x29_merged_context)}
+QUERIES = {f.__name__: f for f in (x27_url_problems, p19_reserved, x36_labels, j07_resolve, o06_pick, x56_replies, x56_all_replies, x50_valid_citations, w03_reserved_hits, a12_status_counts, a22_states, u05_ordered_distinct, x29_merged_context)}
 
 ORACLE = {
     "x27_url_problems": "select page_id, case page_id % 6 when 0 then 'missing' when 1 then 'scheme' when 2 then 'placeholder' when 3 then 'todo' end as problem from pages",
@@ -96,6 +106,7 @@ ORACLE = {
     "j07_resolve": "with g as (select n_nationkey as k, n_name, r_name from nation join region on n_regionkey = r_regionkey), c as (select c_custkey, n_name, case when c_custkey % 5 <> 0 then lower(c_mktsegment) end as county, r_name from customer join g on c_nationkey = k), m as (select c.c_custkey, r.k, r.k % 3 = 0 as late from c join g r on c.r_name = r.r_name and case r.k % 3 when 1 then c.n_name = r.n_name when 0 then coalesce(c.county = 'building', false) else c.n_name = r.n_name and coalesce(c.county = 'building', true) end) select c.c_custkey, (select 'j' || k from m where m.c_custkey = c.c_custkey order by late, k limit 1) as jurisdiction_id from c",
     "o06_pick": "select p_brand, p_name as title from part qualify row_number() over (partition by p_brand order by not contains(lower(p_type), 'steel'), p_size, p_name) = 1",
     "x56_replies": "select event_id, case when event_id % 20 in (5, 10) then 'unknown' else event_type end as decision, case when event_id % 20 in (5, 10) then 0.0::double else round(least(1.0, (event_id % 30) / 10.0)::double, 6) end as confidence from events where event_id % 5 = 0",
+    "x56_all_replies": "select event_id, case when event_id % 20 between 5 and 14 then 'unknown' else event_type end as decision, case when event_id % 20 between 5 and 14 then 0.0::double else round(least(1.0, (event_id % 30) / 10.0)::double, 6) end as confidence from events",
     "x50_valid_citations": "with k as (select o_orderkey, list_filter(['s' || (o_orderkey % 3), 's' || (o_orderkey % 5), 's' || (o_orderkey % 7)], lambda x: x in ('s1', 's4', 's6')) as l from orders), u as (select o_orderkey, list_filter(l, lambda x, i: list_position(l, x) = i) as l from k) select o_orderkey, array_to_string(l, ',') as kept, case when len(l) = 0 then 0.3::double else 0.8::double end as confidence from u",
     "w03_reserved_hits": _PLAINLY + ", h as (select r.qid, r.chunk_id, row_number() over (partition by r.qid order by r.rank) as i from ranked r where r.rank between 5 and 30 and not exists (select 1 from top8 t where t.qid = r.qid and t.chunk_id = r.chunk_id)), l as (select qid, max(slot) as last from top8 group by qid) select qid, slot::int as slot, chunk_id from top8 union all select qid, (last + i)::int, chunk_id from h join l using (qid) where i <= 2",
     "a12_status_counts": "select o_orderpriority, count(*) filter (o_orderstatus = 'F') as done, count(*) filter (o_orderstatus = 'O') as open, count(*) filter (o_orderstatus not in ('F', 'O')) as other from orders group by 1",
