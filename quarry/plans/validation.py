@@ -97,7 +97,16 @@ def x29_merged_context(spark, d):
     return asked.select("conv_id", F.md5(F.concat(F.lit("Clarifications:\n- "), F.array_join(F.transform("l", lambda x: x["line"]), "\n- "))).alias("context_md5"))
 
 
-QUERIES = {f.__name__: f for f in (x27_url_problems, p19_reserved, x36_labels, j07_resolve, o06_pick, x56_replies, x56_all_replies, x50_valid_citations, w03_reserved_hits, a12_status_counts, a22_states, u05_ordered_distinct, x29_merged_context)}
+def x29_whole_context(spark, d):
+    """Each conversation's turns merged whole, without the white space around them; turns of white space alone are left out."""
+    space = F.lit(" \t\n\r\x0b\x0c")
+    c = table(spark, d, "conversations").withColumn("answer", F.trim("text", space)).where("answer <> ''")
+    line = F.concat(F.trim("role", space), F.lit(": "), F.col("answer")).alias("line")
+    asked = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line))).alias("l"))
+    return asked.select("conv_id", F.md5(F.concat(F.lit("Clarifications:\n- "), F.array_join(F.transform("l", lambda x: x["line"]), "\n- "))).alias("context_md5"))
+
+
+QUERIES = {f.__name__: f for f in (x27_url_problems, p19_reserved, x36_labels, j07_resolve, o06_pick, x56_replies, x56_all_replies, x50_valid_citations, w03_reserved_hits, a12_status_counts, a22_states, u05_ordered_distinct, x29_merged_context, x29_whole_context)}
 
 ORACLE = {
     "x27_url_problems": "select page_id, case page_id % 6 when 0 then 'missing' when 1 then 'scheme' when 2 then 'placeholder' when 3 then 'todo' end as problem from pages",
@@ -113,4 +122,5 @@ ORACLE = {
     "a22_states": "select distinct upper(trim(c_mktsegment)) as state from customer",
     "u05_ordered_distinct": "select doc_id, source || ',' || lang || ',x' as items from documents",
     "x29_merged_context": "select conv_id, md5('Clarifications:' || chr(10) || '- ' || string_agg(role || ': ' || left(text, 40), chr(10) || '- ' order by turn)) as context_md5 from conversations where trim(text) <> '' group by 1",
+    "x29_whole_context": "with s as (select ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) as s) select conv_id, md5('Clarifications:' || chr(10) || '- ' || string_agg(trim(role, s) || ': ' || trim(text, s), chr(10) || '- ' order by turn)) as context_md5 from conversations, s where trim(text, s) <> '' group by 1",
 }

@@ -27,3 +27,11 @@ def test_repeated_headers():
         assert len(chunks) > 1 and chunking.unrepeated(text, chunks) == " ".join(text.split())
         assert chunking.unrepeated(text, chunks[:1] + chunks[2:]) != " ".join(text.split())
     assert chunking.pack(table(200, "| {} | x y |"))[1].startswith("| a | b |")
+
+
+def test_whole_context(spark, tmp_path):
+    """Turns that differ behind their 40th character make contexts that differ; space around turns doesn't."""
+    rows = [(1, 0, "user", "x" * 60 + "a"), (2, 0, "user", "x" * 60 + "b"), (3, 0, "user", "\n" + "x" * 60 + "a \t"), (3, 1, "user", " \n"), (4, 0, "user", "  ")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.context_md5 for r in registry.queries()["x29_whole_context"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and got[1] != got[2] and got[1] == got[3]
