@@ -49,6 +49,25 @@ def test_language(spark, rows):
     assert L.identify(df.limit(0), names, model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """More than 128 languages, the rarest with few rows, most of them without letters."""
+    rows = [(i * 12 + j, chr(0x4E00 + i * 20) * 3 + chr(0x4E00 + i * 20 + j % 4) + " " + chr(0x4E01 + i * 20) * 2, f"l{i:03}") for i in range(150) for j in range(12 if i < 140 else 6)]
+    rows += [(10000 + j, "12 34", "l149") for j in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, model = L.train(df)
+    assert names == [f"l{i:03}" for i in range(150)]
+    rare = [r for r in rows if r[2] >= "l140" and r[0] < 10000]
+    assert sum(k == r[2] for k, r in zip(L.judge([r[1] for r in rare], names, model)[0], rare, strict=True)) / len(rare) > 0.95
+
+
+def test_decode():
+    rng = np.random.default_rng(0)
+    model = {"code": L.codewords(20), "w": np.eye(44, dtype="f4"), "b": np.zeros(44, "f4"), "trust": rng.random(44).astype("f4")}
+    x = rng.normal(size=(30, 44)).astype("f4")
+    loss = (np.log1p(np.exp(-x[:, None, :] * model["code"][None])) * model["trust"]).sum(2)
+    assert (L.decode(model, x)[0] == loss.argmin(1)).all()
+
+
 def test_codewords():
     for n in (2, 3, 5, 6, 20):
         code = L.codewords(n)
