@@ -19,6 +19,22 @@ def us_long_date(text: Column) -> Column:
     return F.to_date(F.try_to_timestamp(found, F.lit("MMMM d, yyyy")))
 
 
+def expand_year(year: Column) -> Column:
+    """Two-digit years: up to 49 in the 2000s, others in the 1900s."""
+    return F.when(year >= 100, year).when(year <= 49, year + 2000).otherwise(year + 1900)
+
+
+def safe_date(year: Column, month: Column, day: Column) -> Column:
+    """The date of three numbers; null if there is none."""
+    return F.to_date(F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day), F.lit("yyyy-MM-dd")))
+
+
+def published(text: Column) -> Column:
+    """The part of an ISO time before its T; null for empty texts and for 0001-01-01, which stands for no date."""
+    day = F.split_part(text, F.lit("T"), F.lit(1))
+    return F.when((text != "") & ~F.startswith(day, F.lit("0001-01-01")), day)
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision; 0 for empty vectors and vectors of different lengths."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

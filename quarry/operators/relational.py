@@ -145,6 +145,17 @@ def ordered_fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.agg(F.array_sort(F.collect_list(line)).alias("l")).select(F.when(F.size("l") == 0, "").otherwise(F.sha2(F.array_join("l", "\x1e"), 256)).alias("fingerprint"))
 
 
+def retag_delta(entries: DataFrame, stored: DataFrame, chunks: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
+    """Keys of entries (key, districts, uses) whose tags differ in one of three stores: not stored or stored otherwise, a chunk row (key, districts,
+    uses as ',a,b,') that differs, or a vector payload (key, districts, uses without empty ones). Without chunk rows or payloads there is nothing stale."""
+    e = entries.select(F.col(key).alias("__k"), F.col("districts").alias("__d"), F.col("uses").alias("__u"))
+    csv = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
+    filled = lambda c: F.filter(c, lambda x: x != "")
+    differ = lambda rows, how, change: e.join(rows, F.col("__k") == F.col(key), how).where(~(F.col("districts").eqNullSafe(change("__d")) & F.col("uses").eqNullSafe(change("__u")))).select(F.col("__k").alias(key))
+    found = differ(stored, "left", F.col).unionAll(differ(chunks, "inner", csv)).unionAll(differ(payloads, "inner", filled))
+    return found.distinct()
+
+
 def upsert(held: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """held with new's rows in place of those of their keys; the columns in keep stay as they were held."""
     n = new.select(F.col(key).alias("__key"), F.struct(*[c for c in held.columns if c != key]).alias("__new"))

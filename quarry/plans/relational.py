@@ -50,6 +50,18 @@ def j04_retag(spark, d):
     return updated.select("doc_id", "tag").unionAll(skipped.select("doc_id", F.lit("skipped")))
 
 
+def j10_retag_delta(spark, d):
+    """Sources against three stores: one in ten isn't stored, others differ in one store or are absent from a store of chunks or payloads."""
+    s = sources(table(spark, d, "documents")).select("source_id", "doc_id", "districts", "uses")
+    n, other = F.col("doc_id"), F.array(F.lit("old"))
+    csv = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
+    entries = s.withColumn("uses", F.concat("uses", F.array(F.lit(""))))
+    stored = entries.where(n % 10 != 0).withColumn("districts", F.when(n % 17 == 3, other).otherwise(F.col("districts")))
+    chunks = entries.where(n % 5 != 1).withColumn("i", F.explode(F.array(F.lit(0), F.lit(1)))).select("source_id", csv("districts").alias("districts"), F.when((n % 19 == 4) & (F.col("i") == 1), ",old,").otherwise(csv("uses")).alias("uses"))
+    payloads = s.where(n % 4 != 2).withColumn("uses", F.when(n % 23 == 5, other).otherwise(F.col("uses")))
+    return R.retag_delta(entries, stored.drop("doc_id"), chunks, payloads.drop("doc_id"), "source_id")
+
+
 def j09_stale(spark, d):
     h = table(spark, d, "documents").select(F.concat(F.col("source"), F.lit("-"), F.col("doc_id") % 50).alias("source"), F.md5("lang").alias("hash"), "doc_id")
     expected = h.groupBy("source").agg(F.min("hash").alias("hash"))
@@ -211,7 +223,7 @@ def j18_toc_paths(spark, d):
     return R.ancestors(t, 16).select("node", F.array_join("path", "/").alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (j08_scope_join, p05_scope_predicate, j01_projects, j03_pending, j04_retag, j09_stale, j06_first_match, j05_citation_check, j13_recall, a03_request_summary, a05_distinct_tags, a06_latest_event, a07_fingerprint, a07_table_fingerprint, a09_groups, a10_scorecard, a11_gates, a13_longest_body, a14_latest_date, a15_substance, a17_repeated_ids, a23_freshness, k02_upsert, k03_prune, k10_first_requests, p12_masked, p11_missing_fields, p17_violations, o02_page, p03_fetch_in_order, u02_reference_union, u03_difference, u04_intersection, j18_toc_paths)}
+QUERIES = {f.__name__: f for f in (j08_scope_join, p05_scope_predicate, j01_projects, j03_pending, j04_retag, j09_stale, j10_retag_delta, j06_first_match, j05_citation_check, j13_recall, a03_request_summary, a05_distinct_tags, a06_latest_event, a07_fingerprint, a07_table_fingerprint, a09_groups, a10_scorecard, a11_gates, a13_longest_body, a14_latest_date, a15_substance, a17_repeated_ids, a23_freshness, k02_upsert, k03_prune, k10_first_requests, p12_masked, p11_missing_fields, p17_violations, o02_page, p03_fetch_in_order, u02_reference_union, u03_difference, u04_intersection, j18_toc_paths)}
 
 _SCOPE = """with t as (select n_name as target, r_name as parent, left(r_name, 2) as state from nation join region on n_regionkey = r_regionkey),
 s as (select s_suppkey as source_id, case s_suppkey % 5 when 0 then '*' when 1 then r_name when 2 then null else n_name end as jurisdiction, left(r_name, 2) as st from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey) """
@@ -230,6 +242,7 @@ ORACLE = {
     "j05_citation_check": "with c as (select o_orderkey as analysis, l_partkey as source from orders left join lineitem on o_orderkey = l_orderkey and l_quantity > 10), k as (select p_partkey, p_size % 7 <> 0 as dated from part where p_size % 10 <> 3), g as (select analysis, count(source) as cited, count(*) filter (source is not null and p_partkey is null) as unknown, count(*) filter (p_partkey is not null and not dated) as undated from c left join k on source = p_partkey group by 1) select *, cited > 0 and unknown = 0 as valid, case when cited > 0 and unknown = 0 then 1.0::double else 0.0 end as coverage from g",
     "j13_recall": "with r as (select distinct l_orderkey as c, l_partkey as ref from lineitem where l_linenumber <= 2), d as (select distinct l_orderkey as c, l_partkey as ref from lineitem where l_returnflag <> 'R'), f as (select c, count(*) as n from r semi join d using (c, ref) group by 1), w as (select c, count(*) as n from d where ref not in (select p_partkey from part where p_size > 5) group by 1) select r.c as case, count(*) as required, coalesce(any_value(f.n), 0) as found, coalesce(any_value(w.n), 0) as invented from r left join f on f.c = r.c left join w on w.c = r.c group by r.c",
     "a03_request_summary": "select user_id, case when event_type <> 'view' then event_type end as kind, count(*) as n, max(ts) as latest from events group by all",
+    "j10_retag_delta": "select 'doc-' || doc_id as source_id from documents where doc_id % 10 = 0 or doc_id % 17 = 3 or (doc_id % 5 <> 1 and doc_id % 19 = 4) or (doc_id % 4 <> 2 and doc_id % 23 = 5)",
     "a05_distinct_tags": "with s as (select case when doc_id % 13 = 0 then '' else source end as section_ref, case when doc_id % 7 = 0 then '*' when doc_id % 7 = 1 then 'unknown' else 'd' || (doc_id % 5) end as d, unnest(case when doc_id % 6 = 0 then ['general'] when doc_id % 6 = 1 then ['principal_uses', 'u' || (doc_id % 3)] else ['u' || (doc_id % 3)] end) as u from documents) select section_ref, array_to_string(list_sort(list_distinct(list(d || '/' || u))), ',') as tags from s group by 1",
     "a06_latest_event": "select event_type, max(ts) as at, (max({'t': ts, 'e': event_id})).e as event_id from events group by 1",
     "a07_fingerprint": "select source, sha256(array_to_string(list_sort(list(doc_id || chr(31) || lang)), chr(30))) as fingerprint from documents group by 1",

@@ -94,6 +94,14 @@ def x41_us_date(spark, d):
     return o.select("o_orderkey", N.us_long_date(given).alias("day"))
 
 
+def x42_safe_dates(spark, d):
+    o = _t(spark, d, "orders")
+    n = F.col("o_orderkey")
+    given = F.when(n % 5 == 0, "").when(n % 5 == 1, "0001-01-01T00:00:00").when(n % 5 == 2, "2021-02-03").otherwise("2020-05-06T07:08:09")
+    day = N.safe_date(N.expand_year((n % 120).cast("int")), (n % 14).cast("int"), (n % 33).cast("int"))
+    return o.select("o_orderkey", day.alias("day"), N.published(given).alias("published"))
+
+
 def x45_dot_and_unit(spark, d):
     e = _t(spark, d, "embeddings")
     return e.select("vec_id", F.round(N.dot(F.col("embedding"), F.reverse("embedding")), 6).alias("with_reverse"), F.round(N.dot(N.unit(F.col("embedding")), N.unit(F.col("embedding"))), 6).alias("norm"))
@@ -144,7 +152,7 @@ def x58_json_shapes(spark, d):
     return j.select("event_id", F.get(F.coalesce("j.embedding.values", "j.values", "j.response.embedding.values"), F.lit(0)).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (x01_slugify, x02_csv_list, x03_excerpt, x04_collapse_lines, x06_header_stamp, x08_tokens, x09_section_ref, x14_keyword_ladders, x15_triggers, x28_question_key, x31_coerce_vocab, x33_stem_title, x35_normal_code, x37_token_count, x40_lenient_date, x41_us_date, x45_dot_and_unit, x47_hash_embedding, x49_confidence, x52_content_hash, x54_chunk_id, x58_json_shapes, x62_decision_maps, x63_verdict)}
+QUERIES = {f.__name__: f for f in (x01_slugify, x02_csv_list, x03_excerpt, x04_collapse_lines, x06_header_stamp, x08_tokens, x09_section_ref, x14_keyword_ladders, x15_triggers, x28_question_key, x31_coerce_vocab, x33_stem_title, x35_normal_code, x37_token_count, x40_lenient_date, x41_us_date, x42_safe_dates, x45_dot_and_unit, x47_hash_embedding, x49_confidence, x52_content_hash, x54_chunk_id, x58_json_shapes, x62_decision_maps, x63_verdict)}
 
 _LINES = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10))"
 _HAS = lambda t, *xs: "(" + " or ".join(f"contains({t}, '{x}')" for x in xs) + ")"
@@ -173,6 +181,7 @@ ORACLE = {
     "x35_normal_code": "select p_partkey, upper(regexp_replace(p_brand || '-' || p_type, '[^\\p{L}\\p{N}]', '', 'g')) as code from part",
     "x37_token_count": "select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::int as n_words from documents",
     "x40_lenient_date": "select o_orderkey, case when o_orderkey % 4 < 3 then o_orderdate::date end as day from orders",
+    "x42_safe_dates": "with g as (select o_orderkey, o_orderkey % 120 as y, o_orderkey % 14 as m, o_orderkey % 33 as d from orders) select o_orderkey, try_cast(printf('%04d-%02d-%02d', case when y >= 100 then y when y <= 49 then 2000 + y else 1900 + y end, m, d) as date) as day, case o_orderkey % 5 when 0 then null when 1 then null when 2 then '2021-02-03' else '2020-05-06' end as published from g",
     "x41_us_date": "select o_orderkey, case when o_orderkey % 3 <> 0 then o_orderdate::date end as day from orders",
     "x45_dot_and_unit": "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings) select vec_id, round(list_inner_product(v, list_reverse(v)), 6) as with_reverse, 1.0::double as norm from e",
     "x47_hash_embedding": "with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from documents), h as (select doc_id, sha256(token) as h from t) select doc_id, (('0x' || substr(h, 1, 4))::int % 64)::int as cell, sum(case when ('0x' || substr(h, 5, 2))::int % 2 = 0 then 1 else -1 end)::bigint as value from h group by all",
