@@ -114,6 +114,11 @@ def a07_table_fingerprint(spark, d):
     return R.ordered_fingerprint(table(spark, d, "labels"), "doc_id", "quality")
 
 
+def a07_row_fingerprint(spark, d):
+    """The same rows as a07_table_fingerprint, in any order: no task sees them all."""
+    return R.fingerprint(table(spark, d, "labels"), "doc_id", "quality")
+
+
 def a09_groups(spark, d):
     order = Window.partitionBy("source", "lang").orderBy("doc_id")
     t = table(spark, d, "documents").select("source", "lang", "doc_id", F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80).alias("title")).where("title <> ''")
@@ -223,7 +228,7 @@ def j18_toc_paths(spark, d):
     return R.ancestors(t, 16).select("node", F.array_join("path", "/").alias("path"))
 
 
-QUERIES = {f.__name__: f for f in (j08_scope_join, p05_scope_predicate, j01_projects, j03_pending, j04_retag, j09_stale, j10_retag_delta, j06_first_match, j05_citation_check, j13_recall, a03_request_summary, a05_distinct_tags, a06_latest_event, a07_fingerprint, a07_table_fingerprint, a09_groups, a10_scorecard, a11_gates, a13_longest_body, a14_latest_date, a15_substance, a17_repeated_ids, a23_freshness, k02_upsert, k03_prune, k10_first_requests, p12_masked, p11_missing_fields, p17_violations, o02_page, p03_fetch_in_order, u02_reference_union, u03_difference, u04_intersection, j18_toc_paths)}
+QUERIES = {f.__name__: f for f in (j08_scope_join, p05_scope_predicate, j01_projects, j03_pending, j04_retag, j09_stale, j10_retag_delta, j06_first_match, j05_citation_check, j13_recall, a03_request_summary, a05_distinct_tags, a06_latest_event, a07_fingerprint, a07_table_fingerprint, a07_row_fingerprint, a09_groups, a10_scorecard, a11_gates, a13_longest_body, a14_latest_date, a15_substance, a17_repeated_ids, a23_freshness, k02_upsert, k03_prune, k10_first_requests, p12_masked, p11_missing_fields, p17_violations, o02_page, p03_fetch_in_order, u02_reference_union, u03_difference, u04_intersection, j18_toc_paths)}
 
 _SCOPE = """with t as (select n_name as target, r_name as parent, left(r_name, 2) as state from nation join region on n_regionkey = r_regionkey),
 s as (select s_suppkey as source_id, case s_suppkey % 5 when 0 then '*' when 1 then r_name when 2 then null else n_name end as jurisdiction, left(r_name, 2) as st from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey) """

@@ -35,3 +35,12 @@ def test_whole_context(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r.context_md5 for r in registry.queries()["x29_whole_context"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3} and got[1] != got[2] and got[1] == got[3]
+
+
+def test_row_fingerprint(spark, tmp_path):
+    """The same for rows in another order and other partitions, another with a row more."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.repartition(7, "quality").write.parquet(f"{tmp_path}/a/labels.parquet")
+    labels.unionAll(labels.limit(1)).write.parquet(f"{tmp_path}/b/labels.parquet")
+    first, again, more = (registry.queries()["a07_row_fingerprint"](spark, p).first().fingerprint for p in (SF, f"{tmp_path}/a", f"{tmp_path}/b"))
+    assert first == again != more
