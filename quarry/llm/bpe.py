@@ -16,7 +16,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ _PARTS = re.compile(r"\S+|\s+\S*")
 #: \0 marks the splits; Python counts the others as white space, the tokenizer's pattern doesn't.
 _ODD = ("\0", "\x1c", "\x1d", "\x1e", "\x1f")
 _JOINED = 400  # words encoded in one string
-_LONG = 256  # words as long aren't kept
+_LONG = 256  # words as long are encoded alone and soon forgotten
 _LEADS = (" ", "\n")
 
 
@@ -42,9 +41,12 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class WordTable:
-    """Words and their ids, as little-endian unsigned 32-bit integers."""
+    """Distinct words and their ids, in columns: word i has the ids flat[first[i] : first[i] + size[i]].
 
-    def __init__(self, path: str, most: int = 800_000):
+    size is -1 for words that end with white space, which have no ids of their own. At most about `most` words stay, those used last.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,147 +57,184 @@ class WordTable:
             added = {x["id"]: x["content"] for x in json.load(f)["added_tokens"]}
         chars = _byte_of_char()
         self.whole = (*_ODD, *added.values())
-        self.pieces: list[bytes] = [b""] * self.library.get_vocab_size(with_added_tokens=True)
+        pieces: list[bytes] = [b""] * self.library.get_vocab_size(with_added_tokens=True)
         for piece, i in self.library.get_vocab(with_added_tokens=True).items():
-            self.pieces[i] = added[i].encode() if i in added else bytes(chars[c] for c in piece)
-        self.lengths = np.array([len(p) for p in self.pieces], "i8")
-        self.most, self.new, self.old = most, {}, {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words (each with its leading space, if any), many in one string; the ids are dealt out by their bytes."""
-        groups = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
-        for group, found in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            pieces[i] = added[i].encode() if i in added else bytes(chars[c] for c in piece)
+        self.pieces = pa.array(pieces, pa.binary())
+        self.decimals = pa.array([b"%d," % i for i in range(len(pieces))], pa.binary())
+        self.lengths = np.array([len(p) for p in pieces], "i8")
+        self.most, self.batch = most, 0
+        self.words, self.flat = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.first, self.size, self.used = np.zeros(0, "i8"), np.zeros(0, "i4"), np.zeros(0, "i4")
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, how many of them each word has), each word encoded once, most of them many in one string: there each
+        must begin with white space, as words do in a text, and the ids are dealt out by their bytes."""
+        blank = pc.not_equal(pc.utf8_rtrim_whitespace(words), words).to_numpy(zero_copy_only=False)
+        led = functools.reduce(pc.or_, [pc.starts_with(words, x) for x in _LEADS]).to_numpy(zero_copy_only=False)
+        length = pc.binary_length(words).to_numpy()
+        joined = led & ~blank & (length < _LONG)
+        size = np.where(blank, -1, 0).astype("i4")
+        own: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(~joined & ~blank).tolist():
+            own[i] = self._whole(words[i].as_py())
+            size[i] = len(own[i])
+        at = np.flatnonzero(joined)
+        groups = [at[i : i + _JOINED] for i in range(0, len(at), _JOINED)]
+        texts = ["".join(words.take(pa.array(g)).to_pylist()) for g in groups]
+        runs = []
+        for g, found in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in group])) + 1
-            data, at = ids.tobytes(), 0
-            for word, end in zip(group, ends.tolist(), strict=True):
-                self.new[word] = data[4 * at : 4 * end]
-                at = end
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text, as the library gives them with add_special_tokens=False.
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(length[g])) + 1
+            size[g] = np.diff(ends, prepend=0)
+            runs.append(ids)
+        # Words encoded alone go between the others, at their places.
+        flat, n = np.zeros(int(size.clip(0).sum()), "<u4"), size.clip(0)
+        starts = np.cumsum(n) - n
+        if runs:
+            flat[_spread(starts[at], n[at])] = np.concatenate(runs)
+        for i, ids in own.items():
+            flat[starts[i] : starts[i] + len(ids)] = ids
+        return flat, size
+
+    def add(self, words: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        """Put in words that the table lacks."""
+        n = size.clip(0)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
+        self.words, self.flat, self.size = pa.concat_arrays([self.words, words]), np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.full(len(words), self.batch, "i4")])
+
+    def _shrink(self) -> None:
+        """Keep the words used last: half of what the table may hold."""
+        if len(self.words) > self.most or self.words.nbytes > 64 * self.most:
+            short = np.flatnonzero(pc.less(pc.binary_length(self.words), _LONG).to_numpy(zero_copy_only=False))
+            keep = np.sort(short[np.argsort(-self.used[short], kind="stable")[: self.most // 2]])
+            n = self.size[keep].clip(0)
+            self.flat = self.flat[_spread(self.first[keep], n)]
+            self.words, self.size, self.used, self.first = self.words.take(pa.array(keep)), self.size[keep], self.used[keep], np.cumsum(n) - n
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids one after another, how many each word has, which words end with white space): distinct words are looked up, those that
+        the table lacks encoded once, and the ids joined back by position."""
+        coded = words.dictionary_encode()
+        self.batch += 1
+        at = pc.index_in(coded.dictionary, value_set=self.words)
+        lacking = pc.is_null(at)
+        place = at.fill_null(0).to_numpy().astype("i8")
+        new = coded.dictionary.filter(lacking)
+        place[lacking.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        if len(new):
+            self.add(new, *self.learn(new))
+        self.used[place] = self.batch
+        first, size, word = self.first[place], self.size[place], coded.indices.to_numpy()
+        n = size.clip(0)[word]
+        out = self.flat[_spread(first[word], n)], n, (size < 0)[word] if (size < 0).any() else None
+        self._shrink()
+        return out
 
-        Words are told apart and numbered column-wise; only distinct words are looked up in the table.
-        """
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's begin, and the end), as the library gives them with add_special_tokens=False."""
         if not len(texts):
-            return []
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
-        split = pc.split_pattern(marked, "\0")
-        coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        found = list(map(self.new.get, distinct))
-        lacking = [i for i, x in enumerate(found) if x is None]
-        once = self._know({w for i in lacking if (w := distinct[i]) not in self.new})
-        for i in lacking:
-            found[i] = once[distinct[i]] if distinct[i] in once else self.new[distinct[i]]
-        ids = np.frombuffer(b"".join([x or b"" for x in found]), "<u4")
-        size = np.array([len(x or b"") // 4 for x in found], "i4")
-        first = np.concatenate([[0], np.cumsum(size[:-1])]).astype("i4")
-        # Join the ids back by position: word after word, each with its run of ids.
-        word = coded.indices.to_numpy()
-        n = size[word]
-        ends = np.concatenate([[0], np.cumsum(n, dtype="i8")])
-        flat = ids[np.repeat(first[word] - ends[:-1].astype("i4"), n) + np.arange(ends[-1], dtype="i4")]
+            return np.zeros(0, "<u4"), np.zeros(1, "i8")
+        split = split_words(texts)
+        flat, n, blank = self._ids(split.flatten())
         borders = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
-        out = np.split(flat, ends[borders[1:-1]])
-        odd = functools.reduce(pc.or_, [pc.match_substring(texts, x) for x in self.whole]).to_numpy(zero_copy_only=False)
-        for i in np.flatnonzero(odd).tolist():
-            out[i] = np.frombuffer(self._whole(texts[i].as_py()), "<u4")
-        # Words that end with white space have no ids of their own: their texts hold longer runs of it.
-        blank = np.array([x is None for x in found])
-        if blank.any():
-            for i in np.unique(np.searchsorted(borders, np.flatnonzero(blank[word]), side="right") - 1).tolist():
-                if not odd[i]:
-                    out[i] = np.frombuffer(self._by_runs(texts[i].as_py()), "<u4")
-        if len(self.new) > self.most // 2:
-            self.old, self.new = self.new, {}
-        return out
-
-    def _by_runs(self, text: str) -> bytes:
+        ends = np.concatenate([[0], np.cumsum(n, dtype="i8")])[borders]
+        again = functools.reduce(pc.or_, [pc.match_substring(texts, x) for x in self.whole]).to_numpy(zero_copy_only=False)
+        other = {i: self._whole(texts[i].as_py()) for i in np.flatnonzero(again).tolist()}
+        if blank is not None:  # texts with longer runs of white space
+            some = np.unique(np.searchsorted(borders, np.flatnonzero(blank), side="right") - 1)
+            some = some[~again[some]]
+            other |= dict(zip(some.tolist(), self._by_runs(texts.take(pa.array(some))), strict=True))
+        if other:
+            runs = [other[i] if i in other else flat[ends[i] : ends[i + 1]] for i in range(len(texts))]
+            flat, ends = np.concatenate(runs), np.cumsum([0, *map(len, runs)])
+        return flat, ends
+
+    def _by_runs(self, texts: pa.Array) -> list[np.ndarray]:
         """For texts with longer runs of white space, which the pattern looks at as a whole."""
-        words = _PARTS.findall(text)
-        tail = words.pop() if words and words[-1][-1].isspace() else ""
-        once = self._know({w for w in words if w not in self.new})
-        return b"".join([once[w] if w in once else self.new[w] for w in words]) + self._whole(tail)
-
-    def _know(self, lacking: set[str]) -> dict[str, bytes]:
-        """Have the table hold the words that it lacks; those too long to keep are returned."""
-        new, old = self.new, self.old
-        held = [w for w in lacking if w in old]
-        new.update(zip(held, map(old.__getitem__, held), strict=True))
-        lacking.difference_update(held)
-        # A letter and the marks after it never share a token: most words that end so are known without them.
-        cores = {w: c for w in lacking if (c := w.rstrip(punctuation)) is not w and c[-1:].isalpha()}
-        lacking.difference_update(cores)
-        for w, c in cores.items():
-            for part in (c, w[len(c) :]):
-                if part not in new:
-                    if part in old:
-                        new[part] = old[part]
-                    else:
-                        lacking.add(part)
-        blank = [w for w in lacking if w[-1:].isspace()]
-        new.update(dict.fromkeys(blank))
-        lacking.difference_update(blank)
-        # In a joined string each word must begin with white space, as words do in a text.
-        joined = [w for w in lacking if w[:1] in _LEADS and len(w) < _LONG]
-        self._learn(joined)
-        lacking.difference_update(joined)
-        once = {w: self._whole(w) for w in lacking}
-        once |= {w: once.get(c, new.get(c)) + once.get(w[len(c) :], new.get(w[len(c) :])) for w, c in cores.items()}
-        short = [w for w in once if len(w) < _LONG]
-        new.update(zip(short, map(once.pop, short), strict=True))
-        return once
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the text: ids joined with the id-to-piece table; what isn't UTF-8 becomes U+FFFD, as in the library."""
-        pieces = self.pieces
-        return b"".join([pieces[i] for i in ids.tolist()]).decode("utf-8", "replace").encode()
+        parts = [_PARTS.findall(t) for t in texts.to_pylist()]
+        tails = [p.pop() if p and p[-1][-1].isspace() else "" for p in parts]
+        flat, n, _ = self._ids(pa.array([w for p in parts for w in p], pa.string()))
+        ends = np.concatenate([[0], np.cumsum(n, dtype="i8")])[np.cumsum([0, *map(len, parts)])]
+        return [np.concatenate([flat[a:b], self._whole(t)]) for a, b, t in zip(ends, ends[1:], tails, strict=False)]
+
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each text: ids joined with the id-to-piece table; what isn't UTF-8 becomes U+FFFD, as in the library."""
+        return [x if _is_utf8(x) else x.decode("utf-8", "replace").encode() for x in self._pieces(self.pieces, flat, ends)]
+
+    def listed(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The decimal ids of each text, joined by commas."""
+        return [x[:-1] for x in self._pieces(self.decimals, flat, ends)]
+
+    @staticmethod
+    def _pieces(of: pa.Array, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        taken = of.take(pa.array(flat))  # taken pieces lie one after another, so each text's bytes are one run
+        at = np.frombuffer(taken.buffers()[1], "i4")[ends].tolist() if len(flat) else [0] * len(ends)
+        data = memoryview(taken.buffers()[2] or b"")
+        return [data[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of runs of n[i] items that begin at first[i], one run after another."""
+    ends = np.cumsum(n, dtype="i8")
+    return np.repeat((first - (ends - n)).astype("i4"), n) + np.arange(ends[-1] if len(ends) else 0, dtype="i4")
+
+
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def split_words(texts: pa.Array) -> pa.Array:
+    """Lists of the words of texts, each with the space or line end before it. Words are cut before a comma or full stop that follows a
+    letter or digit, too: no token holds both."""
+    marked = pc.replace_substring_regex(texts, "([\\pL\\pN])([,.])", "\\1\0\\2")
+    marked = pc.replace_substring(pc.replace_substring(marked, " ", "\0 "), "\n", "\0\n")
+    return pc.split_pattern(marked, "\0")
 
 
 @functools.lru_cache(maxsize=1)
-def word_table(path: str, most: int = 800_000) -> WordTable:
+def word_table(path: str, most: int = 400_000) -> WordTable:
     """One for each worker process; later tasks find earlier words."""
     return WordTable(path, most)
 
 
-def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 300_000) -> DataFrame:
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 400_000) -> DataFrame:
     """A row for each row of docs: doc_id, ids array<int>, decoded. Null texts count as empty: no ids, decoded ''.
 
-    kept_words bounds a worker's table. Repeated rows and ids are encoded row by row; other columns are ignored.
+    kept_words bounds a worker's table. Repeated rows and ids are encoded row by row; other columns are ignored. An empty table gives no
+    rows. Texts of any length are encoded whole: memory is a small multiple of 8 MB of text or of the longest text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_table(tokenizer_path, kept_words)
         for batch in batches:
             for part, texts in parts_of(batch, batch.column(1), 8_000_000):
-                ids = words.encode(texts)
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype("i4"))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), flat)
-                decoded = pa.array([words.decode(x).decode() for x in ids], pa.string())
+                flat, ends = words.encode(texts)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(flat.astype("i4")))
+                decoded = pa.array([x.decode() for x in words.decode(flat, ends)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded], ["doc_id", "ids", "decoded"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 300_000) -> DataFrame:
+def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 400_000) -> DataFrame:
     """encode_and_decode, but of ids and decoded text only the digests leave the task: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_table(tokenizer_path, kept_words)
-        decimals = [b"%d" % i for i in range(len(words.pieces))]
         for batch in batches:
             for part, texts in parts_of(batch, batch.column(1), 8_000_000):
-                n, a, b = [], [], []
-                for ids in words.encode(texts):
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(b",".join([decimals[i] for i in ids.tolist()])).hexdigest())
-                    b.append(hashlib.sha256(words.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                flat, ends = words.encode(texts)
+                told = [[hashlib.sha256(x).hexdigest() for x in made(flat, ends)] for made in (words.listed, words.decode)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), *[pa.array(x, pa.string()) for x in told]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
