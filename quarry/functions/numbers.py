@@ -55,6 +55,19 @@ def token_cell(token: Column, dims: int = 64) -> tuple[Column, Column]:
     return cell, sign
 
 
+def hash_embedding(text: Column, dims: int = 64) -> Column:
+    """A text's tokens added up in signed cells, at length 1; a text without tokens is the zero vector."""
+
+    def place(token: Column) -> Column:
+        cell, sign = token_cell(token, dims)
+        return 2 * cell + F.when(sign > 0, 0).otherwise(1)
+
+    places = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), place)
+    # Of each cell's two places, how many more tokens stand in the first: what is left without the second, less what is left without the first.
+    cells = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.size(F.array_remove(p, 2 * i + 1)) - F.size(F.array_remove(p, 2 * i))).cast("double"))
+    return F.get(F.transform(F.array(places), lambda p: unit(cells(p))), F.lit(0))  # the lambda's variable: places are made once
+
+
 def confidence(missing: Column, citations: Column) -> Column:
     """From the numbers of missing fields and citations, 0.1 to 0.98."""
     score = F.lit(0.82) - F.least(F.lit(0.35), 0.07 * missing) + F.least(F.lit(0.15), 0.05 * citations) - F.when(citations == 0, 0.28).otherwise(0.0)

@@ -1,6 +1,7 @@
 """Cases that the tables don't hold."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,68 @@ def test_upsert_and_fingerprints(spark):
     a = relational.fingerprint(held, "id", "v").first()["fingerprint"]
     assert a == relational.fingerprint(held.orderBy(F.desc("id")), "id", "v").first()["fingerprint"] != relational.fingerprint(new, "id", "v").first()["fingerprint"]
     assert relational.fingerprint(held.limit(0), "id").first()["fingerprint"] == "" == relational.ordered_fingerprint(held.limit(0), "id").first()["fingerprint"]
+
+
+def plain_pick(met, hits, marked, measures, top=8, per_section=2):
+    """met: (score, chunk, section, uses, measure, named) of one request; hits: (chunk, score) in order."""
+    ranked = sorted((x for x in met if x[0] > 0), key=lambda x: (-round(x[0], 9), x[1]))
+    count, out = {}, []
+    for x in ranked:
+        key = x[2] or x[1]
+        if count.get(key, 0) < per_section and len(out) < top:
+            out.append((x[1], x[0]))
+            count[key] = count.get(key, 0) + 1
+    uses = {x[1]: x[3] for x in met}
+    out += [h for h in hits if h[0] not in [c for c, _ in out]][:2]
+    for marker, n in marked:
+        lack = n - sum(marker in uses.get(c, hit_uses.get(c, [])) for c, _ in out)
+        out += [(x[1], x[0]) for x in ranked if marker in x[3] and x[1] not in [c for c, _ in out]][: max(0, lack)]
+    some = [x for x in ranked if x[4] and x[1] not in [c for c, _ in out]]
+    return out + [(x[1], x[0]) for x in sorted(some, key=lambda x: not x[5])][:measures]
+
+
+hit_uses = {}
+
+
+def test_hybrid_retrieve_equals_plain_picks(spark):
+    from quarry.plans.retrieval import _given
+
+    q, c = _given(spark, "/root/testdata/sf0.001")
+    q = q.withColumn("description", F.when(F.col("qid") % 2 == 0, F.concat("description", F.lit(" What is the smallest permitted lot? Lot area, sq ft"))).otherwise(F.col("description")))
+    n = F.substring("chunk_id", 5, 20).cast("long")
+    c = c.withColumn("text", F.when(n % 5 == 0, F.concat("text", F.lit(" Lot area 12,000 sq ft"))).when(n % 5 == 1, F.concat("text", F.lit(" Height 35 feet."))).otherwise(F.col("text")))
+    c = c.withColumn("uses", F.when(n % 10 == 3, F.concat("uses", F.array(F.lit("use_standards")))).otherwise(F.col("uses")))
+    by = {}
+    for r in retrieval.vector_hits(q, c).collect():
+        by.setdefault(r.qid, []).append(r)
+    got = {}
+    for r in retrieval.hybrid_retrieve(q, c).orderBy("qid", "slot").collect():
+        got.setdefault(r.qid, []).append((r.chunk_id, round(r.score, 9)))
+    assert len(by) > 10
+    for qid, rows in by.items():
+        near = {}
+        for r in rows:
+            near[r.chunk_id] = max(near.get(r.chunk_id, -9), r.score)
+            hit_uses[r.chunk_id] = r.uses
+        one = {r.chunk_id: r for r in rows}
+        met = [(near[k] + r.keywords, k, r.section_ref, r.uses, r.measure, r.named) for k, r in one.items() if r.keywords > 0]
+        hits = [(r.chunk_id, near[r.chunk_id]) for r in sorted((r for r in rows if r.kind == 2), key=lambda r: r["rank"])]
+        assert got[qid] == [(k, round(s, 9)) for k, s in plain_pick(met, hits, retrieval.MARKED, 2)]
+
+
+def test_hash_embedding(spark):
+    import hashlib
+
+    text = "The lot, the LOT area 12 x"
+    want = [0.0] * 64
+    for t in re.findall("[a-z0-9]+", text.lower()):
+        d = hashlib.sha256(t.encode()).digest()
+        want[int.from_bytes(d[:2], "big") % 64] += 1 if d[2] % 2 == 0 else -1
+    size = sum(x * x for x in want) ** 0.5
+    assert one(spark, N.hash_embedding(F.lit(text))) == pytest.approx([x / size for x in want])
+    assert one(spark, N.hash_embedding(F.lit(" "))) == [0.0] * 64
+
+
+@pytest.mark.parametrize("query", ["size of my lot", "What is the smallest permitted lot?", "sq ft needed", "F.A.R. limits", "how many storeys"])
+def test_whole_measure_patterns(spark, query):
+    assert one(spark, retrieval.is_dimensional(F.lit(query)))
