@@ -23,11 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, broadcast_if_small, settle, table, text_batches
+from .common import Held, broadcast_if_small, parts_of, settle, table
 from .graph import components
 
 #: Buckets that n-grams are counted in: about one for 32 n-grams, within these bounds (a byte each, sent to every task).
@@ -35,39 +34,87 @@ FEWEST, MOST_BUCKETS = 1 << 18, 1 << 25
 #: Cells of the parity sketches: those that travel with n-grams are folds of those that pairs are checked with.
 CELLS, WIDE = 256, 2048
 _CHUNK = 1 << 14
+_PART = 2_000_000  # bytes of text at a time, or one text
 _LOW = np.uint64((1 << 58) - 1)
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, for at most 300,000 words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+_LOWER = np.frombuffer(bytes(range(256)).lower(), "u1")  # A-Z only
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTER = np.random.default_rng(23).integers(1, 2**63, 256, dtype="u8") * np.uint64(2) + np.uint64(1)
+_BASE, _BACK = 0x9E3779B97F4A7C15 | 3, pow(0x9E3779B97F4A7C15 | 3, -1, 1 << 64)
+_BLOCK = 1 << 21  # bytes hashed at a time
 
 
-@functools.lru_cache(maxsize=1)
-def _hashes() -> _Hashes:
-    return _Hashes()
+@functools.lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, "u8")
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of a text's words, A-Z in lower case; fewer than n words count as one n-gram."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []  # bytes: ASCII letters and white space only
-    if not words:
-        return np.zeros(0, "u8")
-    w = np.fromiter(map(_hashes().__getitem__, words), "u8", len(words))
-    size = min(n, len(w))
-    h = np.zeros(len(w) - size + 1, "u8")
-    for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k]
-    h += np.uint64(size)
-    h ^= h >> np.uint64(29)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return h
+
+
+def word_hashes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words in UTF-8 bytes, A-Z in lower case, where each begins); a word ends at white space and at each border.
+
+    A word's hash is the sum of its bytes' numbers times the powers of a base, from sums over all bytes: no word is made.
+    """
+    found, at, inside = [], 0, np.zeros(len(data) + 1, bool)
+    inside[borders] = True
+    while at < len(data):
+        end = min(at + _BLOCK, len(data))
+        while end < len(data) and not _SPACE[data[end]] and not inside[end]:  # to the end of a word
+            step = _SPACE[data[end : end + _BLOCK]] | inside[end : min(end + _BLOCK, len(data))]
+            end += int(step.argmax()) if step.any() else len(step)
+        block = data[at:end]
+        full = ~_SPACE[block]
+        begins = full.copy()
+        begins[1:] &= ~full[:-1] | inside[at + 1 : end]
+        ends = full.copy()
+        ends[:-1] &= ~full[1:] | inside[at + 1 : end]
+        first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+        if len(first):
+            n = max(_BLOCK, 1 << int(len(block) - 1).bit_length())
+            sums = np.cumsum(_LETTER[_LOWER[block]] * _powers(_BASE, n)[: len(block)])
+            h = sums[last] - np.where(first > 0, sums[first - 1], np.uint64(0))
+            found.append((_mixed(h * _powers(_BACK, n)[first]), first + at))
+        at = end
+    if not found:
+        return np.zeros(0, "u8"), np.zeros(0, "i8")
+    return np.concatenate([h for h, _ in found]), np.concatenate([f for _, f in found])
+
+
+def shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """For each text the sorted hashes of the distinct n-grams of its words, A-Z in lower case; fewer than n words count as one n-gram."""
+    if not len(texts):
+        return []
+    borders = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
+    data = np.frombuffer(texts.buffers()[2] or b"", "u1")[borders[0] : borders[-1]]
+    borders -= borders[0]
+    w, starts = word_hashes(data, borders)
+    at = np.searchsorted(starts, borders)
+    size = len(w) - n + 1
+    h = np.zeros(max(size, 0), "u8")
+    for k in range(n if size > 0 else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : size + k]
+    h = _mixed(h + np.uint64(n))
+    out = []
+    for a, b, there in zip(at.tolist(), at.tolist()[1:], texts.is_valid().to_pylist(), strict=False):
+        if b - a >= n:
+            out.append(np.unique(h[a : b - n + 1]))
+        elif b > a and there:
+            short = 0
+            for x in w[a:b].tolist():
+                short = (short * 0x9E3779B97F4A7C15 + x) % (1 << 64)
+            out.append(_mixed(np.array([(short + b - a) % (1 << 64)], "u8")))
+        else:
+            out.append(np.zeros(0, "u8"))
+    return out
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -92,8 +139,8 @@ def _levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
         for batch in batches:
             part = batch.column(1)[0].as_py() if len(batch) else part
-            for _, texts in text_batches(batch, batch.column(0)):
-                held += [_bucket(shingles(t, n), buckets) for t in texts]
+            for _, texts in parts_of(batch, batch.column(0), _PART):
+                held += [_bucket(h, buckets) for h in shingles(texts, n)]
                 size += sum(map(len, held[-len(texts) :]))
                 if size > 2_000_000:
                     flush()
@@ -231,10 +278,9 @@ def _with_sets(held: Held, docs: DataFrame, members: DataFrame, id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_batches(batch, batch.column(0)):
+            for part, texts in parts_of(batch, batch.column(0), _PART):
                 gids, ids, sets = [], [], []
-                for t, found in zip(texts, part.column(1).to_pylist(), strict=True):
-                    h = shingles(t, n)
+                for h, found in zip(shingles(texts, n), part.column(1).to_pylist(), strict=True):
                     own, data = _class_id(h), _ordered(h, levels).tobytes()
                     for m in found:
                         if m["class_id"] == own:  # else the id stands for other texts, too
@@ -268,10 +314,9 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", n: i
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_batches(batch, batch.column(1)):
+            for part, texts in parts_of(batch, batch.column(1), _PART):
                 sizes, ids, anchors, sketches, heads = [], [], [], [], []
-                for t in texts:
-                    h = shingles(t, n)
+                for h in shingles(texts, n):
                     sizes.append(len(h))
                     ids.append(_class_id(h) if len(h) else None)
                     anchors.append(int((h * np.uint64(0xD6E8FEB86659FD93) ^ h >> np.uint64(31)).min().astype("i8")) if len(h) else None)
