@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, table
+from .common import parts_of, table, tidy
 
 _PARTS = re.compile(r"\S+|\s+\S*")
 #: \0 marks the splits; Python counts the others as white space, the tokenizer's pattern doesn't.
@@ -222,7 +222,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
                 decoded = pa.array([x.decode() for x in words.decode(flat, ends)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded], ["doc_id", "ids", "decoded"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
+    return _rows(docs, id_col, text_col).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 400_000) -> DataFrame:
@@ -236,7 +236,7 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
                 told = [[hashlib.sha256(x).hexdigest() for x in made(flat, ends)] for made in (words.listed, words.decode)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), *[pa.array(x, pa.string()) for x in told]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _rows(docs, id_col, text_col).mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Exact top-k search over binary codes: incremental multi-index hashing.
 
-A code is cut into segments of 16 bits, and each segment is an index of its own. Round r looks up, in every index, the
-values that differ from the query's segment in exactly r bits. After round r every code within m * (r + 1) - 1 of the
-query (m segments) has been met, so a query is done once its k-th verified distance is covered by that. Once the values
-to look up outnumber the codes, what is left of the queries is compared with all codes, in blocks.
+A code is cut into m segments of about log2(number of codes) bits, and each segment is an index of its own. Round r looks
+up, index after index, the values that differ from the query's segment in exactly r bits. Once the first j indexes are
+through round r, every code within m * r + j - 1 of the query has been met, so a query needs no further look-up when its
+k-th verified distance is covered by that; where that happens is told for each query, index by index. Nothing else ends
+the search: in the last round every value of every segment is looked up, so all results are proven.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +18,6 @@ from pyspark.sql import functions as F
 from .common import settle, table
 from .vectors import distinct_with_ids, ranked, usable
 
-BITS = 16
-
 
 def sign_words(v: Column, d: int) -> Column:
     """The signs of d components (1 for above 0) as array<long>: bit i % 64 of word i / 64 for component i."""
@@ -31,8 +31,25 @@ def sign_words(v: Column, d: int) -> Column:
     return F.array(*words)
 
 
-def _segment(words: Column, j: int) -> Column:
-    return F.shiftrightunsigned(F.get(words, F.lit(j // 4)), 16 * (j % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+def segments(d: int, codes: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of each segment: as many as make them about log2(codes) bits long, 4 to 20, none across two words."""
+    most = min(20, max(4, round(math.log2(max(codes, 2)))))
+    out = []
+    for start in range(0, max(d, 1), 64):
+        here = max(1, min(64, d - start))
+        m = max(1, -(-here // most))
+        edges = [start + here * i // m for i in range(m + 1)]
+        out += [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return out
+
+
+def _segment(words: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(F.get(words, F.lit(first // 64)), first % 64).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def _ring(bits: int, r: int) -> Column:
+    """The numbers of `bits` bits of which r are 1, as one literal."""
+    return F.split(F.lit(",".join(str(sum(1 << b for b in c)) for c in combinations(range(bits), r))), ",").cast("array<int>")
 
 
 def _distance(a: Column, b: Column, words: int) -> Column:
@@ -42,48 +59,43 @@ def _distance(a: Column, b: Column, words: int) -> Column:
     return out.cast("int")
 
 
-def search(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", k: int = 10, every: int = 100, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", k: int = 10, every: int = 100) -> DataFrame:
     """query_id, rank, vec_id, hamming: for each row whose id is divisible by `every`, the k nearest others by the Hamming
     distance of the signs of their components, ties to smaller ids; fewer if there are fewer. Rows that take no part: see
-    vectors.usable. Repeated rows of one id are told apart from the query by their id only: all are left out for it."""
+    vectors.usable. Repeated rows of one id are told apart from the query by their id only: all are left out for it. Vectors whose codes are
+    equal become one before they are compared. An empty table gives no rows; other columns are ignored."""
     rows, d = usable(vectors, id_col, vector_col)
     words = -(-d // 64)
-    m = max(1, -(-d // BITS))
     coded = settle(rows.select("vec_id", (sign_words(F.col("v"), d) if d else F.array(F.lit(0).cast("long"))).alias("v")))
     codes = distinct_with_ids(coded.select("vec_id", "v").distinct(), F.col("v"), k + 1)
     queries = settle(coded.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qkey")).distinct())
     left = settle(queries.select("qkey").distinct().withColumn("far", F.lit(1 << 30)))
-    total = codes.count()
-    index = codes.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(m)])))
-    seg = F.coalesce(*[F.when(F.col("j") == j, _segment(F.col("key"), j)) for j in range(m)])
-    index = settle(index.select("key", "ids", "j", seg.alias("value")))
+    cut = segments(d, codes.count())
+    m = len(cut)
+    index = codes.select("key", "ids", F.posexplode(F.array(*[_segment(F.col("key"), *s) for s in cut])).alias("j", "value"))
+    index = settle(index)
     found = None
-    for r in range(BITS + 1):
-        masks = [sum(1 << b for b in c) for c in combinations(range(BITS), r)]
-        if len(masks) * m >= total or not left.limit(1).count():
+    for r in range(max(bits for _, bits in cut) + 1):
+        if not left.limit(1).count():
             break
-        probe = left.withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(m)]))).withColumn("mask", F.explode(F.array(*[F.lit(x) for x in masks])))
-        qseg = F.coalesce(*[F.when(F.col("j") == j, _segment(F.col("qkey"), j)) for j in range(m)])
-        probe = probe.select("qkey", "far", "j", qseg.bitwiseXOR(F.col("mask")).alias("value"))
+        # Index j is asked only if what is covered before it doesn't reach the k-th distance yet.
+        rings = [F.when((F.lit(m * r + j - 1) < F.col("far")) & F.lit(r <= bits), _ring(bits, r)) for j, (_, bits) in enumerate(cut)]
+        probe = left.select("qkey", "far", F.posexplode(F.array(*rings)).alias("j", "ring")).where("ring is not null")
+        qseg = F.get(F.array(*[_segment(F.col("qkey"), *s) for s in cut]), F.col("j"))
+        probe = probe.select("qkey", "far", "j", qseg.alias("own"), F.explode("ring").alias("mask")).select("qkey", "far", "j", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         met = probe.join(index, ["j", "value"])
         # A code is taken where it is met first: in the round of its nearest segment, and of those in the first.
         near = F.lit(True)
-        for j in range(m):
-            apart = F.bit_count(_segment(F.col("qkey"), j).bitwiseXOR(_segment(F.col("key"), j)))
+        for j, s in enumerate(cut):
+            apart = F.bit_count(_segment(F.col("qkey"), *s).bitwiseXOR(_segment(F.col("key"), *s)))
             near = near & F.when(F.col("j") > j, apart > r).otherwise(apart >= r)
         met = met.where(near).withColumn("hamming", _distance(F.col("qkey"), F.col("key"), words)).where("hamming <= far").select("qkey", "ids", "hamming")
         found = settle(_best(met if found is None else found.unionAll(met), k))
-        kth = _kth(found, k)
-        left = left.select("qkey").join(kth, "qkey", "left").select("qkey", F.coalesce("kth", F.lit(1 << 30)).alias("far"))
+        left = left.select("qkey").join(_kth(found, k), "qkey", "left").select("qkey", F.coalesce("kth", F.lit(1 << 30)).alias("far"))
         left = settle(left.where(F.col("far") > m * (r + 1) - 1))
-    # Beyond the last round: the queries that are left against all codes, in blocks.
-    parts = max(1, -(-total // block))
-    probe = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rest = probe.join(codes.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")), "part").withColumn("hamming", _distance(F.col("qkey"), F.col("key"), words))
-    rest = rest.where("hamming <= far").select("qkey", "ids", "hamming")
-    if found is not None:
-        rest = rest.unionAll(found.join(left.select("qkey"), "qkey", "left_anti"))
-    return ranked(rest, queries, "hamming", k)
+    if found is None:
+        found = coded.select(F.col("v").alias("qkey"), F.array("vec_id").alias("ids"), F.lit(0).alias("hamming")).limit(0)
+    return ranked(found, queries, "hamming", k)
 
 
 def _best(met: DataFrame, k: int) -> DataFrame:

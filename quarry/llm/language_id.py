@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, learnable, table, text_batches, unit_hash
+from .common import keep_rows, learnable, table, text_batches, tidy, unit_hash
 
 DIMS = 4096
 SEED = 7
@@ -108,7 +108,7 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
                 full = [i for i, t in enumerate(texts) if has_letter(t)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full, pa.int64())), pa.array([features(texts[i]).astype("f2").tobytes() for i in full], pa.binary())], ["lang", "x"])
 
-    found = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, x binary").orderBy("lang", F.xxhash64("x"), "x").collect()
+    found = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "lang string, x binary").orderBy("lang", F.xxhash64("x"), "x").collect()
     names = sorted({r["lang"] for r in found})
     if not names:
         return [], None
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, names: list[str], model: dict | None, *, id_col="d
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, margin double")
+    out = rows.mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, margin double")
     return out.withColumn("ambiguous", F.col("margin") < close)
 
 

@@ -3,8 +3,9 @@
 A document's key is -ln(u) / weight, with u a hash of its id: taking the smallest keys of a source draws it with
 probability in proportion to its quality weight. Which documents a source's budget reaches is found without sorting
 the source: words are summed by bins of the key, the running sum over a source's bins names the one bin where the
-budget ends, and only that bin (a 1/bins part of the source) is sorted. So a source that holds most rows costs no more
-than the others.
+budget ends, and only that bin is sorted. Bins are even in the key's logarithm, `bins` of them for each doubling: of
+documents of one weight, whatever it is, a bin is expected to hold at most a quarter of a 1/bins part, and so of any
+mixture. So a source that holds most rows costs no more than the others.
 """
 
 from __future__ import annotations
@@ -47,16 +48,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ca
 def _rank(id_col: str, text_col: str, bins: int, seed: int) -> dict[str, Column]:
     """size; pick, which orders a source's documents; bin, a coarse value of pick."""
     text = F.col(text_col)
-    size, key = word_count(text), -F.log(unit_hash(F.col(id_col), seed=seed)) / quality_weight(text)
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    size, key = word_count(text), -F.log(unit_hash(name, seed=seed)) / quality_weight(text)
     pick = F.struct(key.alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), size.alias("size"), F.xxhash64(text).alias("h"))
-    return {"size": size, "pick": pick, "bin": F.floor(F.lit(bins) * (1 - F.exp(-key))).cast("int")}
+    return {"size": size, "pick": pick, "bin": F.floor(F.lit(bins) * F.log2(key)).cast("int")}
 
 
-def mix_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), budget=1.5, cap=2.0, bins=4096, seed=SEED) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), budget=1.5, cap=2.0, bins=1024, seed=SEED) -> tuple[DataFrame, DataFrame]:
     """(slim, plan). slim: doc_id, source, size, pick for each row of docs. plan, a row for each source: source, source_size, target, epochs, cut_bin, cut.
 
     Rows of slim at or below their source's cut are taken once more than epochs times. Null texts have size 0; null
-    sources form one source, which comes last; null ids hash alike. Rows that tie in all of slim are alike in what is
+    sources form one source, which comes last; rows without an id are drawn by their texts. Rows that tie in all of slim are alike in what is
     taken, too, but for the one that the budget ends at.
     """
     ranks = _rank(id_col, text_col, bins, seed)
@@ -98,19 +100,19 @@ def _times() -> Column:
 
 
 def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as often as the mix takes it. With few sources the rows meet the plan where they are read.
-
-    Columns named like the working columns here (two leading underscores) are not allowed; any other names are.
-    """
-    o = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "bins": 4096, "seed": SEED} | options
-    _, plan = mix_plan(docs, **options)
-    own = docs.columns
-    ranked = docs.select(*own, *[c.alias(f"__{n}") for n, c in _rank(o["id_col"], o["text_col"], o["bins"], o["seed"]).items()])
-    p = broadcast_if_small(plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns]))
-    more = (F.col("__bin") < F.col("__p_cut_bin")) | ((F.col("__bin") == F.col("__p_cut_bin")) & (F.col("__pick") <= F.col("__p_cut")))
-    times = F.col("__p_epochs") + F.coalesce(more, F.lit(False)).cast("long")
-    joined = ranked.join(p, F.col(o["source_col"]).eqNullSafe(F.col("__p_source"))).withColumn("__times", times.cast("int")).where("__times > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*own)
+    """docs, each row as often as the mix takes it, with all its columns, whatever their names. With few sources the rows meet the plan where
+    they are read. Texts without words take no budget: where their key is below their source's cut they come along, once more than its epochs."""
+    o = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "bins": 1024, "seed": SEED} | options
+    names = dict(zip(docs.columns, [f"c{i}" for i in range(len(docs.columns))], strict=True))
+    rows = docs.toDF(*names.values())
+    own = {k: names[o[k]] for k in ("id_col", "text_col", "source_col")}
+    _, plan = mix_plan(rows, **(options | own))
+    ranked = rows.select(*rows.columns, *[c.alias(n) for n, c in _rank(own["id_col"], own["text_col"], o["bins"], o["seed"]).items()])
+    p = broadcast_if_small(plan.select(*[F.col(c).alias(f"p_{c}") for c in plan.columns]))
+    more = (F.col("bin") < F.col("p_cut_bin")) | ((F.col("bin") == F.col("p_cut_bin")) & (F.col("pick") <= F.col("p_cut")))
+    times = F.col("p_epochs") + F.coalesce(more, F.lit(False)).cast("long")
+    joined = ranked.join(p, F.col(own["source_col"]).eqNullSafe(F.col("p_source"))).withColumn("times", times.cast("int")).where("times > 0")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*rows.columns).toDF(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir):
@@ -122,7 +124,7 @@ QUERIES = {"op1_mixing": op1_mixing}
 ORACLE = {
     "op1_mixing": f"""
 with d as (select doc_id, source, coalesce(text, '') as t, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
-k as (select doc_id, source, size, -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
+k as (select doc_id, source, size, -ln((('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'text:' || md5(t))), 1, 13))::bigint::double + 0.5) / 4503599627370496.0)
   / coalesce(greatest(length(regexp_replace(t, '\\P{{L}}+', '', 'g')) / nullif(length(t), 0)::double, 0.1), 0.1) as key from d),
 s as (select source, sum(size)::bigint as source_size from k group by source),
 w as (select *, case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w, source_size * 2.0::double as most from s),

@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 Vectors, less their mean and of unit length, are turned by a random rotation into a space of more dimensions; the code
-keeps the sign of each. From a code's bits and its two scalars (length, and inner product of the vector with its own
-code) a query estimates every distance, with a bound on the error that holds with high probability. Only vectors whose
-lower bound is below the k-th smallest upper bound are compared exactly. All vectors are coded; queries and codes meet
-in blocks of bounded size.
+keeps the sign of each. Queries, turned alike, are rounded to 4 bits a dimension, so that an inner product with a code is
+a few AND and bit counts of packed words. With a code's two scalars (length, and inner product of the vector with its own
+code) it estimates the distance, with a bound on the error that holds with high probability. Only vectors whose lower
+bound is below the k-th smallest upper bound are compared exactly. All vectors are coded; queries and codes meet in
+blocks of bounded size, vectors only move for the pairs that the bounds leave.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, table, tidy
 from .vectors import distinct_with_ids, ranked, usable
 
 SEED = 3
@@ -37,79 +38,82 @@ def encode(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarra
     return np.packbits(y > 0, axis=1), length, np.maximum(own, 1e-6)
 
 
-def bounds(bits: np.ndarray, length: np.ndarray, own: np.ndarray, q: np.ndarray, mean: np.ndarray, turn: np.ndarray, sure: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the squared distances [queries, codes], from packed bits and scalars."""
-    n = turn.shape[0]
+PLANES = 4
+
+
+def rounded(q: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(distance to the mean, bit planes [query, plane, word], least value, step, sum of values) of turned unit queries."""
     r = q - mean
     far = np.sqrt((r * r).sum(1))
     y = (r / np.maximum(far, 1e-30)[:, None]).astype("f4") @ turn.T
-    signs = np.unpackbits(bits, axis=1, count=n).astype("f4")
-    inner = (2 * (y @ signs.T) - y.sum(1, keepdims=True)) / np.float32(np.sqrt(n))
-    guess = inner / own
-    error = sure * np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(n - 1)
-    both, cross = far[:, None] ** 2 + length[None] ** 2, 2 * far[:, None] * length[None]
+    low = y.min(1)
+    step = np.maximum((y.max(1) - low) / (2**PLANES - 1), 1e-12)
+    level = np.rint((y - low[:, None]) / step[:, None]).astype("u1")
+    planes = np.stack([np.packbits(level >> p & 1, axis=1) for p in range(PLANES)], 1)
+    return far, planes, low, step, y.sum(1)
+
+
+def bounds(codes: np.ndarray, ones: np.ndarray, length: np.ndarray, own: np.ndarray, query: tuple, n: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the squared distances of one rounded query to codes [code, word of 64 bits]."""
+    far, planes, low, step, total = query
+    met = sum(np.bitwise_count(codes & planes[p].view("u8")).sum(1, dtype="i4") << p for p in range(PLANES))
+    guess = (2 * (low * ones + step * met) - total) / np.sqrt(n) / own
+    error = sure * (np.sqrt(np.maximum(1 - own**2, 0) / (n - 1)) + step / np.sqrt(12)) / own
+    both, cross = far**2 + length**2, 2 * far * length
     slack = 1e-5 * (both + 1e-12)
     return both - cross * np.minimum(guess + error, 1) - slack, both - cross * np.maximum(guess - error, -1) + slack
 
 
-def search(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", k: int = 10, every: int = 100, bits: int = 512, sure: float = 2.6, shard: int = 32_768, block: int = 512) -> DataFrame:
+def search(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", k: int = 10, every: int = 100, times: int = 4, sure: float = 2.3, shard: int = 65_536, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k nearest others by Euclidean distance,
-    ties to smaller ids; fewer if there are fewer. score is the exact distance in double precision. sure: half-widths of
-    the error bound; shard and block bound the codes and queries a task holds. Rows that take no part: see vectors.usable."""
+    ties to smaller ids; fewer if there are fewer. score is the exact distance in double precision. times: bits of a code for each
+    dimension; sure: half-widths of the error bound; shard and block bound the codes and queries a task holds. Rows that take no part: see
+    vectors.usable. Equal vectors become one before they are compared. An empty table gives no rows; other columns are ignored."""
     rows, d = usable(vectors, id_col, vector_col)
     rows = settle(rows.select("vec_id", F.col("v").cast("array<double>").alias("v")).distinct())
-    keyed = distinct_with_ids(rows, F.col("v"), k + 1).withColumn("v_id", F.element_at("ids", 1))
-    # A vector's smallest id names it; ids that stand for several vectors get a part of the hash as well.
-    keyed = settle(keyed.withColumn("code_id", F.xxhash64("key", "v_id")))
+    # A vector's smallest id and a hash name it.
+    keyed = settle(distinct_with_ids(rows, F.col("v"), k + 1).withColumn("code_id", F.xxhash64("key", F.element_at("ids", 1))))
     queries = settle(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").join(keyed.select(F.col("key").alias("v"), "code_id"), "v").select(F.col("vec_id").alias("query_id"), F.col("code_id").alias("qkey")))
     total = keyed.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sums = rows.select(*[F.avg(F.get("v", F.lit(i))).alias(f"m{i}") for i in range(d)]).collect()[0]
-    mean, turn = np.array([sums[i] for i in range(d)]), rotation(d, max(bits, d))
-    turn_seed, width = SEED, turn.shape[0]
+    mean, seed, n = np.array([sums[i] for i in range(d)]), SEED, -(-times * d // 64) * 64
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(d, width, turn_seed)
+        turn = rotation(d, n, seed)
         for batch in batches:
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
-                x = part.column(2).flatten().to_numpy().reshape(-1, d)
-                packed, length, own = encode(x, mean, turn)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([b.tobytes() for b in packed], pa.binary()), pa.array(length, pa.float64()), pa.array(own.astype("f8"), pa.float64()), part.column(2)], ["code_id", "v_id", "bits", "length", "own", "x"])
+                packed, length, own = encode(part.column(1).flatten().to_numpy().reshape(-1, d), mean, turn)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in packed], pa.binary()), pa.array(length, pa.float64()), pa.array(own.astype("f8"), pa.float64())], ["code_id", "bits", "length", "own"])
 
-    coded = keyed.select("code_id", "v_id", "key").mapInArrow(code, "code_id long, v_id long, bits binary, length double, own double, x array<double>")
+    coded = keyed.select("code_id", "key").mapInArrow(tidy(code), "code_id long, bits binary, length double, own double")
     asked = settle(queries.select("qkey").distinct().join(keyed.select(F.col("code_id").alias("qkey"), F.col("key").alias("q")), "qkey"))
     shards, blocks = -(-total // shard), max(1, -(-asked.count() // block))
     left = asked.withColumn("b", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = coded.withColumn("s", F.pmod(F.xxhash64("code_id"), F.lit(shards)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"qkey": np.zeros(0, "i8"), "code_id": np.zeros(0, "i8"), "low": np.zeros(0), "high": np.zeros(0)})]
         if not len(q) or not len(c):
-            return pd.DataFrame({"qkey": np.zeros(0, "i8"), "code_id": np.zeros(0, "i8")})
-        turn, asked = rotation(d, width, turn_seed), np.stack(q["q"].to_numpy())
-        row, far, name, code = [np.zeros(0, t) for t in ("i8", "f8", "i8", "i8")]  # the best so far
-        reach = np.full(len(q), np.inf)
-        for at in range(0, len(c), 2048):
-            some = c.iloc[at : at + 2048]
-            packed = np.frombuffer(b"".join(some["bits"]), "u1").reshape(len(some), -1)
-            low, high = bounds(packed, some["length"].to_numpy(), some["own"].to_numpy(), asked, mean, turn, sure)
-            most = np.minimum(reach, np.partition(high, k, axis=1)[:, k]) if len(some) > k else reach
-            i, j = np.nonzero(low <= most[:, None])
-            x = np.stack(some["x"].to_numpy())
-            exact = np.concatenate([((x[j[n : n + 20_000]] - asked[i[n : n + 20_000]]) ** 2).sum(1) for n in range(0, len(j), 20_000)] or [np.zeros(0)])
-            row, far, name, code = np.concatenate([row, i]), np.concatenate([far, exact]), np.concatenate([name, some["v_id"].to_numpy()[j]]), np.concatenate([code, some["code_id"].to_numpy()[j]])
-            order = np.lexsort((name, far, row))
-            row, far, name, code = row[order], far[order], name[order], code[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-            full = row[place == k]
-            reach[full] = far[place == k]
-            row, far, name, code = row[place <= k], far[place <= k], name[place <= k], code[place <= k]
-        return pd.DataFrame({"qkey": q["qkey"].to_numpy()[row], "code_id": code})
-
-    # The k + 1 nearest of each shard, one of which may be the query itself; their exact distances decide.
-    chosen = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(compare, "qkey long, code_id long")
-    exact = chosen.join(keyed.select("code_id", "ids", "key"), "code_id").join(asked, "qkey")
+            return found[0]
+        told = rounded(np.stack(q["q"].to_numpy()), mean, rotation(d, n, seed))
+        codes, names = np.frombuffer(b"".join(c["bits"]), "u8").reshape(len(c), -1), c["code_id"].to_numpy()
+        ones, length, own = np.bitwise_count(codes).sum(1, dtype="i4"), c["length"].to_numpy(), c["own"].to_numpy()
+        for i, qkey in enumerate(q["qkey"]):
+            low, high = bounds(codes, ones, length, own, tuple(x[i] for x in told), n, sure)
+            near = np.flatnonzero(low <= np.partition(high, k)[k]) if len(high) > k else np.arange(len(high))
+            found.append(pd.DataFrame({"qkey": np.full(len(near), qkey), "code_id": names[near], "low": low[near], "high": high[near]}))
+        return pd.concat(found[1:], ignore_index=True)
+
+    # Each shard's pairs, then those that the k + 1 smallest upper bounds of all shards leave: one of them may be the query itself.
+    pairs = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(compare, "qkey long, code_id long, low double, high double")
+    pairs = settle(pairs)
+    place = F.row_number().over(Window.partitionBy("qkey").orderBy("high"))
+    reach = pairs.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("qkey").agg(F.when(F.count(F.lit(1)) > k, F.max("high")).alias("reach"))
+    chosen = pairs.join(reach, "qkey").where("reach is null or low <= reach").select("qkey", "code_id")
+    exact = chosen.join(asked, "qkey").join(keyed.select("code_id", "ids", "key"), "code_id")
     apart = F.aggregate(F.zip_with("key", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return ranked(exact.select("qkey", "ids", F.sqrt(apart).alias("score")), queries, "score", k)
 

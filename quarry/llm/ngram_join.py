@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, broadcast_if_small, parts_of, settle, table
+from .common import Held, broadcast_if_small, parts_of, settle, table, tidy
 from .graph import components
 
 #: Buckets that n-grams are counted in: about one for 32 n-grams, within these bounds (a byte each, sent to every task).
@@ -157,7 +157,7 @@ def _levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
         return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     kind = "chunk int, part int, counts binary"
-    found = docs.select(F.col(text_col).alias("t"), F.spark_partition_id().alias("p")).mapInArrow(count, kind)
+    found = docs.select(F.col(text_col).alias("t"), F.spark_partition_id().alias("p")).mapInArrow(tidy(count), kind)
     for _ in range(2):  # sums of at most 100 each, however many partitions there are
         found = found.groupBy("chunk", F.floor(F.col("part") / 100).cast("int").alias("part")).applyInPandas(add, kind)
     total = np.zeros((chunks, _CHUNK), "u4")
@@ -254,7 +254,7 @@ def _links_in_groups(members: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(parts, "gid").sortWithinPartitions("gid", "class_id").mapInArrow(run, "a long, b long")
+    return members.repartition(parts, "gid").sortWithinPartitions("gid", "class_id").mapInArrow(tidy(run), "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -290,7 +290,7 @@ def _with_sets(held: Held, docs: DataFrame, members: DataFrame, id_col: str, tex
     # Each class is in few groups at a time: see the callers.
     wanted = held.cut(members.groupBy("rep").agg(F.collect_set(F.struct("gid", "class_id")).alias("in")))
     held = docs.join(broadcast_if_small(wanted, 500_000), docs[id_col].eqNullSafe(wanted["rep"])).select(docs[text_col].alias("t"), "in")
-    return held.mapInArrow(run, "gid string, class_id long, grams binary")
+    return held.mapInArrow(tidy(run), "gid string, class_id long, grams binary")
 
 
 def _split_groups(held: Held, members: DataFrame, most: int, grams: int) -> DataFrame:
@@ -327,7 +327,7 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", n: i
                 cells = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(sketches), "i8")), WIDE // 64).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(anchors, pa.int64()), cells, lists], ["doc_id", "n", "class_id", "anchor", "sketch", "head"])
 
-    all_rows = settle(docs.mapInArrow(begin, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class_id long, anchor long, sketch array<long>, head array<long>"))
+    all_rows = settle(docs.mapInArrow(tidy(begin), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class_id long, anchor long, sketch array<long>, head array<long>"))
     classes = all_rows.where("class_id is not null").groupBy("class_id").agg(F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.first("sketch").alias("sketch"), F.first("head").alias("head"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
     branches = classes.select(F.col("anchor").cast("string").alias("gid"), "class_id", "rep", "n")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep_rows, learnable, settle, table, text_batches, unit_hash
+from .common import broadcast_if_small, keep_rows, learnable, settle, table, text_batches, tidy, unit_hash
 
 SEED = 11
 _ENDS = re.compile(r"[.!?]+")
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
             for part, texts in text_batches(batch, batch.column(1)):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))], ["y", "x"])
 
-    found = rows.mapInArrow(run, "y double, x array<double>").orderBy("y", "x").toArrow()
+    found = rows.mapInArrow(tidy(run), "y double, x array<double>").orderBy("y", "x").toArrow()
     x = np.array(found["x"].to_pylist(), "f8").reshape(-1, len(NAMES))
     return boost(x, found["y"].to_numpy().astype("f8"))
 
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], *, id_col="doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(judge(texts, model), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(tidy(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import table, text_batches, tidy
 
 MARK = "▁"  # what the library writes for a space
 
@@ -106,7 +106,7 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col="doc_id", text_col=
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(count, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(tidy(count), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import word_table
-from .common import broadcast_if_small, parts_of, settle, shared_dir, table
+from .common import broadcast_if_small, parts_of, settle, shared_dir, table, tidy
 
 _GEAR = np.random.default_rng(17).integers(0, 2**32, 1 << 16, dtype="u4")
 _MASK = np.uint32(0x3FF << 21)  # a cut every 1024 ids on average
@@ -125,7 +125,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id",
     buckets = max(1, -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
     # Documents and chunks leave one pass over the texts; equal chunks meet in one bucket.
     again = F.lag("kind").over(Window.partitionBy("digest").orderBy("kind")).isNotNull()
-    rows = slim.mapInArrow(encode, kind).repartition(buckets, "digest").withColumn("again", again).where("kind = 'document' or not again").drop("again")
+    rows = slim.mapInArrow(tidy(encode), kind).repartition(buckets, "digest").withColumn("again", again).where("kind = 'document' or not again").drop("again")
     rows.write.option("path", f"{folder}/encoded").option("compression", "none").partitionBy("kind").bucketBy(buckets, "digest").saveAsTable(f"token_store_{uuid.uuid4().hex}")
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/layout")
     # The order of documents, and where each starts: sums within range partitions, then over the partitions.
@@ -149,7 +149,7 @@ def _roots(recipes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roots, pa.binary())], ["part", "docs", "ids", "root"])
 
     grouped = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("ids"), F.array_sort(F.collect_list(F.struct("start", "root"))).alias("roots"))
-    return grouped.mapInArrow(run, "part int, docs long, ids long, root binary")
+    return grouped.mapInArrow(tidy(run), "part int, docs long, ids long, root binary")
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,7 +202,7 @@ def _read(spark: SparkSession, folder: str, made: Callable[[list[np.ndarray]], p
     parts = named.select("start", "at", "digest").join(chunks, "digest", "left").groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "size", "data", "wide"))).alias("found"))
     many = recipes.where(F.size("chunks") != 1).join(parts, "start", "left").select("doc_id", "start", "n", "root", "chunks", F.transform("found", lambda y: F.struct(y["size"].alias("size"), y["data"].alias("data"), y["wide"].alias("wide"))).alias("found"))
     schema = f"doc_id {recipes.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, made {kind}"
-    return one.unionAll(many).mapInArrow(join, schema)
+    return one.unionAll(many).mapInArrow(tidy(join), schema)
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:

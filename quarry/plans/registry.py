@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["scalar", "retrieval", "relational", "corpus", "validation"]
+MODULES: list[str] = ["scalar", "retrieval", "relational", "corpus", "validation", "intake"]
 
 
 def _all(name: str) -> dict:

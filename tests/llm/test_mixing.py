@@ -22,7 +22,7 @@ def corpus():
 def test_equals_plain_version(spark):
     rows = corpus()
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
-    for bins in (4096, 3):
+    for bins in (1024, 1):
         want, got = slow(rows), {r.doc_id: r for r in M.mix(df, bins=bins).collect()}
         assert len(got) == len(rows)
         for d, (size, total, target, times) in want.items():
@@ -46,3 +46,18 @@ def test_repeats_and_odd_tables(spark):
     same = spark.createDataFrame([(None, None, "a b")] * 4 + [(1, "s", "a b")] * 3, "doc_id long, source string, text string")
     assert sorted(r.taken for r in M.mix(same).collect()) == sorted(r.taken for r in M.mix(same).collect())
     assert M.mix(same).count() == 7
+
+
+def test_no_bin_is_large(spark):
+    """Numeric texts have the least weight: their keys lie far out, but in bins as small as those of prose."""
+    rows = [(i, "numbers" if i % 2 else "prose", f"{i} {i * 7} 12" if i % 2 else "some words here") for i in range(20_000)]
+    slim, _ = M.mix_plan(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    assert slim.groupBy("source", "bin").count().agg({"count": "max"}).first()[0] < 40
+
+
+def test_names_like_working_columns(spark):
+    df = spark.createDataFrame([(i, "s", "a b c", 1, 2, 3, 4) for i in range(20)], "doc_id long, source string, text string, __pick int, bin int, p_cut int, times int")
+    out = M.repeat_by_mix(df)
+    assert out.columns == df.columns and out.count() == 30
+    long = spark.createDataFrame([(1, "s", "word " * 400_000), (2, "s", "a")], "doc_id long, source string, text string")  # 2 MB
+    assert {r.doc_id: r["size"] for r in M.mix(long).collect()} == {1: 400_000, 2: 1}
