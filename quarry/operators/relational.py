@@ -68,17 +68,30 @@ def first_match(rows: DataFrame, rules: DataFrame, key: str, default: str) -> Da
     return met.select(key, F.coalesce(F.get(hit, F.lit(0))["__tag"], F.lit(default)).alias("tag"))
 
 
-def citation_check(citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per analysis: unknown sources, undated citations, whether it is valid, coverage (1 if there are citations and all are valid).
+def citation_check(citations: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Per analysis: citations, unknown sources, sources of other jurisdictions, citations without a source id ('<missing>'), undated citations,
+    whether it is valid, coverage (1 if there are citations and all are valid).
 
-    citations: analysis, source (null for an analysis without any). sources: source, dated boolean.
+    citations: analysis, source (null for an analysis without any, '' for a missing id). sources: source, dated boolean and, with targets,
+    jurisdiction, states. targets: analysis, target, parent, state. An empty registry makes no source unknown.
     """
-    known = sources.select("source", "dated", F.lit(True).alias("__known"))
+    some = sources.limit(1).count() > 0
+    place = ["jurisdiction", "states"] if targets is not None else []
+    known = sources.select("source", "dated", *place, F.lit(True).alias("__known"))
     joined = citations.join(known, "source", "left")
-    unknown = F.count_if(F.col("source").isNotNull() & F.col("__known").isNull())
-    out = joined.groupBy("analysis").agg(F.count("source").alias("cited"), unknown.alias("unknown"), F.count_if(F.col("__known") & ~F.col("dated")).alias("undated"))
-    valid = (F.col("cited") > 0) & (F.col("unknown") == 0)
-    return out.select("analysis", "cited", "unknown", "undated", valid.alias("valid"), F.when(valid, 1.0).otherwise(0.0).alias("coverage"))
+    source = F.col("source").cast("string")
+    named = source != ""
+    foreign = F.lit(False)
+    if targets is not None:
+        joined = joined.join(targets, "analysis", "left")
+        foreign = named & F.col("__known") & F.col("target").isNotNull() & ~applies(F.col("jurisdiction"), F.col("target"), F.col("parent"), F.col("state"), F.col("states"))
+    unknown = named & F.col("__known").isNull() & F.lit(some)
+    out = joined.groupBy("analysis").agg(
+        F.count("source").alias("cited"), F.count_if(unknown).alias("unknown"), F.count_if(foreign).alias("foreign"), F.count_if(source == "").alias("missing"),
+        F.count_if(F.col("__known") & ~F.col("dated")).alias("undated"), F.array_sort(F.collect_set(F.when(source == "", "<missing>").when(unknown | foreign, source))).alias("invalid_ids"),
+    )
+    valid = (F.col("cited") > 0) & (F.col("unknown") + F.col("foreign") + F.col("missing") == 0)
+    return out.withColumn("valid", valid).withColumn("coverage", F.when(valid, 1.0).otherwise(0.0))
 
 
 def recall_of(required: DataFrame, cited: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from quarry.functions.text import ladder
 
 
-def url_problem(url: Column, hosts: tuple[str, ...] = ("example.com", "localhost"), local_ok: bool = False) -> Column:
-    """What is wrong with a URL: missing, todo, scheme, placeholder; null if nothing is. local_ok lets paths without a scheme pass."""
-    u = F.lower(F.trim(F.coalesce(url, F.lit(""))))
-    host = F.regexp_extract(u, "^https?://([^/:?#]+)", 1)
-    place = F.lit(False)
-    for h in hosts:
-        place = place | (host == h) | host.endswith(f".{h}")
-    bad_scheme = ~u.rlike("^https?://[^/]") & (F.lit(not local_ok) | u.contains("://"))
-    return ladder((u == "", "missing"), (u.contains("todo"), "todo"), (bad_scheme, "scheme"), (place, "placeholder"))
+# Hosts that stand for none.
+PLACEHOLDERS = ("example.com", "example.gov", "example.net", "example.org", "www.example.com", "www.example.gov", "www.example.net", "www.example.org")
+
+
+def url_problem(url: Column, local_ok: Column | bool = False) -> Column:
+    """What is wrong with a URL: missing, todo, placeholder (a host that stands for none), scheme (neither http nor https with a host, nor local or
+    file where local_ok); null if nothing is."""
+    u = F.trim(F.coalesce(url, F.lit("")))
+    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    place = host.isin(*PLACEHOLDERS) | host.endswith(".example.com") | host.endswith(".example.gov")
+    good = (scheme.isin("http", "https") & (host != "")) | ((local_ok if isinstance(local_ok, Column) else F.lit(local_ok)) & scheme.isin("local", "file"))
+    return ladder((u == "", "missing"), (F.upper(u).contains("TODO"), "todo"), (place, "placeholder"), (~good, "scheme"))
 
 
 def is_reserved(title: Column) -> Column:

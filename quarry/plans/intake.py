@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import intake as I
+from quarry.operators import pack_check as P
 from quarry.sources.tables import table
 
 
@@ -91,7 +92,37 @@ def j15_eligible(spark, d):
     return I.eligible(j, s, c, g).select("jurisdiction_id", "eligible", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
 
 
-QUERIES = {f.__name__: f for f in (j16_resolve, j11_parcels_at, c10_intake, c16_status, a02_usage_since, a18_limits, a21_first_last, u06_append_new, j15_eligible)}
+def _packs(spark, d):
+    s = table(spark, d, "supplier").join(_places(spark, d), F.col("s_nationkey") == F.col("n_nationkey"))
+    b = F.col("s_acctbal")
+    own = F.lower("n_name")
+    url = F.when(b < 0, "local://x").when(b < 1000, "https://todo.gov").when(b < 2000, "https://www.example.org/x").otherwise(F.concat(F.lit("https://city.gov/"), "s_suppkey"))
+    place = F.when(b.between(2000, 3000), "*").when(b.between(3000, 4000), "elsewhere").otherwise(own)
+    laws = F.struct(F.lit(None).cast("boolean").alias("curated_local_fallback"), F.lit(None).cast("string").alias("fallback_reason"), F.array(F.when(b < 2500, F.upper(F.substring("r_name", 1, 2))).otherwise("??")).alias("applies_to_states"))
+    one = F.struct(
+        F.concat(F.lit("id-"), F.floor(b / 20)).alias("source_id"), F.when(b < 9000, F.col("s_name")).alias("title"), F.when(b < 8500, "1").otherwise(" ").alias("section_ref"), place.alias("jurisdiction_id"), url.alias("url"), F.lit("2024").alias("effective_date"),
+        F.when(b > 2800, "zoning_map").otherwise("state_law").alias("source_type"), F.array(F.when(b.between(5000, 6000), "Unknown").otherwise("r1")).alias("districts"), F.array(F.when(b > 9500, "").otherwise("general")).alias("uses"), F.lit("x").alias("excerpt"), F.lit("").alias("full_text"), laws.alias("metadata"),
+    )
+    j = F.struct(own.alias("jurisdiction_id"), F.col("n_name").alias("name"), F.lit("qa_ready").alias("coverage_status"), F.lower(F.substring("r_name", 1, 2)).alias("state"), *[F.lit("1").alias(c) for c in ("state_fips", "county_fips", "place_fips")], F.lit("county").alias("jurisdiction_type"), F.lit("up").alias("parent_jurisdiction_id"), F.array(F.lit("https://a.gov")).alias("official_source_urls"), F.lit("").alias("zoning_map_url"), F.struct(F.lit("https://a.gov").alias("url"), F.lit("").alias("email"), F.lit("").alias("phone")).alias("planning_contact"))
+    grouped = s.groupBy("n_name", "r_name").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", one.alias("s")))).alias("xs"))
+    return grouped.select(F.col("n_name").alias("path"), F.lit("1.0").alias("schema_version"), F.lit("ok").alias("verification_notes"), j.alias("jurisdiction"), F.transform("xs", lambda x: x["s"]).alias("sources"))
+
+
+def c21_pack_issues(spark, d):
+    return P.pack_issues(_packs(spark, d)).select("path", "place", "severity", "issue")
+
+
+def a16_pack_counts(spark, d):
+    packs = _packs(spark, d)
+    return P.pack_summary(packs, P.pack_issues(packs))
+
+
+def k16_promoted(spark, d):
+    packs = _packs(spark, d)
+    return P.promoted(packs, P.pack_issues(packs)).select("path", F.col("jurisdiction.coverage_status").alias("status"))
+
+
+QUERIES = {f.__name__: f for f in (j16_resolve, j11_parcels_at, c10_intake, c16_status, a02_usage_since, a18_limits, a21_first_last, u06_append_new, j15_eligible, c21_pack_issues, a16_pack_counts, k16_promoted)}
 
 _PLACES = """with pl as (select * from nation join region on n_regionkey = r_regionkey),
 j as (select n_nationkey as pos, lower(n_name) as id, n_name as name, case n_nationkey % 3 when 0 then 'public_supported' when 1 then 'source_indexed' else 'unsupported' end as status, n_nationkey % 4 as kind, lower(n_name) as loc, lower(n_name) || ' county' as cty, lower(r_name) as st from pl)
@@ -99,7 +130,17 @@ j as (select n_nationkey as pos, lower(n_name) as id, n_name as name, case n_nat
 _MISSING = "(case when len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) < 8 then 1 else 0 end + case when contains(t, 'hours') then 0 else 1 end + case when contains(t, 'employees') then 0 else 1 end + case when contains(t, 'renovation') or contains(t, 'construction') then 0 else 1 end)"
 _USAGE = "select event_type as kind, user_id as \"user\", ts as \"at\" from events"
 
+_ISSUES = """with s as (select n_name as path, (row_number() over (partition by n_name order by s_suppkey) - 1)::int as place, s_acctbal as b, left(r_name, 2) as st, 'id-' || floor(s_acctbal / 20)::bigint as id from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+i as (select path, place, 'error' as severity, unnest(list_filter([case when b >= 9000 then 'title: required' end, case when b >= 8500 then 'section_ref: empty' end, case when b < 0 then 'url: scheme' when b < 1000 then 'url: todo' when b < 2000 then 'url: placeholder' end, case when b > 9500 then 'uses: none' end,
+  case when b >= 3000 and b <= 4000 and not (b between 2000 and 3000) then 'jurisdiction_id: another''s' end, case when b between 2000 and 3000 and b > 2800 then 'jurisdiction_id: ''*'' is for laws' end, case when b between 2000 and 3000 and b >= 2500 then 'metadata.applies_to_states: not the pack''s' end], lambda x: x is not null)) as issue from s
+ union all select path, place, 'warning', 'districts: only unknown' from s where b between 5000 and 6000
+ union all select path, place, 'error', 'source_id: repeated' from (select *, row_number() over (partition by id order by path, place) as n from s) where n > 1)
+"""
+
 ORACLE = {
+    "c21_pack_issues": _ISSUES + "select path, place, severity, issue from i",
+    "a16_pack_counts": _ISSUES + "select path, lower(path) as jurisdiction_id, n::int as sources, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings from (select path, count(*) as n from s group by path) left join i using (path) group by all",
+    "k16_promoted": _ISSUES + "select distinct path, 'source_indexed' as status from s where path not in (select path from i where severity = 'error')",
     "j16_resolve": _PLACES + """, q as (select c_custkey as qid, c_custkey % 10 as m, n_name, lower(n_name) as nn, lower(r_name) as rr, r_name, lower(c_custkey || ' ' || c_mktsegment || ' Street, ' || lower(n_name) || case when c_custkey % 3 = 0 then '' else ', ' || r_name end) as a from customer join pl on c_nationkey = n_nationkey),
 m as (select qid, j.id, j.name, j.status, case
    when q.m = 0 and j.id = nn then 1 when q.m = 2 and j.st = rr and (case when kind = 0 then contains(a, cty) else loc = nn end) then 2

@@ -78,7 +78,7 @@ def j05_citation_check(spark, d):
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_quantity > 10")
     cited = o.join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("analysis"), F.col("l_partkey").alias("source"))
     known = table(spark, d, "part").where("p_size % 10 <> 3").select(F.col("p_partkey").alias("source"), (F.col("p_size") % 7 != 0).alias("dated"))
-    return R.citation_check(cited, known)
+    return R.citation_check(cited, known).select("analysis", "cited", "unknown", "undated", "valid", "coverage")
 
 
 def j13_recall(spark, d):
