@@ -1,11 +1,11 @@
 """Byte-level BPE through a table of distinct words: each word is encoded once, its ids joined back by position.
 
 Texts are split where the tokenizer's own pattern always splits: before a space or line end that follows a character
-that isn't white space. Each distinct word of a batch that the worker's table lacks is encoded once, with the others in one call;
-the ids of a text are those of its words in order. Ids are decoded by a join with the vocabulary's id-to-piece table.
-
-The table is kept for each worker and bounded. A table shared through a shuffle would move every (text, word) pair
-twice, several times the input; see the README for figures.
+that isn't white space, and between a letter or digit and a comma or full stop. Each task tells its distinct words, Spark
+makes those of several tasks distinct and encodes each once; that table, of bounded size with the words of most tasks
+first, is broadcast. A second pass joins the ids back by position; a word that the table lacks (most of them stand in one
+task alone) is encoded once by the task that has it and kept in its worker's table, bounded as well. Ids are decoded by a
+join with the vocabulary's id-to-piece table. Texts never move.
 """
 
 from __future__ import annotations
@@ -15,15 +15,17 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, table, tidy
+from .common import parts_of, settle, table, tidy
 
 _PARTS = re.compile(r"\S+|\s+\S*")
 #: \0 marks the splits; Python counts the others as white space, the tokenizer's pattern doesn't.
@@ -66,6 +68,7 @@ class WordTable:
         self.most, self.batch = most, 0
         self.words, self.flat = pa.array([], pa.string()), np.zeros(0, "<u4")
         self.first, self.size, self.used = np.zeros(0, "i8"), np.zeros(0, "i4"), np.zeros(0, "i4")
+        self.given = ""
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
@@ -107,6 +110,17 @@ class WordTable:
         self.words, self.flat, self.size = pa.concat_arrays([self.words, words]), np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
         self.used = np.concatenate([self.used, np.full(len(words), self.batch, "i4")])
 
+    def take_over(self, name: str, data: bytes) -> None:
+        """Put in the words of a shared table (Arrow: word, ids) once; name tells tables apart."""
+        if self.given != name:
+            self.given = name
+            shared = pa.ipc.open_stream(data).read_all().combine_chunks()
+            if len(shared):
+                words, ids = shared.column(0).combine_chunks(), shared.column(1).combine_chunks()
+                new = pc.is_null(pc.index_in(words, value_set=self.words))
+                words, ids = words.filter(new), ids.filter(new)
+                self.add(words, np.frombuffer(b"".join(ids.to_pylist()), "<u4"), (pc.binary_length(ids).to_numpy() // 4).astype("i4"))
+
     def _shrink(self) -> None:
         """Keep the words used last: half of what the table may hold."""
         if len(self.words) > self.most or self.words.nbytes > 64 * self.most:
@@ -206,15 +220,71 @@ def word_table(path: str, most: int = 400_000) -> WordTable:
     return WordTable(path, most)
 
 
+def shared_words(docs: DataFrame, tokenizer_path: str, *, text_col="text", most: int = 200_000) -> bytes:
+    """An Arrow table (word, ids) of words that several tasks hold, each encoded once: at most about `most` of them, those of most tasks.
+
+    Words of 256 bytes and more and those that end with white space aren't in it. An empty table of texts gives one without rows.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = pa.array([], pa.string())
+        for batch in batches:
+            for _, texts in parts_of(batch, batch.column(0), 8_000_000):
+                found = split_words(texts).flatten().unique()
+                found = found.filter(pc.and_(pc.less(pc.binary_length(found), _LONG), pc.equal(pc.utf8_rtrim_whitespace(found), found)))
+                seen = pa.concat_arrays([seen, found]).unique()
+                if seen.nbytes > 32_000_000:
+                    yield pa.RecordBatch.from_arrays([seen], ["word"])
+                    seen = pa.array([], pa.string())
+        yield pa.RecordBatch.from_arrays([seen], ["word"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, size = word_table(tokenizer_path).learn(batch.column(0))
+            ends = 4 * np.cumsum([0, *size]).astype("i4")
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["word", "ids"])
+
+    slim = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    told = settle(slim.mapInArrow(tidy(tell), "word string").groupBy("word").agg(F.count(F.lit(1)).alias("tasks")).where("tasks > 1"))
+    # The number of tasks down to which the words are few enough, and the part of that step's words that still fits, by hash.
+    least, held, part = 2, 0, 1000
+    for row in sorted(told.groupBy("tasks").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["tasks"]):
+        if held + row["n"] > most:
+            least, part = row["tasks"], 1000 * (most - held) // row["n"]
+            break
+        held += row["n"]
+    fits = (F.col("tasks") > least) | ((F.col("tasks") == least) & (F.pmod(F.xxhash64("word"), F.lit(1000)) < part))
+    table = told.where(fits).select("word").mapInArrow(tidy(encode), "word string, ids binary").toArrow()
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _words_of(docs: DataFrame, tokenizer_path: str, text_col: str, kept_words: int) -> Callable[[], WordTable]:
+    """What gives a task its worker's table, with the shared words in it."""
+    spark = docs.sparkSession
+    name, data = uuid.uuid4().hex, spark.sparkContext.broadcast(shared_words(docs, tokenizer_path, text_col=text_col, most=kept_words // 2))  # bounded: a few MB
+
+    def words() -> WordTable:
+        table = word_table(tokenizer_path, kept_words)
+        table.take_over(name, data.value)
+        return table
+
+    return words
+
+
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 400_000) -> DataFrame:
     """A row for each row of docs: doc_id, ids array<int>, decoded. Null texts count as empty: no ids, decoded ''.
 
-    kept_words bounds a worker's table. Repeated rows and ids are encoded row by row; other columns are ignored. An empty table gives no
-    rows. Texts of any length are encoded whole: memory is a small multiple of 8 MB of text or of the longest text.
+    kept_words bounds a worker's table, half of it the shared table. Repeated rows and ids are encoded row by row; other columns are ignored. An
+    empty table gives no rows. Texts of any length are encoded whole: memory is a small multiple of 8 MB of text or of the longest text.
     """
+    table = _words_of(docs, tokenizer_path, text_col, kept_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_table(tokenizer_path, kept_words)
+        words = table()
         for batch in batches:
             for part, texts in parts_of(batch, batch.column(1), 8_000_000):
                 flat, ends = words.encode(texts)
@@ -227,9 +297,10 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
 
 def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id", text_col="text", kept_words: int = 400_000) -> DataFrame:
     """encode_and_decode, but of ids and decoded text only the digests leave the task: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    table = _words_of(docs, tokenizer_path, text_col, kept_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_table(tokenizer_path, kept_words)
+        words = table()
         for batch in batches:
             for part, texts in parts_of(batch, batch.column(1), 8_000_000):
                 flat, ends = words.encode(texts)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -59,6 +60,27 @@ def test_round_trip_equals_the_library(rows):
         assert whole[i].ids == ids and whole[i].decoded == (t or "")
 
 
+def test_shared_words(spark):
+    """Words of several tasks are encoded once; a bound leaves those of most tasks."""
+    texts = ["a common, word one. here", "a common word two\n here", "a common word three here  ", None, ""] * 3 + ["a rare"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    library = Tokenizer.from_file(BPE)
+    for most, least in ((1000, 7), (4, 1)):
+        shared = pa.ipc.open_stream(bpe.shared_words(df, BPE, most=most)).read_all().to_pylist()
+        assert least <= len(shared) <= 2 * most and len({r["word"] for r in shared}) == len(shared)
+        assert all(np.frombuffer(r["ids"], "<u4").tolist() == library.encode(r["word"], add_special_tokens=False).ids for r in shared)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert pa.ipc.open_stream(bpe.shared_words(empty, BPE)).read_all().num_rows == 0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["tree,", "house", "éa", "stone", "x1."]) + str(rng.randrange(99)) for _ in range(300_000))
+    want = Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids
+    got = bpe.encode_and_decode(spark.createDataFrame([(1, text)], "doc_id long, text string"), BPE).first()
+    assert len(text) > 2_000_000 and got.ids == want and got.decoded == text
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.token_counts(df, PIECES).count() == 0 and bpe.round_trip_digests(df, BPE).count() == 0
