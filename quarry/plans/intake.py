@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import pages as G
 from quarry.operators import intake as I
 from quarry.operators import pack_check as P
+from quarry.sources import stores as S
 from quarry.sources.tables import table
 
 
@@ -174,3 +176,78 @@ e as (select j.id, array_to_string(list_filter([case when pos % 5 = 0 then 'no p
  case when coalesce(h, 0) = 0 then 'no indexed chunks' end, case when coalesce(g.n, 0) = 0 then 'no golden scenario' when good = 0 then 'no scenario expects support' end], lambda x: x is not null), '; ') as errors, case when g.n = 1 and good = 1 then 'one golden scenario' else '' end as warnings from j left join sa on sa.id = j.id left join g on g.id = j.id)
 select id as jurisdiction_id, errors = '' as eligible, errors, warnings from e""",
 }
+
+
+def _titles(spark, d):
+    """Turns as titles that begin with numbers of several kinds, from what the data hold."""
+    t = table(spark, d, "conversations")
+    head = F.get(F.array(F.concat(F.lit("Sec "), F.length("text"), F.lit(". ")), F.concat(F.length("text"), F.lit("."), F.col("turn") + 1, F.lit(" ")), F.concat(F.lit("§ "), F.length("text"), F.lit("-2 ")), F.lit("")), (F.length("text") % 4).cast("int"))
+    return t.where("text is not null").select("conv_id", "turn", F.concat(head, F.split_part("text", F.lit("."), F.lit(1))).alias("title"), "text")
+
+
+def x10_section_numbers(spark, d):
+    return _titles(spark, d).select("conv_id", "turn", *[G.section_number(F.col("title"), h).alias(h) for h in ("municode", "amlegal", "madcapflare", "municipalcodeonline")])
+
+
+def x72_failure_reason(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(G.failure_reason(F.replace("text", F.lit(". "), F.lit(".\n")), "none")).alias("reason"))
+
+
+def x26_names(spark, d):
+    c = table(spark, d, "customer").join(_places(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
+    kind = F.when(F.col("c_mktsegment") == "FURNITURE", "county").when(F.col("c_mktsegment") == "BUILDING", "independent_city").otherwise("municipality")
+    name, county = F.concat("n_name", F.lit(", "), "r_name"), F.when(F.col("c_acctbal") > 0, F.col("c_name"))
+    return c.select("c_custkey", G.without_state(name).alias("plain"), F.array_join(G.county_names(kind, name, county), "|").alias("counties"), G.match_strategy(kind).alias("strategy"), G.clean_fips(F.split_part("c_name", F.lit("#"), F.lit(2))).alias("fips"))
+
+
+def x44_not_after(spark, d):
+    o = table(spark, d, "orders")
+    date = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return o.select("o_orderkey", G.not_after(date, F.lit("1996-06-30")).alias("passes"))
+
+
+def x55_request_key(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", G.request_key(F.lower("c_mktsegment"), F.lit("general"), F.when(F.col("c_acctbal") > 0, F.col("c_nationkey").cast("string")), F.col("c_name"), F.lit("v1")).alias("key"))
+
+
+def x60_string_lists(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(G.string_list(F.slice(F.split("text", "[.,]"), 1, 6)), "|").alias("items"))
+
+
+def x67_point_id(spark, d):
+    return table(spark, d, "pages").select("page_id", G.point_id(F.col("url")).alias("point_id"))
+
+
+def k12_upsert_users(spark, d):
+    e = table(spark, d, "events")
+    held = e.groupBy(F.col("user_id").alias("user")).agg(F.min_by("event_type", "event_id").alias("email"), F.min_by(F.when(F.col("value") > 100, "pro"), "event_id").alias("tier"), (F.min("value") < 1).alias("disabled"), F.min("event_id").alias("created")).where("user % 3 > 0")
+    new = e.groupBy(F.col("user_id").alias("user")).agg(F.max_by("event_type", "event_id").alias("email"), F.max_by(F.when(F.col("value") > 100, "team"), "event_id").alias("tier"), F.lit(False).alias("disabled"), F.max("event_id").alias("created")).where("user % 2 = 0")
+    return S.upsert_users(held, new)
+
+
+def k17_enriched(spark, d):
+    n = table(spark, d, "documents").select("doc_id", F.concat_ws("-", "lang", "source", F.col("n_chars") % 50).alias("section_ref"), F.md5(F.coalesce("text", F.lit(""))).alias("full_text"))
+    registry, rest = S.enriched_registry(n.where("doc_id < 100").select("section_ref", "full_text"), n.where("doc_id >= 100").select("section_ref", "full_text", F.col("doc_id").alias("position")))
+    return registry.select("section_ref", "full_text", F.lit(0).alias("unused")).unionAll(rest.select("section_ref", "full_text", F.lit(1)))
+
+
+MORE = (x10_section_numbers, x72_failure_reason, x26_names, x44_not_after, x55_request_key, x60_string_lists, x67_point_id, k12_upsert_users, k17_enriched)
+QUERIES |= {f.__name__: f for f in MORE}
+
+_TITLES = "with k as (select conv_id, turn, (['Sec ' || length(text) || '. ', length(text) || '.' || (turn + 1) || ' ', '§ ' || length(text) || '-2 ', ''])[length(text) % 4 + 1] || split_part(text, '.', 1) as title from conversations where text is not null)"
+ORACLE |= {
+    "x10_section_numbers": _TITLES + """ select conv_id, turn, nullif(regexp_replace(regexp_replace(regexp_extract(title, '(?i)^\\s*(Sec\\.?\\s*[0-9][0-9A-Za-z.\\-]*|§\\s*[0-9][0-9A-Za-z.\\-]*|[A-Z]{1,2}-[0-9]{2,}[0-9A-Za-z.\\-]*|[0-9]+[.\\-][0-9A-Za-z][0-9A-Za-z.\\-]*)', 1), '[.\\- ]+$', ''), '(?i)^Sec ', 'Sec. '), '') as municode,
+ nullif(regexp_extract(title, '^\\s*([0-9][0-9A-Za-z]*([.\\-][0-9A-Za-z]+)+)', 1), '') as amlegal, nullif(regexp_extract(title, '^\\s*(\\d+(\\.\\d+)*)\\.?\\s+\\S', 1), '') as madcapflare, nullif(regexp_replace(regexp_extract(title, '(?i)^\\s*(Secs?\\.?\\s*[0-9][0-9A-Za-z.\\-]*)', 1), '(?i)^(Secs?) ', '\\1. '), '') as municipalcodeonline from k""",
+    "x72_failure_reason": "with k as (select doc_id, list_filter(list_transform(string_split(replace(coalesce(text, ''), '. ', '.' || chr(10)), chr(10)), lambda l: trim(l)), lambda l: l <> '') as ls from documents) select doc_id, md5(coalesce(list_filter(ls, lambda l: regexp_matches(l, 'failed|BLOCKED|no sections|ERROR'))[-1], ls[-1], 'none')) as reason from k",
+    "x26_names": "with k as (select c.*, n_name, r_name from customer c join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey) select c_custkey, n_name as plain, case when c_mktsegment = 'BUILDING' then n_name || ' City|City of ' || n_name when c_acctbal > 0 then c_name when c_mktsegment = 'FURNITURE' then n_name else '' end as counties, case c_mktsegment when 'FURNITURE' then 'county' when 'BUILDING' then 'locality_and_county' else 'locality' end as strategy, case when length(split_part(c_name, '#', 2)) between 1 and 10 then split_part(c_name, '#', 2) end as fips from k",
+    "x44_not_after": "select o_orderkey, coalesce(o_orderstatus = 'P' or strftime(o_orderdate, '%Y-%m-%d') <= '1996-06-30', true) as passes from orders",
+    "x55_request_key": "select c_custkey, sha256('{\"district\":\"' || lower(c_mktsegment) || '\",\"inferred_use\":\"general\",\"jurisdiction_id\":' || case when c_acctbal > 0 then '\"' || c_nationkey || '\"' else 'null' end || ',\"query\":\"' || c_name || '\",\"source_index_version\":\"v1\"}') as key from customer",
+    "x60_string_lists": "select doc_id, array_to_string(list_filter(list_transform(list_slice(regexp_split_to_array(coalesce(text, ''), '[.,]'), 1, 6), lambda x: trim(x)), lambda x: x <> ''), '|') as items from documents",
+    "x67_point_id": "with k as (select page_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(url)) as h from pages) select page_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || (['8', '9', 'a', 'b'])[(('0x' || h[17])::int % 4) + 1] || h[18:20] || '-' || h[21:32] as point_id from k",
+    "k12_upsert_users": """with h as (select user_id as "user", arg_min(event_type, event_id) as email, case when arg_min(value, event_id) > 100 then 'pro' end as tier, min(value) < 1 as disabled, min(event_id) as created from events group by 1 having user_id % 3 > 0),
+n as (select user_id as "user", arg_max(event_type, event_id) as email, case when arg_max(value, event_id) > 100 then 'team' end as tier, max(event_id) as created from events group by 1 having user_id % 2 = 0)
+select coalesce(h."user", n."user") as "user", coalesce(n.email, h.email) as email, coalesce(n.tier, h.tier, 'free') as tier, coalesce(disabled, false) as disabled, coalesce(h.created, n.created) as created from h full join n on h."user" = n."user\"""",
+    "k17_enriched": """with n as (select doc_id, lang || '-' || source || '-' || (n_chars % 50) as r, md5(coalesce(text, '')) as t from documents), f as (select r, arg_min(t, doc_id) as t from n where doc_id >= 100 group by r)
+select n.r as section_ref, coalesce(f.t, n.t) as full_text, 0 as unused from n left join f on f.r = n.r where doc_id < 100 union all select r, t, 1 from n where doc_id >= 100 and r not in (select r from n where doc_id < 100)""",
+}
