@@ -33,6 +33,7 @@ _ODD = ("\0", "\x1c", "\x1d", "\x1e", "\x1f")
 _JOINED = 400  # words encoded in one string
 _LONG = 256  # words as long are encoded alone and soon forgotten
 _LEADS = (" ", "\n")
+_PART = 3_000_000  # bytes of text at a time, or one text
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -229,7 +230,7 @@ def shared_words(docs: DataFrame, tokenizer_path: str, *, text_col="text", most:
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = pa.array([], pa.string())
         for batch in batches:
-            for _, texts in parts_of(batch, batch.column(0), 8_000_000):
+            for _, texts in parts_of(batch, batch.column(0), _PART):
                 found = split_words(texts).flatten().unique()
                 found = found.filter(pc.and_(pc.less(pc.binary_length(found), _LONG), pc.equal(pc.utf8_rtrim_whitespace(found), found)))
                 seen = pa.concat_arrays([seen, found]).unique()
@@ -279,14 +280,14 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
     """A row for each row of docs: doc_id, ids array<int>, decoded. Null texts count as empty: no ids, decoded ''.
 
     kept_words bounds a worker's table, half of it the shared table. Repeated rows and ids are encoded row by row; other columns are ignored. An
-    empty table gives no rows. Texts of any length are encoded whole: memory is a small multiple of 8 MB of text or of the longest text.
+    empty table gives no rows. Texts of any length are encoded whole: memory is a small multiple of 3 MB of text or of the longest text.
     """
     table = _words_of(docs, tokenizer_path, text_col, kept_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = table()
         for batch in batches:
-            for part, texts in parts_of(batch, batch.column(1), 8_000_000):
+            for part, texts in parts_of(batch, batch.column(1), _PART):
                 flat, ends = words.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(flat.astype("i4")))
                 decoded = pa.array([x.decode() for x in words.decode(flat, ends)], pa.string())
@@ -302,7 +303,7 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = table()
         for batch in batches:
-            for part, texts in parts_of(batch, batch.column(1), 8_000_000):
+            for part, texts in parts_of(batch, batch.column(1), _PART):
                 flat, ends = words.encode(texts)
                 told = [[hashlib.sha256(x).hexdigest() for x in made(flat, ends)] for made in (words.listed, words.decode)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), *[pa.array(x, pa.string()) for x in told]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -39,7 +40,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 class Held:
-    """Small tables that several jobs read, kept by the executors (and computed again if one is lost) until the block ends."""
+    """Tables that several jobs read, kept on the executors' disks, not in their memory (and computed again if one is lost), until the block ends."""
 
     def __init__(self):
         self._frames: list[DataFrame] = []
@@ -48,7 +49,7 @@ class Held:
         return self
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        self._frames.append(df.persist())
+        self._frames.append(df.persist(StorageLevel.DISK_ONLY))
         return self._frames[-1]
 
     def cut(self, df: DataFrame, rows: int = 200_000) -> DataFrame:
@@ -108,13 +109,10 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
             trim = ctypes.CDLL(None).malloc_trim
         except (OSError, AttributeError):  # another C library
             trim = int
-        made = 0
         for out in run(batches):
             yield out
-            made += out.nbytes
-            if made > 16_000_000:
-                made = 0
-                pa.default_memory_pool().release_unused()
+            pa.default_memory_pool().release_unused()
+            trim(0)
         pa.default_memory_pool().release_unused()
         trim(0)
 

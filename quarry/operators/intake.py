@@ -291,3 +291,73 @@ def eligible(jurisdictions: DataFrame, sources: DataFrame, chunks: DataFrame, sc
 def in_order(rows: DataFrame, per: str, order: str, n: int) -> DataFrame:
     """The first n rows of each group by order (suggestions, lists of a page)."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(per).orderBy(order))).where(F.col("__n") <= n).drop("__n")
+
+
+def checklist(results: DataFrame) -> DataFrame:
+    """(id, steps, permits, departments, warnings) of analyses: id, decision, permits array<string>, triggers array<string>, warnings.
+
+    Stated permits stand; without any, those that the triggers ask for. A conditional or restricted decision begins with a meeting, an
+    unknown one with the office; departments follow from the triggers, planning first.
+    """
+    by_trigger = F.create_map(*[F.lit(x) for x in ("health_department", "Health permit", "building_permit", "Building permit", "signage", "Sign permit", "change_of_use", "Zoning permit")])
+    offices = F.create_map(*[F.lit(x) for x in ("health_department", "Health", "building_permit", "Building", "parking", "Transportation")])
+    named = lambda m: F.array_compact(F.transform(F.coalesce("triggers", F.array().cast("array<string>")), lambda t: F.try_element_at(m, t)))
+    permits = F.when(F.coalesce(F.size("permits"), F.lit(0)) > 0, F.col("permits")).otherwise(named(by_trigger))
+    first = F.when(F.col("decision") == "unknown", "Confirm the district with the planning office").when(F.col("decision").isin("conditional", "restricted"), "Ask for a meeting with the planning office")
+    steps = F.array_compact(F.concat(F.array(first), F.transform(permits, lambda p: F.concat(F.lit("Apply: "), p))))
+    return results.select("id", steps.alias("steps"), permits.alias("permits"), F.array_distinct(F.concat(F.array(F.lit("Planning")), named(offices))).alias("departments"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+
+
+def trust(contexts: DataFrame, sources: DataFrame, index: DataFrame, audit: DataFrame) -> DataFrame:
+    """contexts (qid, jurisdiction_id, supported, district, method, confidence, citations) with what an answer rests on: whether a jurisdiction was
+    analysed, how many sources there are, whether the index is ready, when it was last updated. index: source_id, ready."""
+    counts = sources.agg(F.count(F.lit(1)).alias("source_count")).join(index.agg(F.coalesce(F.bool_and("ready"), F.lit(False)).alias("vector_readiness"))).join(latest_update(audit))  # one row
+    analysed = F.col("jurisdiction_id").isNotNull() & (F.col("jurisdiction_id") != "") & F.coalesce(F.col("supported"), F.lit(True))
+    return contexts.join(F.broadcast(counts)).withColumn("jurisdiction_analyzed", F.coalesce(analysed, F.lit(False)))
+
+
+def index_ready(expected: DataFrame, held: DataFrame) -> DataFrame:
+    """One row: sources, indexed, stale, missing, ready. expected: source, hash. held chunks: source, hash. Ready: there are sources, none stale or missing."""
+    from .relational import stale
+
+    wrong = stale(expected, held).groupBy().agg(F.count_if(F.col("state") == "stale").alias("stale"), F.count_if(F.col("state") == "missing").alias("missing"))
+    out = expected.agg(F.count(F.lit(1)).alias("sources")).join(wrong)  # one row each
+    return out.withColumn("indexed", F.col("sources") - F.col("missing")).withColumn("ready", (F.col("sources") > 0) & (F.col("stale") + F.col("missing") == 0))
+
+
+def reindexed(expected: DataFrame, held: DataFrame, chunked: DataFrame) -> DataFrame:
+    """The index after a run: chunks of sources as they are now in place of stale ones, those of sources that are gone pruned, the others untouched.
+    expected: source, hash. held, chunked: source, hash, chunk_id and the same further columns; chunked is needed for changed sources only."""
+    from .relational import stale
+
+    changed = stale(expected, held).select("source")
+    kept = held.join(expected.select("source"), "source", "left_semi").join(changed, "source", "left_anti")
+    return kept.unionByName(chunked.join(changed, "source", "left_semi"))
+
+
+def classified_groups(groups: DataFrame, replies: DataFrame, districts: tuple[str, ...], least: float = 0.6) -> DataFrame:
+    """(group_id, district, confidence): a model's reply (group_id, reply) for each group of sections, out of a closed list; without a reply, with
+    another value or a low confidence the group is unknown."""
+    from .validation import parse_reply
+
+    # A reply's decision is its district here.
+    decision, confidence = parse_reply(F.col("reply"))
+    out = groups.join(replies, "group_id", "left").withColumn("__d", decision).withColumn("confidence", confidence)
+    return out.select("group_id", F.when(F.col("__d").isin(*districts) & (F.col("confidence") >= least), F.col("__d")).otherwise("unknown").alias("district"), "confidence")
+
+
+def rules_of(results: DataFrame) -> DataFrame:
+    """One row, rules: title conditions of classified groups (position, title, district), those that say nothing (unknown) left out, in order."""
+    return results.where("district <> 'unknown'").agg(F.array_sort(F.collect_list(F.struct("position", F.col("title").alias("title_contains"), F.array("district").alias("districts")))).alias("rules"))
+
+
+def siblings(codes: DataFrame) -> DataFrame:
+    """(code, number) for every chapter and the parts it is split in: entries of a code whose number begins with the chapter's and a hyphen.
+
+    codes: code, number. The part before a number's last hyphen names its chapter: an equi-join, for each hyphen of the number.
+    """
+    parts = F.split("number", "-")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "-"))
+    split = codes.where(F.contains("number", F.lit("-"))).select("code", "number", F.explode(heads).alias("head"))
+    chapters = codes.select("code", F.col("number").alias("head"))
+    return chapters.join(split, ["code", "head"]).select("code", F.col("head").alias("chapter"), "number")

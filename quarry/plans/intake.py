@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import pages as G
+from quarry.functions import text as X
 from quarry.operators import intake as I
 from quarry.operators import pack_check as P
 from quarry.sources import stores as S
@@ -251,3 +252,45 @@ select coalesce(h."user", n."user") as "user", coalesce(n.email, h.email) as ema
     "k17_enriched": """with n as (select doc_id, lang || '-' || source || '-' || (n_chars % 50) as r, md5(coalesce(text, '')) as t from documents), f as (select r, arg_min(t, doc_id) as t from n where doc_id >= 100 group by r)
 select n.r as section_ref, coalesce(f.t, n.t) as full_text, 0 as unused from n left join f on f.r = n.r where doc_id < 100 union all select r, t, 1 from n where doc_id >= 100 and r not in (select r from n where doc_id < 100)""",
 }
+
+
+def c06_reindexed(spark, d):
+    n = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("source"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"), "doc_id", "n_chars")
+    expected = n.where("doc_id % 10 > 0").select("source", "hash")
+    held = n.where("doc_id % 4 > 0").select("source", F.when(F.col("n_chars") % 3 == 0, "old").otherwise(F.col("hash")).alias("hash"), F.concat("source", F.lit(":0")).alias("chunk_id"))
+    chunked = n.select("source", "hash", F.concat("source", F.lit(":new")).alias("chunk_id"))
+    return I.reindexed(expected, held, chunked)
+
+
+def c07_index_ready(spark, d):
+    n = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("source"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"), "n_chars", "doc_id")
+    held = n.where("doc_id % 4 > 0").select("source", F.when(F.col("n_chars") % 3 == 0, "old").otherwise(F.col("hash")).alias("hash"))
+    return I.index_ready(n.select("source", "hash"), held)
+
+
+def j19_siblings(spark, d):
+    l = table(spark, d, "lineitem")
+    codes = l.select(F.col("l_orderkey").alias("code"), F.concat_ws("-", F.when(F.col("l_linenumber") > 1, F.lit("1")), F.when(F.col("l_quantity") > 25, F.lit("2")), F.when(F.col("l_linenumber") > 3, F.col("l_linenumber").cast("string"))).alias("number")).where("number <> ''").distinct()
+    return I.siblings(codes)
+
+
+def c15_checklist(spark, d):
+    t = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", "turn")
+    words = F.get(F.array(*map(F.lit, (" sign and food", " build a shop with parking", " convert it", ""))), (F.length(F.coalesce("text", F.lit(""))) % 4).cast("int"))
+    x = I.intake(F.concat(F.coalesce("text", F.lit("")), words))
+    cases = t.select("id", F.when(F.col("turn") == 0, "unknown").when(F.col("turn") == 1, "conditional").otherwise("likely_allowed").alias("decision"), F.when(F.col("turn") == 2, F.array(F.lit("Use permit"))).alias("permits"), x["triggers"].alias("triggers"), F.lit(None).cast("array<string>").alias("warnings"))
+    return I.checklist(cases).select("id", F.array_join("steps", "|").alias("steps"), F.array_join("departments", "|").alias("departments"))
+
+
+QUERIES |= {f.__name__: f for f in (c06_reindexed, c07_index_ready, j19_siblings, c15_checklist)}
+_STATES = "with n as (select doc_id, 'doc-' || doc_id as source, md5(coalesce(text, '')) as hash, n_chars, case when n_chars % 3 = 0 then 'old' else md5(coalesce(text, '')) end as had from documents)"
+ORACLE |= {
+    "c06_reindexed": _STATES + " select source, hash, source || case when doc_id % 4 > 0 and coalesce(had = hash, false) then ':0' else ':new' end as chunk_id from n where doc_id % 10 > 0",
+    "c07_index_ready": _STATES + " select count(*) as sources, count(*) filter (doc_id % 4 > 0 and had <> hash) as stale, count(*) filter (doc_id % 4 = 0) as missing, count(*) filter (doc_id % 4 > 0) as indexed, false as ready from n",
+    "j19_siblings": "with c as (select distinct l_orderkey as code, concat_ws('-', case when l_linenumber > 1 then '1' end, case when l_quantity > 25 then '2' end, case when l_linenumber > 3 then l_linenumber::varchar end) as number from lineitem), k as (select * from c where number <> '') select a.code, a.number as chapter, b.number from k a join k b on a.code = b.code and starts_with(b.number, a.number || '-')",
+    "c15_checklist": "with k as (select conv_id || '-' || turn as id, turn, lower(coalesce(text, '') || ([' sign and food', ' build a shop with parking', ' convert it', ''])[length(coalesce(text, '')) % 4 + 1]) as t from conversations), g as (select *, "
+    + ", ".join(f"({' or '.join(f"contains(t, '{w}')" for w in words)}) as {name}" for name, words in X.TRIGGERS)
+    + """ from k), p as (select *, case when turn = 2 then ['Use permit'] else list_filter([case when change_of_use then 'Zoning permit' end, case when health_department then 'Health permit' end, case when building_permit then 'Building permit' end, case when signage then 'Sign permit' end], lambda x: x is not null) end as permits from g)
+select id, array_to_string(list_filter(list_concat([case turn when 0 then 'Confirm the district with the planning office' when 1 then 'Ask for a meeting with the planning office' end], list_transform(permits, lambda x: 'Apply: ' || x)), lambda x: x is not null), '|') as steps,
+ array_to_string(list_filter(['Planning', case when parking then 'Transportation' end, case when health_department then 'Health' end, case when building_permit then 'Building' end], lambda x: x is not null), '|') as departments from p""",
+}
