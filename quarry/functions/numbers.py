@@ -55,17 +55,22 @@ def token_cell(token: Column, dims: int = 64) -> tuple[Column, Column]:
     return cell, sign
 
 
-def hash_embedding(text: Column, dims: int = 64) -> Column:
-    """A text's tokens added up in signed cells, at length 1; a text without tokens is the zero vector."""
+def token_cells(text: Column, dims: int = 64) -> Column:
+    """array<struct<cell, more, less>>: how many of a text's tokens fall in each cell with a positive and a negative sign, within the row."""
 
     def place(token: Column) -> Column:
         cell, sign = token_cell(token, dims)
         return 2 * cell + F.when(sign > 0, 0).otherwise(1)
 
     places = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), place)
-    # Of each cell's two places, how many more tokens stand in the first: what is left without the second, less what is left without the first.
-    cells = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.size(F.array_remove(p, 2 * i + 1)) - F.size(F.array_remove(p, 2 * i))).cast("double"))
-    return F.get(F.transform(F.array(places), lambda p: unit(cells(p))), F.lit(0))  # the lambda's variable: places are made once
+    count = lambda p, x: F.size(p) - F.size(F.array_remove(p, x))
+    cells = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.struct(i.alias("cell"), count(p, 2 * i).alias("more"), count(p, 2 * i + 1).alias("less")))
+    return F.get(F.transform(F.array(places), cells), F.lit(0))  # the lambda's variable: places are made once
+
+
+def hash_embedding(text: Column, dims: int = 64) -> Column:
+    """A text's tokens added up in signed cells, at length 1; a text without tokens is the zero vector."""
+    return F.get(F.transform(F.array(F.transform(token_cells(text, dims), lambda c: (c["more"] - c["less"]).cast("double"))), unit), F.lit(0))
 
 
 def confidence(missing: Column, citations: Column) -> Column:

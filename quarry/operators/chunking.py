@@ -78,21 +78,21 @@ def build_chunks(sources: DataFrame, most: int = MOST, least: int = LEAST) -> Da
     whole = F.array(F.struct(F.col("section_ref").alias("section"), text.alias("body")))
     if "is_markdown" in sources.columns:
         whole = F.when(F.col("is_markdown"), markdown_sections(text, F.col("section_ref"))).otherwise(whole)
-    parts = sources.select("source_id", "title", "jurisdiction_id", "districts", "uses", X.line_hash(text).alias("hash"), F.posexplode(whole).alias("part", "s"))
+    rows = sources.select("source_id", "title", "jurisdiction_id", "districts", "uses", X.line_hash(text).alias("hash"), whole.alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks = pa.array([pack(t.as_py(), most) for t in batch.column("body")], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], chunks], [*batch.schema.names[:-1], "chunks"])
-
-    rows = parts.select("source_id", "title", "jurisdiction_id", "districts", "uses", "hash", "part", F.col("s.section").alias("section_ref"), F.col("s.body").alias("body"))
-    made = rows.mapInArrow(run, "source_id string, title string, jurisdiction_id string, districts array<string>, uses array<string>, hash string, part int, section_ref string, chunks array<string>")
-    # Sections of one source meet again, in order, to be numbered as one list.
-    listed = made.groupBy("source_id").agg(*[F.first(c).alias(c) for c in ("title", "jurisdiction_id", "districts", "uses", "hash")], F.array_sort(F.collect_list(F.struct("part", "section_ref", "chunks"))).alias("p"))
-    flat = F.flatten(F.transform("p", lambda s: F.transform(s["chunks"], lambda c: F.struct(s["section_ref"].alias("section_ref"), c.alias("text")))))
+            for at in range(0, len(batch), 1000):
+                some = batch.slice(at, 1000)
+                made = [[{"section_ref": s["section"], "text": c} for s in parts or () for c in pack(s["body"], most)] for parts in some.column(6).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(made, kind)], [*some.schema.names[:-1], "all"])
+
+    # A source's sections stay in its row and are numbered there: nothing moves.
+    kind = pa.list_(pa.struct([("section_ref", pa.string()), ("text", pa.string())]))
+    listed = rows.mapInArrow(run, "source_id string, title string, jurisdiction_id string, districts array<string>, uses array<string>, hash string, all array<struct<section_ref:string,text:string>>")
     long = F.filter("all", lambda x: F.length(F.trim(x["text"])) >= least)
     kept = F.when((F.size("long") == 0) & (F.size("all") == 1), F.col("all")).otherwise(F.col("long"))
-    out = listed.withColumn("all", flat).withColumn("long", long).withColumn("kept", kept).select("*", F.posexplode("kept").alias("chunk_index", "c"))
+    out = listed.withColumn("long", long).withColumn("kept", kept).select("*", F.posexplode("kept").alias("chunk_index", "c"))
     out = out.withColumn("section_ref", F.col("c.section_ref")).withColumn("chunk_text", X.header_stamp(F.col("title"), F.col("c.text")))
     return out.select(
         X.chunk_id(F.col("source_id"), F.col("section_ref"), F.col("chunk_index"), F.col("hash")).alias("chunk_id"), "source_id", "chunk_index", "section_ref", "jurisdiction_id", "districts", "uses",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,28 +22,26 @@ def throttle(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """(event_id, admitted): an event passes if fewer than `limit` admitted events of its key lie within `seconds` before it.
 
     Only admitted events count, so each decision depends on those before: a key's events are taken in order, with the
-    last `limit` admitted times as all the state. events: key, event_id, ts.
+    last `limit` admitted times as all the state. events: key, event_id, ts. Keys are dealt by hash, sorted, and run through in one
+    pass that holds one batch: a key that holds most events takes long, as it must be taken in order, but no more memory.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        window: deque = deque()
-        out = []
-        for t in rows["ts"].astype("int64") // 1000:
-            while window and t - window[0] > seconds * 1_000_000:
-                window.popleft()
-            out.append(len(window) < limit)
-            if out[-1]:
-                window.append(t)
-        return pd.DataFrame({"event_id": rows["event_id"], "admitted": out})
-
-    # A gap longer than the window starts afresh. Whole stretches between gaps, some thousand events of them, are a group: no key is one large group.
-    order = Window.partitionBy("key").orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    fresh = F.coalesce(at - F.lag(at).over(order) > seconds * 1_000_000, F.lit(True))
-    placed = events.withColumn("__n", F.row_number().over(order)).withColumn("__fresh", fresh)
-    start = F.max(F.when(F.col("__fresh"), F.col("__n"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return placed.withColumn("__block", F.floor(start / 5000)).groupBy("key", "__block").applyInPandas(run, "event_id long, admitted boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, window = None, deque()
+        for batch in batches:
+            out = []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != now:
+                    now, window = key, deque()
+                while window and t - window[0] > seconds * 1_000_000:
+                    window.popleft()
+                out.append(len(window) < limit)
+                if out[-1]:
+                    window.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.bool_())], ["event_id", "admitted"])
+
+    timed = events.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return timed.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInArrow(run, "event_id long, admitted boolean")
 
 
 def table_headers(lines: DataFrame) -> DataFrame:

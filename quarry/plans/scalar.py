@@ -109,10 +109,14 @@ def x45_dot_and_unit(spark, d):
 
 def x47_hash_embedding(spark, d):
     """Signed hashing embedding of each document, as (doc_id, cell, value) before normalising: tokens count as often as they occur."""
-    t = _t(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("token"))
-    counted = t.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    cell, sign = N.token_cell(F.col("token"))
-    return counted.groupBy("doc_id", cell.alias("cell")).agg(F.sum(F.col("n") * sign).alias("value"))
+    t = _t(spark, d, "documents").where("text is not null").select("doc_id", F.inline(N.token_cells(F.col("text"))))
+    return t.where("more + less > 0").select("doc_id", "cell", (F.col("more") - F.col("less")).cast("long").alias("value"))
+
+
+def x47_hash_vector(spark, d):
+    """The same at length 1, as vectors of 64 components."""
+    t = _t(spark, d, "documents").where("text is not null").select("doc_id", N.hash_embedding(F.col("text")).alias("v"))
+    return t.select("doc_id", F.posexplode("v").alias("cell", "x")).where("x <> 0").select("doc_id", "cell", F.round("x", 9).alias("value"))
 
 
 def x49_confidence(spark, d):
@@ -152,7 +156,7 @@ def x58_json_shapes(spark, d):
     return j.select("event_id", F.get(F.coalesce("j.embedding.values", "j.values", "j.response.embedding.values"), F.lit(0)).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (x01_slugify, x02_csv_list, x03_excerpt, x04_collapse_lines, x06_header_stamp, x08_tokens, x09_section_ref, x14_keyword_ladders, x15_triggers, x28_question_key, x31_coerce_vocab, x33_stem_title, x35_normal_code, x37_token_count, x40_lenient_date, x41_us_date, x42_safe_dates, x45_dot_and_unit, x47_hash_embedding, x49_confidence, x52_content_hash, x54_chunk_id, x58_json_shapes, x62_decision_maps, x63_verdict)}
+QUERIES = {f.__name__: f for f in (x01_slugify, x02_csv_list, x03_excerpt, x04_collapse_lines, x06_header_stamp, x08_tokens, x09_section_ref, x14_keyword_ladders, x15_triggers, x28_question_key, x31_coerce_vocab, x33_stem_title, x35_normal_code, x37_token_count, x40_lenient_date, x41_us_date, x42_safe_dates, x45_dot_and_unit, x47_hash_embedding, x47_hash_vector, x49_confidence, x52_content_hash, x54_chunk_id, x58_json_shapes, x62_decision_maps, x63_verdict)}
 
 _LINES = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> ''), chr(10))"
 _HAS = lambda t, *xs: "(" + " or ".join(f"contains({t}, '{x}')" for x in xs) + ")"
@@ -185,6 +189,7 @@ ORACLE = {
     "x41_us_date": "select o_orderkey, case when o_orderkey % 3 <> 0 then o_orderdate::date end as day from orders",
     "x45_dot_and_unit": "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings) select vec_id, round(list_inner_product(v, list_reverse(v)), 6) as with_reverse, 1.0::double as norm from e",
     "x47_hash_embedding": "with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from documents), h as (select doc_id, sha256(token) as h from t) select doc_id, (('0x' || substr(h, 1, 4))::int % 64)::int as cell, sum(case when ('0x' || substr(h, 5, 2))::int % 2 = 0 then 1 else -1 end)::bigint as value from h group by all",
+    "x47_hash_vector": "with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as token from documents), h as (select doc_id, sha256(token) as h from t), c as (select doc_id, (('0x' || substr(h, 1, 4))::int % 64)::int as cell, sum(case when ('0x' || substr(h, 5, 2))::int % 2 = 0 then 1 else -1 end)::double as v from h group by all), n as (select doc_id, sqrt(sum(v * v)) as n from c group by doc_id) select doc_id, cell, round(v / n, 9) as value from c join n using (doc_id) where v <> 0",
     "x49_confidence": "with l as (select l_orderkey, case when l_orderkey % 5 = 0 then 0 else count(*) end as c, count(*) filter (l_returnflag = 'R') as m from lineitem group by l_orderkey) select l_orderkey, round(greatest(0.1::double, least(0.98::double, 0.82::double - least(0.35::double, 0.07::double * m) + least(0.15::double, 0.05::double * c) - case when c = 0 then 0.28::double else 0.0::double end)), 6) as confidence from l",
     "x52_content_hash": f"with k as (select doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as h, sha256({_LINES}) as l from documents) select doc_id, h as content_hash, left(h, 16) as version, l as line_hash from k",
     "x54_chunk_id": f"with k as (select 'doc-' || doc_id as s, source, sha256({_LINES}) as l from documents) select s || ':chunk:0:' || left(l, 12) || ':' || left(sha256(s || '|' || source || '|0|' || left(l, 16)), 8) as chunk_id from k",
