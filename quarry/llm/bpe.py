@@ -25,7 +25,7 @@ import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_of, settle, table, tidy
+from .common import give_back, parts_of, settle, table, tidy
 
 _PARTS = re.compile(r"\S+|\s+\S*")
 #: \0 marks the splits; Python counts the others as white space, the tokenizer's pattern doesn't.
@@ -260,7 +260,10 @@ def shared_words(docs: DataFrame, tokenizer_path: str, *, text_col="text", most:
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, table.schema) as writer:
         writer.write_table(table)
-    return out.getvalue().to_pybytes()
+    data = out.getvalue().to_pybytes()
+    del table, out
+    give_back()
+    return data
 
 
 def _words_of(docs: DataFrame, tokenizer_path: str, text_col: str, kept_words: int) -> Callable[[], WordTable]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -60,6 +62,8 @@ class Held:
     def __exit__(self, *_) -> None:
         for df in self._frames:
             df.unpersist()
+        self._frames.clear()
+        give_back()
 
 
 def word_count(text: Column) -> Column:
@@ -100,6 +104,14 @@ def parts_of(batch: pa.RecordBatch, texts: pa.Array, most: int = 4_000_000) -> I
         yield batch.slice(start), texts.slice(start)
 
 
+def give_back() -> None:
+    """Give what this process has freed back to the system: frames that are no longer used (and their plans in the JVM), Arrow's pool, the C heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow, giving the memory it freed back to the system behind each batch it puts out and at its end: workers live on for
     later tasks, and what their allocators keep (up to 200 MB were measured) counts against the executor's memory."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, learnable, table, text_batches, tidy, unit_hash
+from .common import give_back, keep_rows, learnable, table, text_batches, tidy, unit_hash
 
 DIMS = 4096
 SEED = 7
@@ -116,7 +116,10 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
     x = np.stack([np.frombuffer(r["x"], "f2") for r in found]).astype("f4")
     y = np.array([place[r["lang"]] for r in found])
     del found
-    return names, fit(x, y, len(names)) if len(names) > 1 else {"code": np.ones((1, 0), "f4")}
+    model = fit(x, y, len(names)) if len(names) > 1 else {"code": np.ones((1, 0), "f4")}
+    del x, y
+    give_back()
+    return names, model
 
 
 def judge(texts: list[str | None], names: list[str], model: dict | None) -> tuple[list[str], list[float], list[float]]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, broadcast_if_small, parts_of, settle, table, tidy
+from .common import Held, broadcast_if_small, give_back, parts_of, settle, table, tidy
 from .graph import components
 
 #: Buckets that n-grams are counted in: about one for 32 n-grams, within these bounds (a byte each, sent to every task).
@@ -164,7 +164,10 @@ def _levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     for row in found.toLocalIterator():
         total[row["chunk"]] += np.frombuffer(zlib.decompress(row["counts"]), "u4")
     usual = max(2 * total.sum(dtype="i8") / buckets, 4.0)
-    return np.clip(np.floor(np.log2(np.maximum(total.ravel(), 1) / usual)) + 1, 0, 60).astype("u1")
+    out = np.clip(np.floor(np.log2(np.maximum(total.ravel(), 1) / usual)) + 1, 0, 60).astype("u1")
+    del total
+    give_back()
+    return out
 
 
 def _ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep_rows, learnable, settle, table, text_batches, tidy, unit_hash
+from .common import broadcast_if_small, give_back, keep_rows, learnable, settle, table, text_batches, tidy, unit_hash
 
 SEED = 11
 _ENDS = re.compile(r"[.!?]+")
@@ -116,7 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
 
     found = rows.mapInArrow(tidy(run), "y double, x array<double>").orderBy("y", "x").toArrow()
     x = np.array(found["x"].to_pylist(), "f8").reshape(-1, len(NAMES))
-    return boost(x, found["y"].to_numpy().astype("f8"))
+    model = boost(x, found["y"].to_numpy().astype("f8"))
+    del x, found
+    give_back()
+    return model
 
 
 def judge(texts: list[str | None], model: dict[str, np.ndarray]) -> np.ndarray:
