@@ -109,12 +109,14 @@ def x45_dot_and_unit(spark, d):
 
 def x47_hash_embedding(spark, d):
     """Signed hashing embedding of each document, as (doc_id, cell, value) before normalising: tokens count as often as they occur."""
-    t = _t(spark, d, "documents").where("text is not null").select("doc_id", F.inline(N.token_cells(F.col("text"))))
-    return t.where("more + less > 0").select("doc_id", "cell", (F.col("more") - F.col("less")).cast("long").alias("value"))
+    t = _t(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("token"))
+    counted = t.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    cell, sign = N.token_cell(F.col("token"))
+    return counted.groupBy("doc_id", cell.alias("cell")).agg(F.sum(F.col("n") * sign).alias("value"))
 
 
 def x47_hash_vector(spark, d):
-    """The same at length 1, as vectors of 64 components."""
+    """The same at length 1, as vectors of 64 components made within the row."""
     t = _t(spark, d, "documents").where("text is not null").select("doc_id", N.hash_embedding(F.col("text")).alias("v"))
     return t.select("doc_id", F.posexplode("v").alias("cell", "x")).where("x <> 0").select("doc_id", "cell", F.round("x", 9).alias("value"))
 
