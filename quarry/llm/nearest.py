@@ -5,7 +5,7 @@ keeps the sign of each. Queries, turned alike, are rounded to 4 bits a dimension
 a few AND and bit counts of packed words. With a code's two scalars (length, and inner product of the vector with its own
 code) it estimates the distance, with a bound on the error that holds with high probability. Only vectors whose lower
 bound is below the k-th smallest upper bound are compared exactly. All vectors are coded; queries and codes meet in
-blocks of bounded size, vectors only move for the pairs that the bounds leave.
+blocks of bounded size, a code's vector beside it, so that only the nearest of a block leave it.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, table, tidy
@@ -86,33 +86,32 @@ def search(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding", k: in
             for at in range(0, len(batch), 4096):
                 part = batch.slice(at, 4096)
                 packed, length, own = encode(part.column(1).flatten().to_numpy().reshape(-1, d), mean, turn)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.tobytes() for b in packed], pa.binary()), pa.array(length, pa.float64()), pa.array(own.astype("f8"), pa.float64())], ["code_id", "bits", "length", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([b.tobytes() for b in packed], pa.binary()), pa.array(length, pa.float64()), pa.array(own.astype("f8"), pa.float64()), part.column(1)], ["code_id", "v_id", "bits", "length", "own", "x"])
 
-    coded = keyed.select("code_id", "key").mapInArrow(tidy(code), "code_id long, bits binary, length double, own double")
+    coded = keyed.select("code_id", "key", F.element_at("ids", 1).alias("v_id")).mapInArrow(tidy(code), "code_id long, v_id long, bits binary, length double, own double, x array<double>")
     asked = settle(queries.select("qkey").distinct().join(keyed.select(F.col("code_id").alias("qkey"), F.col("key").alias("q")), "qkey"))
     shards, blocks = -(-total // shard), max(1, -(-asked.count() // block))
     left = asked.withColumn("b", F.pmod(F.xxhash64("qkey"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     right = coded.withColumn("s", F.pmod(F.xxhash64("code_id"), F.lit(shards)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"qkey": np.zeros(0, "i8"), "code_id": np.zeros(0, "i8"), "low": np.zeros(0), "high": np.zeros(0)})]
+        found = [pd.DataFrame({"qkey": np.zeros(0, "i8"), "code_id": np.zeros(0, "i8")})]
         if not len(q) or not len(c):
             return found[0]
-        told = rounded(np.stack(q["q"].to_numpy()), mean, rotation(d, n, seed))
+        asked, x = np.stack(q["q"].to_numpy()), np.stack(c["x"].to_numpy())
+        told = rounded(asked, mean, rotation(d, n, seed))
         codes, names = np.frombuffer(b"".join(c["bits"]), "u8").reshape(len(c), -1), c["code_id"].to_numpy()
-        ones, length, own = np.bitwise_count(codes).sum(1, dtype="i4"), c["length"].to_numpy(), c["own"].to_numpy()
+        ones, length, own, first = np.bitwise_count(codes).sum(1, dtype="i4"), c["length"].to_numpy(), c["own"].to_numpy(), c["v_id"].to_numpy()
         for i, qkey in enumerate(q["qkey"]):
-            low, high = bounds(codes, ones, length, own, tuple(x[i] for x in told), n, sure)
+            low, high = bounds(codes, ones, length, own, tuple(t[i] for t in told), n, sure)
             near = np.flatnonzero(low <= np.partition(high, k)[k]) if len(high) > k else np.arange(len(high))
-            found.append(pd.DataFrame({"qkey": np.full(len(near), qkey), "code_id": names[near], "low": low[near], "high": high[near]}))
+            far = ((x[near] - asked[i]) ** 2).sum(1)
+            best = near[np.lexsort((first[near], far))[: k + 1]]
+            found.append(pd.DataFrame({"qkey": np.full(len(best), qkey), "code_id": names[best]}))
         return pd.concat(found[1:], ignore_index=True)
 
-    # Each shard's pairs, then those that the k + 1 smallest upper bounds of all shards leave: one of them may be the query itself.
-    pairs = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(compare, "qkey long, code_id long, low double, high double")
-    pairs = settle(pairs)
-    place = F.row_number().over(Window.partitionBy("qkey").orderBy("high"))
-    reach = pairs.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("qkey").agg(F.when(F.count(F.lit(1)) > k, F.max("high")).alias("reach"))
-    chosen = pairs.join(reach, "qkey").where("reach is null or low <= reach").select("qkey", "code_id")
+    # The k + 1 nearest of each shard, one of which may be the query itself; their exact distances decide.
+    chosen = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(compare, "qkey long, code_id long")
     exact = chosen.join(asked, "qkey").join(keyed.select("code_id", "ids", "key"), "code_id")
     apart = F.aggregate(F.zip_with("key", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return ranked(exact.select("qkey", "ids", F.sqrt(apart).alias("score")), queries, "score", k)
