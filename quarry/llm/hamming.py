@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes: incremental multi-index hashing.
 
-A code is cut into m segments of about log2(number of codes) bits, and each segment is an index of its own. Round r looks
+A code is cut into m segments of about log2(number of codes) bits, 16 at least, and each segment is an index of its own. Round r looks
 up, index after index, the values that differ from the query's segment in exactly r bits. Once the first j indexes are
 through round r, every code within m * r + j - 1 of the query has been met, so a query needs no further look-up when its
 k-th verified distance is covered by that; where that happens is told for each query, index by index. Nothing else ends
@@ -32,8 +32,9 @@ def sign_words(v: Column, d: int) -> Column:
 
 
 def segments(d: int, codes: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of each segment: as many as make them about log2(codes) bits long, 4 to 20, none across two words."""
-    most = min(20, max(4, round(math.log2(max(codes, 2)))))
+    """(first bit, bits) of each segment: as many as make them about log2(codes) bits long, but 16 to 20, none across two words. With no
+    fewer than 16 bits a round asks for the same number of values whatever the table's size: look-ups grow with the queries alone."""
+    most = min(20, max(16, round(math.log2(max(codes, 2)))))
     out = []
     for start in range(0, max(d, 1), 64):
         here = max(1, min(64, d - start))
