@@ -19,6 +19,11 @@ from pyspark.sql.types import StructField, StructType
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
 
+#: Runs of letters and digits, all beyond ASCII among them, once A-Z are lower-cased.
+TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only a local session that has none gets a temporary one."""
@@ -72,6 +77,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(marks, _SPACES, "")), F.lit(0)).cast("long")
 
 
+def terms(text: Column) -> Column:
+    """The terms of a text in order, lower-cased in A-Z alone; none for null."""
+    return F.coalesce(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
+
+
+def terms_of(utf8: bytes) -> list[bytes]:
+    """terms() of one text in UTF-8: each byte that is no part of a term becomes a space."""
+    return utf8.translate(_TERM_BYTES).split()
+
+
 def unit_hash(*parts: Column, seed: int) -> Column:
     """A number in (0, 1) from the parts; the same in any engine that has md5."""
     key = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

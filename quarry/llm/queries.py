@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "hamming", "token_store", "quality", "license_scan", "token_counts", "ngram_join", "nearest", "language_id", "bpe")
+MODULES = ("mixing", "hamming", "token_store", "quality", "license_scan", "token_counts", "ngram_join", "nearest", "language_id", "bpe", "vector_codes", "ranked_search", "decontamination")
 
 
 def queries() -> dict:
