@@ -5,7 +5,9 @@ probability in proportion to its quality weight. Which documents a source's budg
 the source: words are summed by bins of the key, the running sum over a source's bins names the one bin where the
 budget ends, and only that bin is sorted. Bins are even in the key's logarithm, `bins` of them for each doubling: of
 documents of one weight, whatever it is, a bin is expected to hold at most a quarter of a 1/bins part, and so of any
-mixture. So a source that holds most rows costs no more than the others.
+mixture. So a source that holds most rows costs no more than the others. Rows that tie (repeated ones, or equal texts
+without an id) are one row with a count there; how many of them the budget reaches is arithmetic, and which ones is
+told by their places in the table, found through counts by partition in the same way.
 """
 
 from __future__ import annotations
@@ -55,14 +57,14 @@ def _rank(id_col: str, text_col: str, bins: int, seed: int) -> dict[str, Column]
 
 
 def mix_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), budget=1.5, cap=2.0, bins=1024, seed=SEED) -> tuple[DataFrame, DataFrame]:
-    """(slim, plan). slim: doc_id, source, size, pick for each row of docs. plan, a row for each source: source, source_size, target, epochs, cut_bin, cut.
+    """(slim, plan). slim: doc_id, source, size, pick, nr for each row of docs. plan, a row for each source: source, source_size, target, epochs, cut_bin, cut, cut_nr.
 
     Rows of slim at or below their source's cut are taken once more than epochs times. Null texts have size 0; null
-    sources form one source, which comes last; rows without an id are drawn by their texts. Rows that tie in all of slim are alike in what is
-    taken, too, but for the one that the budget ends at.
+    sources form one source, which comes last; rows without an id are drawn by their texts. Of rows that tie in pick, those at the first
+    places of the table (nr, to cut_nr) are taken, as many as the budget reaches.
     """
     ranks = _rank(id_col, text_col, bins, seed)
-    slim = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *[c.alias(n) for n, c in ranks.items()]))
+    slim = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *[c.alias(n) for n, c in ranks.items()], _place().alias("nr")))
     binned = settle(slim.groupBy("source", "bin").agg(F.sum("size").alias("words")))
     targets = source_targets(binned.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -72,20 +74,47 @@ def mix_plan(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="s
     crossing = b.join(t, F.col("t.source").eqNullSafe(F.col("b.source"))).where("before <= rest and rest < before + words").select("b.source", "bin", (F.col("rest") - F.col("before")).alias("left"))
     crossing = settle(crossing)
     s, c = slim.alias("s"), crossing.alias("c")
-    edge = s.join(c, F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.bin") == F.col("c.bin"))).select("s.source", "size", "pick", "left")
+    edge = s.join(c, F.col("s.source").eqNullSafe(F.col("c.source")) & (F.col("s.bin") == F.col("c.bin"))).select("s.source", "size", "pick", "nr", "left")
     # A document at the end of the budget is taken if that brings the sum nearer to it.
-    run = Window.partitionBy("source").orderBy("pick").rowsBetween(Window.unboundedPreceding, 0)
-    inside = edge.withColumn("upto", F.sum("size").over(run)).where(F.col("upto") - F.col("size") / 2 <= F.col("left"))
-    cuts = inside.groupBy("source").agg(F.max("pick").alias("cut"))
-    plan = t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")), "left").join(cuts.alias("k"), F.col("t.source").eqNullSafe(F.col("k.source")), "left")
-    plan = plan.select("t.source", "source_size", "target", "epochs", F.col("c.bin").alias("cut_bin"), F.col("k.cut").alias("cut"))
+    tied = edge.groupBy("source", "pick").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("left").alias("left"))
+    run = Window.partitionBy("source").orderBy("pick").rowsBetween(Window.unboundedPreceding, -1)
+    tied = tied.withColumn("room", F.col("left") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(run), F.lit(0)))
+    reached = F.when(F.col("size") > 0, F.floor(F.col("room") / F.col("size") + F.lit(0.5))).when(F.col("room") >= 0, F.col("n")).otherwise(0)
+    inside = tied.withColumn("reached", F.least(reached, "n").cast("long")).where("reached > 0")
+    cuts = settle(inside.groupBy("source").agg(F.max(F.struct("pick", "reached", "n")).alias("at")).select("source", F.col("at.pick").alias("cut"), F.col("at.reached").alias("reached"), F.col("at.n").alias("n")))
+    k = cuts.alias("k")
+    plan = t.join(c, F.col("t.source").eqNullSafe(F.col("c.source")), "left").join(k, F.col("t.source").eqNullSafe(F.col("k.source")), "left")
+    last = _last_places(edge, cuts).alias("l")
+    plan = plan.join(last, F.col("t.source").eqNullSafe(F.col("l.source")), "left")
+    plan = plan.select("t.source", "source_size", "target", "epochs", F.col("c.bin").alias("cut_bin"), F.col("k.cut").alias("cut"), F.coalesce("l.cut_nr", F.lit(2**63 - 1)).alias("cut_nr"))
     return slim, settle(plan)
 
 
+def _place() -> Column:
+    """A row's place in a table as it is read: its partition in the upper bits."""
+    return F.monotonically_increasing_id()
+
+
+def _last_places(edge: DataFrame, cuts: DataFrame) -> DataFrame:
+    """source, cut_nr: where only some of the rows that tie at a source's cut are reached, the place of the last of them. Places are
+    counted by partition first, so only the tied rows of the one partition where the count ends are put in order."""
+    some = cuts.where("reached < n").alias("k")
+    e = edge.alias("e")
+    mine = e.join(some, F.col("e.source").eqNullSafe(F.col("k.source")) & (F.col("e.pick") == F.col("k.cut"))).select("e.source", "nr", F.shiftright("nr", 33).alias("part"), "reached")
+    run = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    by_part = mine.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.first("reached").alias("reached"))
+    ends = by_part.withColumn("before", F.coalesce(F.sum("n").over(run), F.lit(0))).where("before < reached and reached <= before + n").select("source", "part", (F.col("reached") - F.col("before")).alias("rest"))
+    m, x = mine.alias("m"), ends.alias("x")
+    there = m.join(x, F.col("m.source").eqNullSafe(F.col("x.source")) & (F.col("m.part") == F.col("x.part"))).select("m.source", "nr", "rest")
+    there = there.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("nr"))).where("place <= rest")
+    return there.groupBy("source").agg(F.max("nr").alias("cut_nr"))
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """A row for each row of docs: doc_id, source, size, source_size, target, epochs, times, taken.
 
-    times: how often the mix takes the document; taken: times * size. Empty texts (size 0) take part and count nothing.
+    times: how often the mix takes the document; taken: times * size. Empty texts (size 0) take part and count nothing. Repeated rows
+    are rows of their own: as many of them are taken once more as the budget reaches.
     An empty table gives no rows. Sources of only empty texts have target 0.
     """
     slim, plan = mix_plan(docs, **options)
@@ -95,22 +124,27 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def _times() -> Column:
-    more = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("pick") <= F.col("cut")))
-    return F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")
+    return F.col("epochs") + _once_more("").cast("long")
+
+
+def _once_more(prefix: str) -> Column:
+    bin_, cut, nr = (F.col(f"{prefix}{c}") for c in ("cut_bin", "cut", "cut_nr"))
+    inside = (F.col("pick") < cut) | ((F.col("pick") == cut) & (F.col("nr") <= nr))
+    return F.coalesce((F.col("bin") < bin_) | ((F.col("bin") == bin_) & inside), F.lit(False))
 
 
 def repeat_by_mix(docs: DataFrame, **options) -> DataFrame:
     """docs, each row as often as the mix takes it, with all its columns, whatever their names. With few sources the rows meet the plan where
-    they are read. Texts without words take no budget: where their key is below their source's cut they come along, once more than its epochs."""
+    they are read. Texts without words take no budget: where their key is below their source's cut they come along, once more than its epochs. Rows that tie in id, size and text are told
+    apart by their places, so docs has to be a table that reads alike each time, as files do."""
     o = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "bins": 1024, "seed": SEED} | options
     names = dict(zip(docs.columns, [f"c{i}" for i in range(len(docs.columns))], strict=True))
     rows = docs.toDF(*names.values())
     own = {k: names[o[k]] for k in ("id_col", "text_col", "source_col")}
     _, plan = mix_plan(rows, **(options | own))
-    ranked = rows.select(*rows.columns, *[c.alias(n) for n, c in _rank(own["id_col"], own["text_col"], o["bins"], o["seed"]).items()])
+    ranked = rows.select(*rows.columns, *[c.alias(n) for n, c in _rank(own["id_col"], own["text_col"], o["bins"], o["seed"]).items()], _place().alias("nr"))
     p = broadcast_if_small(plan.select(*[F.col(c).alias(f"p_{c}") for c in plan.columns]))
-    more = (F.col("bin") < F.col("p_cut_bin")) | ((F.col("bin") == F.col("p_cut_bin")) & (F.col("pick") <= F.col("p_cut")))
-    times = F.col("p_epochs") + F.coalesce(more, F.lit(False)).cast("long")
+    times = F.col("p_epochs") + _once_more("p_").cast("long")
     joined = ranked.join(p, F.col(own["source_col"]).eqNullSafe(F.col("p_source"))).withColumn("times", times.cast("int")).where("times > 0")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*rows.columns).toDF(*docs.columns)
 

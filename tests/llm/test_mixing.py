@@ -43,9 +43,33 @@ def test_repeats_and_odd_tables(spark):
     assert {d: out.count(d) for d in times if times[d]} == {d: t for d, t in times.items() if t}
     assert M.repeat_by_mix(df).columns == df.columns
     assert M.mix(df.limit(0)).count() == 0 and M.repeat_by_mix(df.limit(0)).count() == 0
-    same = spark.createDataFrame([(None, None, "a b")] * 4 + [(1, "s", "a b")] * 3, "doc_id long, source string, text string")
-    assert sorted(r.taken for r in M.mix(same).collect()) == sorted(r.taken for r in M.mix(same).collect())
-    assert M.mix(same).count() == 7
+
+
+@pytest.mark.parametrize("row", [(None, "s", "one two three four five six seven eight nine ten"), (7, "s", "a b c d e f g h i j"), (None, None, "k l m n o p q r s t")])
+def test_tied_rows_fill_the_target(spark, tmp_path, row):
+    """100 equal rows of 10 words, with or without an id: the budget ends among them."""
+    df = spark.createDataFrame([row] * 100, "doc_id long, source string, text string").repartition(7)
+    df.write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = M.mix(df).collect()
+    assert len(got) == 100 and {(r.source_size, r.target) for r in got} == {(1000, 1500.0)} and sum(r.taken for r in got) == 1500
+    assert M.repeat_by_mix(df).count() == 150
+
+
+def test_ties_among_others(spark, tmp_path):
+    """Ties at the cut and away from it, in several sources: each source's words come within one document of its target."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice("ab"), "word " * rng.randint(1, 30)) for i in range(200)]
+    rows += [(None, rng.choice("abc"), "x y z") for _ in range(300)] + rows[:40] + [(None, "a", None)] * 9 + [(None, "d", "")] * 5
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    taken, target, again = {}, {}, {}
+    for r in M.mix(df).collect():
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert set(taken) == set("abcd") and all(abs(taken[s] - target[s]) <= 15 for s in taken)
+    for r in M.repeat_by_mix(df).collect():
+        again[r.source] = again.get(r.source, 0) + len((r.text or "").split())
+    assert {s: n for s, n in again.items() if n} == {s: n for s, n in taken.items() if n}
 
 
 def test_no_bin_is_large(spark):
