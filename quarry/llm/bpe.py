@@ -222,7 +222,7 @@ def word_table(path: str, most: int = 400_000) -> WordTable:
 
 
 def shared_words(docs: DataFrame, tokenizer_path: str, *, text_col="text", most: int = 200_000) -> bytes:
-    """An Arrow table (word, ids) of words that several tasks hold, each encoded once: at most about `most` of them, those of most tasks.
+    """An Arrow table (word, ids) of words that several tasks hold, or parts of one of 8 MB of words, each encoded once: at most about `most` of them, those of most.
 
     Words of 256 bytes and more and those that end with white space aren't in it. An empty table of texts gives one without rows.
     """
@@ -234,7 +234,7 @@ def shared_words(docs: DataFrame, tokenizer_path: str, *, text_col="text", most:
                 found = split_words(texts).flatten().unique()
                 found = found.filter(pc.and_(pc.less(pc.binary_length(found), _LONG), pc.equal(pc.utf8_rtrim_whitespace(found), found)))
                 seen = pa.concat_arrays([seen, found]).unique()
-                if seen.nbytes > 32_000_000:
+                if seen.nbytes > 8_000_000:
                     yield pa.RecordBatch.from_arrays([seen], ["word"])
                     seen = pa.array([], pa.string())
         yield pa.RecordBatch.from_arrays([seen], ["word"])
