@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +35,13 @@ def requests(benchmark: DataFrame) -> DataFrame:
     jurisdiction = F.get(F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("es")), (n % 4).cast("int"))
     district = F.when(n % 6 == 5, "unknown").otherwise(F.concat(F.lit("d"), n % 5))
     return benchmark.select(n.alias("qid"), jurisdiction.alias("jurisdiction_id"), district.alias("district"), F.concat(F.lit("u"), n % 3).alias("use"), F.col("text").alias("description"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once into the shared folder (spark.checkpoint.dir), so that later rounds and lost executors read it there."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint()
