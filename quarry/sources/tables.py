@@ -37,11 +37,19 @@ def requests(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(n.alias("qid"), jurisdiction.alias("jurisdiction_id"), district.alias("district"), F.concat(F.lit("u"), n % 3).alias("use"), F.col("text").alias("description"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once into the shared folder (spark.checkpoint.dir), so that later rounds and lost executors read it there."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Only a local session that has none gets a temporary one."""
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if found:
+        return found.rstrip("/")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+    return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once into the shared folder, so that later rounds and lost executors read it there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
