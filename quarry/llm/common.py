@@ -151,6 +151,18 @@ def text_batches(batch: pa.RecordBatch, texts: pa.Array, most: int = 4_000_000)
         yield part, some.to_pylist()
 
 
+#: Bytes of rows that cross to a Python worker at once.
+BATCH_BYTES = 8_000_000
+
+
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on the session's rows cross to Python workers in batches of about `most` bytes, or one row: with texts of some KB, 10,000 rows at once
+    are several times that, in the JVM's buffers and in the worker's. A smaller bound that the session has is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def keep_rows(docs: DataFrame, text_col: str, decide: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """The rows of docs whose text decide() accepts, with all their columns, whatever their names."""
     at = docs.columns.index(text_col)
