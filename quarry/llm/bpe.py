@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import json
 import os
 import re
 import uuid
@@ -56,8 +55,7 @@ class WordTable:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            added = {x["id"]: x["content"] for x in json.load(f)["added_tokens"]}
+        added = {i: token.content for i, token in self.library.get_added_tokens_decoder().items()}
         chars = _byte_of_char()
         self.whole = (*_ODD, *added.values())
         pieces: list[bytes] = [b""] * self.library.get_vocab_size(with_added_tokens=True)
@@ -216,9 +214,18 @@ def split_words(texts: pa.Array) -> pa.Array:
 
 
 @functools.lru_cache(maxsize=1)
+def _table_of(path: str) -> WordTable:
+    return WordTable(path)
+
+
 def word_table(path: str, most: int = 400_000) -> WordTable:
-    """One for each worker process; later tasks find earlier words."""
-    return WordTable(path, most)
+    """One for each worker process, whatever its bound: later tasks find earlier words, and no second tokenizer is built beside the first."""
+    table = _table_of(path)
+    table.most = most
+    return table
+
+
+word_table.cache_clear = _table_of.cache_clear
 
 
 def shared_words(docs: DataFrame, tokenizer_path: str, *, text_col="text", most: int = 200_000) -> bytes:
