@@ -42,7 +42,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     import public_tokenizers
 
-    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), kept_words=200_000)
 
 
 STAGES = [("language_id", by_language), ("quality", by_quality), ("ngram_join", without_copies), ("mixing", mixed), ("bpe", encoded)]

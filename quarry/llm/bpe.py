@@ -32,7 +32,7 @@ _ODD = ("\0", "\x1c", "\x1d", "\x1e", "\x1f")
 _JOINED = 400  # words encoded in one string
 _LONG = 256  # words as long are encoded alone and soon forgotten
 _LEADS = (" ", "\n")
-_PART = 3_000_000  # bytes of text at a time, or one text
+_PART = 1_000_000  # bytes of text at a time, or one text
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -290,7 +290,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, *, id_col="doc_id",
     """A row for each row of docs: doc_id, ids array<int>, decoded. Null texts count as empty: no ids, decoded ''.
 
     kept_words bounds a worker's table, half of it the shared table. Repeated rows and ids are encoded row by row; other columns are ignored. An
-    empty table gives no rows. Texts of any length are encoded whole: memory is a small multiple of 3 MB of text or of the longest text.
+    empty table gives no rows. Texts of any length are encoded whole: memory is a small multiple of 1 MB of text or of the longest text.
     """
     table = _words_of(docs, tokenizer_path, text_col, kept_words)
 
