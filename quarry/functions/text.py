@@ -147,3 +147,8 @@ def question_key(question: Column) -> Column:
         (any_of("noise") | both("surrounding", "residential"), "noise and neighborhood impact"), (any_of("parking"), "parking"), (both("lot", "size"), "lot size"),
     )
     return F.coalesce(key, plain)
+
+
+def filter_csv(values: Column) -> Column:
+    """A list as `,a,b,`, so that each value can be looked for between commas; an empty text for an empty or null list."""
+    return F.when(F.size(F.coalesce(values, F.array().cast("array<string>"))) > 0, F.concat(F.lit(","), F.array_join(values, ","), F.lit(","))).otherwise("")

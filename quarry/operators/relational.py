@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,54 @@ def stale(expected: DataFrame, held: DataFrame) -> DataFrame:
     return joined.select("source", state.alias("state")).where("state is not null")
 
 
+def classify(rows: DataFrame, rules: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """(key, districts, uses) of the first rule all of whose stated conditions hold; ['unknown'] and ['general'] where none does, or it names none.
+
+    rows: key, title, breadcrumb (the second part is the article, the third the division). rules: pos, article_contains, division_contains,
+    title_contains, contains (in any of the three), districts, uses. Case counts for nothing; a rule that states nothing never matches; null
+    texts are empty. More than `most` rules are an error, as they stand beside every row.
+    """
+    if rules.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rules")
+    asked = ("article_contains", "division_contains", "title_contains", "contains")
+    said = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    named = lambda c: F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    stated = rules.select("pos", *[said(c).alias(c) for c in asked], named("districts").alias("d"), named("uses").alias("u")).where(F.concat(*asked) != "")
+    listed = stated.agg(F.array_sort(F.collect_list(F.struct("pos", *asked, "d", "u"))).alias("__rules"))
+    part = lambda i: F.lower(F.coalesce(F.get("breadcrumb", F.lit(i)), F.lit("")))
+    text = rows.select(key, part(1).alias("__a"), part(2).alias("__d"), said("title").alias("__t")).withColumn("__all", F.concat_ws(" ", "__a", "__d", "__t"))
+    met = text.join(F.broadcast(listed))  # one row of `most` rules at most
+    hit = F.get(F.filter("__rules", lambda r: F.col("__a").contains(r[asked[0]]) & F.col("__d").contains(r[asked[1]]) & F.col("__t").contains(r[asked[2]]) & F.col("__all").contains(r[asked[3]])), F.lit(0))
+    or_else = lambda c, other: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(other)))
+    return met.withColumn("__hit", hit).select(key, or_else(F.col("__hit.d"), "unknown").alias("districts"), or_else(F.col("__hit.u"), "general").alias("uses"))
+
+
+def request_counts(requests: DataFrame, key: str, id_col: str, name_col: str) -> DataFrame:
+    """(key, n): for each request the number of requests of its place: by id where it has one, else by name, else all of them."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    own = requests.select(key, blank(id_col).alias("__i"), blank(name_col).alias("__m"))
+    by_id = own.groupBy(F.col("__i").alias("__gi")).agg(F.count(F.lit(1)).alias("__ni"))
+    by_name = own.groupBy(F.col("__m").alias("__gm")).agg(F.count(F.lit(1)).alias("__nm"))
+    every = own.agg(F.count(F.lit(1)).alias("__n"))
+    met = own.join(by_id, F.col("__i") == F.col("__gi"), "left").join(by_name, F.col("__m") == F.col("__gm"), "left").join(F.broadcast(every))  # one row
+    return met.select(key, F.when(F.col("__i").isNotNull(), F.col("__ni")).when(F.col("__m").isNotNull(), F.col("__nm")).otherwise(F.col("__n")).alias("n"))
+
+
+def index_status(sources: DataFrame, chunks: DataFrame, audit: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: source_count, chunk_count, has_index, last_import_at, last_reindex_at, missing_metadata, vector_count, index_ready.
+
+    sources: source, hash and metadata columns; chunks: source, hash; audit: kind, at; vectors: any. Texts are not read. missing_metadata: how
+    many sources lack some of their columns beside these. index_ready: there are chunks and no source's are stale or missing.
+    """
+    fields = [c for c in sources.columns if c not in ("source", "hash")]
+    gap = functools.reduce(lambda a, b: a | b, [F.coalesce(F.col(c).cast("string"), F.lit("")) == "" for c in fields], F.lit(False))
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("at")))
+    one = sources.agg(F.count(F.lit(1)).alias("source_count"), F.count_if(gap).alias("missing_metadata"))
+    one = one.join(chunks.agg(F.count(F.lit(1)).alias("chunk_count"))).join(audit.agg(at("source.import.completed").alias("last_import_at"), at("source.reindex.completed").alias("last_reindex_at")))
+    one = one.join(vectors.agg(F.count(F.lit(1)).alias("vector_count"))).join(stale(sources.select("source", "hash"), chunks).agg(F.count(F.lit(1)).alias("wrong")))
+    return one.select("source_count", "chunk_count", (F.col("chunk_count") > 0).alias("has_index"), "last_import_at", "last_reindex_at", "missing_metadata", "vector_count", ((F.col("chunk_count") > 0) & (F.col("wrong") == 0)).alias("index_ready"))
+
+
 def first_match(rows: DataFrame, rules: DataFrame, key: str, default: str) -> DataFrame:
     """(key, tag) of the first rule all of whose stated conditions hold; a rule without conditions never matches.
 

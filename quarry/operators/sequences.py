@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def daily_quota(events: DataFrame, limit: int) -> DataFrame:
@@ -68,10 +69,48 @@ def carry(rows: DataFrame, value: str, key: str, *order: str) -> DataFrame:
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+_SUFFIX = r"^(.*?)((?:-[1-9][0-9]*)*)$"
+
+
 def unique_names(rows: DataFrame, name: str, *order: str) -> DataFrame:
-    """rows with unique: the name, with -2, -3, ... for its later occurrences."""
+    """rows with unique: the name, or with the first of -2, -3, ... that makes it one no earlier row has, be it made or its own.
+
+    Only names that are equal but for numbers at their end can meet. Where such a family has one name, its rows are numbered; the others are
+    taken in order, in one pass that holds a counter and a mark for each name of a family. A null name stays null.
+    """
+    family = F.when(F.col(name).isNotNull(), F.regexp_extract(F.col(name), _SUFFIX, 1))
+    mixed = rows.select(family.alias("__f"), F.col(name).alias("__n")).groupBy("__f").agg(F.min("__n").alias("__a"), F.max("__n").alias("__b")).where("__a <> __b").select("__f")
+    marked = rows.withColumn("__f", family)
     n = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    return rows.withColumn("unique", F.when(n == 1, F.col(name)).otherwise(F.concat_ws("-", F.col(name), n.cast("string"))))
+    alone = marked.join(mixed, "__f", "left_anti").withColumn("unique", F.when(F.col(name).isNull() | (n == 1), F.col(name)).otherwise(F.concat_ws("-", F.col(name), n.cast("string")))).drop("__f")
+    met = marked.join(mixed, "__f", "left_semi").select("__f", *rows.columns)
+    at, names = met.columns.index(name), [*rows.columns, "unique"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, last = None, set(), {}
+
+        def taken(x: str) -> bool:
+            base, _, k = x.rpartition("-")
+            return x in own or (k.isdigit() and k[:1] != "0" and 2 <= int(k) <= last.get(base, 1))
+
+        for batch in batches:
+            out = []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if key != now:
+                    now, own, last = key, set(), {}
+                if not taken(x):
+                    own.add(x)
+                    out.append(x)
+                    continue
+                k = last.get(x, 1) + 1
+                while taken(f"{x}-{k}"):
+                    k += 1
+                last[x] = k
+                out.append(f"{x}-{k}")
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string())], names)
+
+    kind = StructType([*rows.schema.fields, StructField("unique", StringType())])
+    return alone.select(*rows.columns, "unique").unionAll(met.repartition("__f").sortWithinPartitions("__f", *order).mapInArrow(run, kind))
 
 
 def slices(marks: DataFrame) -> DataFrame:
