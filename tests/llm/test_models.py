@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -136,17 +137,32 @@ def test_licenses(spark, licences):
     assert C.scan(spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string"), *C.train(empty)).first().license == "MIT"
 
 
-#: Notices in words of their own: none of them is a training frame.
+#: Notices that are training rows or names as they stand: no measure of anything but that they are found.
+TRAINED = [("GPL", "GPLv2+"), ("MIT", "Dieses Werk steht unter einer MIT-Lizenz."), ("GPL", "Este trabajo usa la licencia GPL"), ("MIT", "SPDX-License-Identifier: MIT"), ("BSD", "SPDX-License-Identifier: BSD-3-Clause"), ("Zlib", "zlib license")]
+#: Notices in words of their own: test_notices_are_not_trained holds them against the training rows.
 NOTICES = [
-    ("GPL", "GPLv2+"), ("GPL", "Distributed under GPL-3.0"), ("MIT", "Dieses Werk steht unter einer MIT-Lizenz."), ("GPL", "Este trabajo usa la licencia GPL"), ("MIT", "SPDX-License-Identifier: MIT"), ("BSD", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("GPL", "Distributed under GPL-3.0"), ("GPL", "GPL version 3 or any later version applies to this program"), ("MIT", "Ce dépôt est publié sous MIT"), ("GPL", "Diese Bibliothek ist GPL-lizenziert"), ("MIT", "Copyright 2019, MIT licensed"), ("BSD", "Uses the 3-clause BSD licence"),
+    ("Zlib", "Covered by the zlib/libpng licence"), ("Apache", "Use of this source code is governed by the Apache 2 terms."), ("EPL", "Made available under the Eclipse Public License"),
     ("MIT", "This project is licensed under the terms of the MIT license."), ("MIT", "Project code may be reused under an MIT-style licence"), ("MIT", "Der Quelltext ist unter der MIT-Lizenz verfügbar."), ("Apache", "Everything in this repository is Apache-2.0 licensed"), ("Apache", "Le code est couvert par la licence Apache 2.0"), ("Apache", "All files are covered by the Apache License, Version 2.0"),
     ("GPL", "You can use it under the GNU General Public License, either version 2 or later."), ("GPL", "El programa se publica con la GNU General Public License"), ("LGPL", "The library is covered by the GNU Lesser General Public License"), ("LGPL", "Bibliothek unter LGPL-2.1"), ("AGPL", "The server is free software under the GNU Affero General Public License"), ("AGPL", "AGPL-3.0 applies"),
-    ("BSD", "Use is governed by a BSD 3-Clause License that can be found in the LICENSE file."), ("BSD", "This is BSD licensed code"), ("MPL", "Subject to the Mozilla Public License"), ("MPL", "Files here are under MPL-2.0"), ("ISC", "Offered under the ISC license"), ("Zlib", "zlib license"), ("BSL", "Boost Software License applies"), ("EUPL", "Veröffentlicht gemäß EUPL-1.2"),
+    ("BSD", "Use is governed by a BSD 3-Clause License that can be found in the LICENSE file."), ("BSD", "This is BSD licensed code"), ("MPL", "Subject to the Mozilla Public License"), ("MPL", "Files here are under MPL-2.0"), ("ISC", "Offered under the ISC license"), ("BSL", "Boost Software License applies"), ("EUPL", "Veröffentlicht gemäß EUPL-1.2"),
     ("CC-BY", "Texte disponible sous licence CC BY 4.0"), ("CC-BY-SA", "available under CC BY-SA 3.0 unported"), ("CC-BY-NC", "Fotos: CC BY-NC 4.0"), ("CC-BY-ND", "Images are CC BY-ND 4.0"), ("CC0", "dedicated under CC0 1.0 Universal"), ("reserved", "© 2020 ACME. All rights reserved."), ("reserved", "ACME GmbH 2019. Alle Rechte vorbehalten."), ("public-domain", "This file is in the public domain."),
 ]
 PLAIN = ["Er kam mit dem Auto.", "MIT researchers were denied permission to enter.", "The isc meeting discussed licence fees.", "The licensed apache helicopter pilot slept.", "The public domain of the town is large.", "Cafe tables and chairs", "A boost for the union", "Die Lizenz zum Fischen ist teuer.", "Il marche sous la pluie", "Bajo el puente", "She has the right to reply.", "An eclipse of the moon"]
 
 
+def test_notices_are_not_trained():
+    plain = lambda t: re.sub(r"[^a-z0-9+]+", " ", t.lower().replace("licence", "license")).strip()
+    trained = {plain(t) for _, t in C.templates()} | {plain(n) for names in C.NAMES.values() for n in names}
+    assert [t for _, t in NOTICES if plain(t) in trained] == []
+    assert all(plain(t) in trained for _, t in TRAINED)
+
+
+def test_trained_notices(spark, licences):
+    got = scanned(spark, licences, [t for _, t in TRAINED], contained=C.bound(spark))
+    assert [got[i].license for i in range(len(TRAINED))] == [k for k, _ in TRAINED]
+
+
 def test_notices_in_other_words(spark, licences):
     got = scanned(spark, licences, [t for _, t in NOTICES] + PLAIN, contained=C.bound(spark))
     right = sum(got[i].license == k for i, (k, _) in enumerate(NOTICES))
