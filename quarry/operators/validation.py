@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import ladder
+from quarry.functions.text import collapse, ladder, question_key
 
 
 # Hosts that stand for none.
@@ -71,3 +71,15 @@ def reserve_hits(top: DataFrame, hits: DataFrame, reserve: int = 2) -> DataFrame
     more = hits.join(top.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").join(last, "qid")
     more = more.withColumn("__i", F.row_number().over(Window.partitionBy("qid").orderBy("place"))).where(F.col("__i") <= reserve)
     return top.select("qid", "slot", "chunk_id").unionByName(more.select("qid", (F.col("__last") + F.col("__i")).alias("slot"), "chunk_id"))
+
+
+def asked_once(rows: DataFrame, by: str, order: str, question: str) -> DataFrame:
+    """(by, place, question): of the questions of a group that ask the same, the first that is more than 'please provide ...', or else the first;
+    place is the order of the first of them. Blank and null questions go.
+
+    Counted up before anything moves: of a group with very many rows only one row for each thing asked leaves a task.
+    """
+    q = rows.select(by, F.col(order).alias("__at"), collapse(F.col(question)).alias("__q")).where("__q <> ''")
+    generic = F.startswith(F.lower("__q"), F.lit("please provide "))
+    one = q.groupBy(by, question_key(F.col("__q")).alias("__key")).agg(F.min("__at").alias("place"), F.min(F.struct(generic.alias("generic"), "__at", "__q")).alias("best"))
+    return one.select(by, "place", F.col("best.__q").alias("question"))

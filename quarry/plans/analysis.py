@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import analysis as A
+from quarry.operators.validation import asked_once
 from quarry.sources.tables import table
 
 
@@ -19,7 +20,7 @@ def c16_analysis(spark, d):
     text, none = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     cases = u.select(
         "id", F.col("t").alias("description"), text.alias("category"), text.alias("intent"), text.alias("use"), "missing", F.transform("missing", lambda m: F.concat(F.lit("Please provide "), m)).alias("questions"), X.triggers(F.col("t")).alias("triggers"), none.alias("notes"),
-        F.when(F.contains("t", F.lit("?")), "unknown").otherwise("R-1").alias("district"), F.lit("parcel").alias("district_method"), F.lit(0.9).alias("district_confidence"), F.col("j").alias("jurisdiction_id"), F.col("j").alias("jurisdiction_name"), F.lit("en").alias("parent_id"), text.alias("state"),
+        F.when(F.endswith("t", F.lit(".")), "R-1").otherwise("unknown").alias("district"), F.lit("parcel").alias("district_method"), F.lit(0.9).alias("district_confidence"), F.col("j").alias("jurisdiction_id"), F.col("j").alias("jurisdiction_name"), F.lit("en").alias("parent_id"), text.alias("state"),
         (F.coalesce("toxic", F.lit(0)) == 0).alias("supported"), F.lit(True).alias("index_ready"), none.alias("index_warnings"), F.when(F.length("t") % 2 == 1, F.to_json(told)).alias("reply"), text.alias("reply_error"),
     )
     other = t.select("conv_id", F.col("turn").alias("place"), F.col("t").alias("said"), F.concat(F.lit("doc-"), F.length("t")).alias("source_id"))
@@ -33,7 +34,15 @@ def c16_analysis(spark, d):
     )
 
 
-QUERIES = {"c16_analysis": c16_analysis}
+def w13_follow_ups(spark, d):
+    """Each user's events as questions, in the words of their kind; what asks the same stands once."""
+    kind = F.col("event_type")
+    said = F.when(kind == "signup", "Please  provide operating hours").when(kind == "purchase", F.concat(F.lit(" When are the HOURS on "), F.to_date("ts").cast("string"), F.lit("?"))).when(kind == "view", "Please provide parking")
+    said = said.when(kind == "click", F.concat(F.lit("Enough parking for event "), "event_id", F.lit("?"))).otherwise(F.concat(F.lit("What about\n"), kind))
+    return asked_once(table(spark, d, "events").select("user_id", "event_id", said.alias("said")), "user_id", "event_id", "said")
+
+
+QUERIES = {f.__name__: f for f in (c16_analysis, w13_follow_ups)}
 
 
 def _sql(text: str) -> str:
@@ -41,10 +50,15 @@ def _sql(text: str) -> str:
 
 
 ORACLE = {
+    "w13_follow_ups": """
+with q as (select user_id, event_id, event_type in ('signup', 'view') as generic, case event_type when 'signup' then 'Please provide operating hours' when 'purchase' then 'When are the HOURS on ' || ts::date || '?' when 'view' then 'Please provide parking' when 'click' then 'Enough parking for event ' || event_id || '?'
+  else 'What about ' || event_type end as q, case event_type when 'signup' then 'h' when 'purchase' then 'h' when 'view' then 'p' when 'click' then 'p' else event_type end as k from events)
+select user_id, min(event_id) as place, coalesce(arg_min(q, event_id) filter (not generic), arg_min(q, event_id)) as question from q group by user_id, k
+""",
     "c16_analysis": f"""
 with t as (select conv_id, turn, role, coalesce(text, '') as t, conv_id || '-' || turn as id from conversations),
 docs as (select doc_id, lang, toxic from documents left join labels using (doc_id)),
-u as (select t.*, lower(t) as lo, coalesce(lang, 'en') as j, coalesce(toxic, 0) <> 0 as off, case when contains(t, '?') then 'unknown' else 'R-1' end as district, length(t) % 2 = 1 as replied from t left join docs on conv_id = doc_id where role = 'user'),
+u as (select t.*, lower(t) as lo, coalesce(lang, 'en') as j, coalesce(toxic, 0) <> 0 as off, case when t like '%.' then 'R-1' else 'unknown' end as district, length(t) % 2 = 1 as replied from t left join docs on conv_id = doc_id where role = 'user'),
 v as (select u.*, list_filter([case when len(regexp_extract_all(t, '\\S+')) < 8 then 'project scope and intended use' end, case when not contains(lo, 'hours') then 'operating hours' end, case when not contains(lo, 'employees') then 'number of employees' end,
   case when not contains(lo, 'renovation') and not contains(lo, 'construction') then 'construction scope' end], lambda x: x is not null) as missing from u),
 c as (select v.id, o.turn as place, 'c' || o.turn as chunk, 'doc-' || length(o.t) as source, doc_id is null as absent, coalesce(lang not in (v.j, 'en'), true) as elsewhere, not o.t like '%.' as undated from v join t o on v.conv_id = o.conv_id and v.turn <> o.turn left join docs on doc_id = length(o.t)),

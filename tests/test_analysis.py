@@ -5,6 +5,7 @@ import json
 import pytest
 
 from quarry.operators import analysis as A
+from quarry.operators.validation import asked_once
 
 CASE = "id string, description string, category string, intent string, use string, missing array<string>, questions array<string>, triggers array<string>, notes array<string>, district string, district_method string, district_confidence double, jurisdiction_id string, jurisdiction_name string, parent_id string, state string, supported boolean, index_ready boolean, index_warnings array<string>, reply string, reply_error string"
 CITED = "id string, place int, chunk_id string, source_id string, title string, section_ref string, jurisdiction_id string, effective_date string"
@@ -98,3 +99,10 @@ def test_empty_tables(spark):
 def test_follow_ups(spark):
     asked = [" Please  provide parking", "How much parking?", "Is there more parking?", "", "Please provide hours", "Lot size?", "What is the lot size"]
     assert spark.createDataFrame([(asked,)], "q array<string>").select(A.follow_ups(A.F.col("q"))).first()[0] == ["How much parking?", "Please provide hours", "Lot size?"]
+
+
+def test_asked_once(spark):
+    rows = [("a", 1, "Please provide parking"), ("a", 2, "How much  parking?"), ("a", 3, "More parking?"), ("a", 4, " "), ("a", 5, None), ("a", 6, "Lot size?"), ("a", 7, "lot-size"), ("b", 1, "Please provide parking"), ("b", 1, "Please provide parking")]
+    got = asked_once(spark.createDataFrame(rows, "g string, at int, q string"), "g", "at", "q")
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "How much parking?"), ("a", 6, "Lot size?"), ("b", 1, "Please provide parking")]
+    assert asked_once(spark.createDataFrame([], "g string, at int, q string"), "g", "at", "q").count() == 0
