@@ -12,15 +12,15 @@ from quarry.sources.tables import table
 
 def c16_analysis(spark, d):
     """Every user's turn analysed. A citation names the document whose number is its text's length, if there is one; a turn of even length has
-    no reply; a conversation whose document is toxic lies in a jurisdiction that is not supported."""
+    no reply, one without a comma no district, and from the third turn on no details are missing; a conversation whose document is toxic lies in a jurisdiction that is not supported."""
     docs = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
     t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("t")).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    u = t.where("role = 'user'").join(docs, F.col("conv_id") == F.col("doc_id"), "left").withColumn("j", F.coalesce("lang", F.lit("en"))).withColumn("missing", X.missing_fields(F.col("t")))
+    u = t.where("role = 'user'").join(docs, F.col("conv_id") == F.col("doc_id"), "left").withColumn("j", F.coalesce("lang", F.lit("en"))).withColumn("missing", F.when(F.col("turn") < 2, X.missing_fields(F.col("t"))).otherwise(F.array().cast("array<string>")))
     told = F.struct(F.lit("restricted").alias("decision"), F.col("t").alias("summary"), F.lit(0.8).alias("confidence"), F.array(F.lit("c1"), F.lit("zz")).alias("citation_chunk_ids"), F.array(F.lit("What are the hours?")).alias("follow_up_questions"))
     text, none = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     cases = u.select(
         "id", F.col("t").alias("description"), text.alias("category"), text.alias("intent"), text.alias("use"), "missing", F.transform("missing", lambda m: F.concat(F.lit("Please provide "), m)).alias("questions"), X.triggers(F.col("t")).alias("triggers"), none.alias("notes"),
-        F.when(F.endswith("t", F.lit(".")), "R-1").otherwise("unknown").alias("district"), F.lit("parcel").alias("district_method"), F.lit(0.9).alias("district_confidence"), F.col("j").alias("jurisdiction_id"), F.col("j").alias("jurisdiction_name"), F.lit("en").alias("parent_id"), text.alias("state"),
+        F.when(F.contains("t", F.lit(",")), "R-1").otherwise("unknown").alias("district"), F.lit("parcel").alias("district_method"), F.lit(0.9).alias("district_confidence"), F.col("j").alias("jurisdiction_id"), F.col("j").alias("jurisdiction_name"), F.lit("en").alias("parent_id"), text.alias("state"),
         (F.coalesce("toxic", F.lit(0)) == 0).alias("supported"), F.lit(True).alias("index_ready"), none.alias("index_warnings"), F.when(F.length("t") % 2 == 1, F.to_json(told)).alias("reply"), text.alias("reply_error"),
     )
     other = t.select("conv_id", F.col("turn").alias("place"), F.col("t").alias("said"), F.concat(F.lit("doc-"), F.length("t")).alias("source_id"))
@@ -58,9 +58,9 @@ select user_id, min(event_id) as place, coalesce(arg_min(q, event_id) filter (no
     "c16_analysis": f"""
 with t as (select conv_id, turn, role, coalesce(text, '') as t, conv_id || '-' || turn as id from conversations),
 docs as (select doc_id, lang, toxic from documents left join labels using (doc_id)),
-u as (select t.*, lower(t) as lo, coalesce(lang, 'en') as j, coalesce(toxic, 0) <> 0 as off, case when t like '%.' then 'R-1' else 'unknown' end as district, length(t) % 2 = 1 as replied from t left join docs on conv_id = doc_id where role = 'user'),
-v as (select u.*, list_filter([case when len(regexp_extract_all(t, '\\S+')) < 8 then 'project scope and intended use' end, case when not contains(lo, 'hours') then 'operating hours' end, case when not contains(lo, 'employees') then 'number of employees' end,
-  case when not contains(lo, 'renovation') and not contains(lo, 'construction') then 'construction scope' end], lambda x: x is not null) as missing from u),
+u as (select t.*, lower(t) as lo, coalesce(lang, 'en') as j, coalesce(toxic, 0) <> 0 as off, case when contains(t, ',') then 'R-1' else 'unknown' end as district, length(t) % 2 = 1 as replied from t left join docs on conv_id = doc_id where role = 'user'),
+v as (select u.*, case when turn >= 2 then [] else list_filter([case when len(regexp_extract_all(t, '\\S+')) < 8 then 'project scope and intended use' end, case when not contains(lo, 'hours') then 'operating hours' end, case when not contains(lo, 'employees') then 'number of employees' end,
+  case when not contains(lo, 'renovation') and not contains(lo, 'construction') then 'construction scope' end], lambda x: x is not null) end as missing from u),
 c as (select v.id, o.turn as place, 'c' || o.turn as chunk, 'doc-' || length(o.t) as source, doc_id is null as absent, coalesce(lang not in (v.j, 'en'), true) as elsewhere, not o.t like '%.' as undated from v join t o on v.conv_id = o.conv_id and v.turn <> o.turn left join docs on doc_id = length(o.t)),
 firsts as (select id, source, min(place) as place, bool_or(absent)::int + bool_or(elsewhere)::int as n from c where absent or elsewhere group by all),
 bad as (select id, string_agg(source, '|' order by place) as invalid, sum(n)::bigint as n from firsts group by 1),
