@@ -23,6 +23,8 @@ UNITS = r"[0-9][0-9,]*\s*\)?[.,]?\s*(?:square\s+feet|square\s+foot|sq\.?\s*ft|ac
 PERMIT_QUERY = "permitted uses additional use regulations site plan planning commission FMPC approval permit requirements"
 DISTRICT_QUERY = "zoning district definitions and designations: names, codes, and purpose of each residential, commercial, mixed-use, and industrial zoning district in the jurisdiction"
 MARKED = (("principal_uses", 2), ("use_standards", 1))
+#: Rows of a side that is broadcast, and tokens of all requests that are looked up as one set.
+SMALL, MOST_TOKENS = 10_000, 20_000
 
 
 def is_dimensional(query: Column) -> Column:
@@ -66,18 +68,39 @@ def _keyword_score() -> Column:
 def _measure() -> tuple[Column, Column]:
     """(whether a chunk holds a measure that the request may want, whether it names the metric asked for)."""
     found = F.coalesce(F.col("wants") & F.col("has_measure"), F.lit(False))
-    named = F.when(found, (F.size("phrases") == 0) | F.exists("phrases", lambda p: F.lower("text").contains(p))).otherwise(False)
-    return found, named
+    return found, F.when(found, (F.size("phrases") == 0) | F.arrays_overlap("phrases", "c_phrases")).otherwise(False)
 
 
-def _read_once(chunks: DataFrame, *more: Column) -> DataFrame:
-    """What a chunk's text gives for all requests alike, before it meets them."""
-    return chunks.select("chunk_id", "jurisdiction_id", "section_ref", "districts", "uses", "text", X.tokens(F.col("text")).alias("c_tokens"), has_measure(F.col("text")).alias("has_measure"), *more)
+def _read_once(chunks: DataFrame, requests: DataFrame, *more: Column) -> DataFrame:
+    """What a chunk's text gives for all requests (as asked gives them) alike, before it meets them; the text itself stays behind.
+
+    Of its tokens those stay that some request has, if these are at most MOST_TOKENS; else all stay, which gives the same scores. The metrics
+    that requests name are words of METRICS and RATIO with single spaces between, some dozens however many requests there are.
+    """
+    wanted = [r[0] for r in requests.select(F.explode("q_tokens")).distinct().limit(MOST_TOKENS + 1).collect()]
+    phrases = sorted(r[0] for r in requests.select(F.explode("phrases")).distinct().collect())
+    text = F.col("text")
+    named = X.labels(*[(F.contains(F.lower(text), F.lit(p)), p) for p in phrases]) if phrases else F.array().cast("array<string>")
+    c = chunks.select("chunk_id", "jurisdiction_id", "section_ref", "districts", "uses", X.tokens(text).alias("c_tokens"), has_measure(text).alias("has_measure"), named.alias("c_phrases"), *more)
+    if len(wanted) > MOST_TOKENS:
+        return c
+    # Tokens are a-z and 0-9 alone, never empty; a list of literals becomes one hash set.
+    own = ", ".join(map(repr, sorted(wanted))) or "''"
+    return c.withColumn("c_tokens", F.expr(f"filter(c_tokens, t -> t in ({own}))"))
+
+
+def _meet(chunks: DataFrame, requests: DataFrame, parts: int = 64) -> DataFrame:
+    """Chunks beside the requests of their jurisdiction. Few requests go to the chunks; many meet them in `parts` parts of a jurisdiction, as one
+    jurisdiction may have most chunks."""
+    if requests.limit(SMALL + 1).count() <= SMALL:
+        return chunks.join(F.broadcast(requests), "jurisdiction_id")
+    dealt = chunks.withColumn("__part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
+    return dealt.join(requests.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["jurisdiction_id", "__part"]).drop("__part")
 
 
 def candidates(requests: DataFrame, chunks: DataFrame, *, strict: bool = True, cosine: bool = False) -> DataFrame:
-    """Pairs of request and chunk that pass the filters, with their score: qid, chunk_id, section_ref, uses, score, measure, named. Requests are
-    the small side; chunks never move for them, and their texts stay behind.
+    """Pairs of request and chunk that pass the filters, with their score: qid, chunk_id, section_ref, uses, score, measure, named. Up to
+    SMALL requests, chunks never move for them; beyond, they move without their texts.
 
     requests: qid, jurisdiction_id, district, use, description. chunks: chunk_id, jurisdiction_id, section_ref, districts, uses, text.
     A chunk of another jurisdiction than the request's or '*' doesn't take part: its score would be 0. cosine adds the inner product of the
@@ -85,15 +108,15 @@ def candidates(requests: DataFrame, chunks: DataFrame, *, strict: bool = True, c
     """
     q = asked(requests)
     q = q.withColumn("q_vector", N.hash_embedding(F.col("query"))) if cosine else q
+    c = _read_once(chunks, q, *([N.hash_embedding(F.col("text")).alias("c_vector")] if cosine else []))
     q = q.withColumn("jurisdiction_id", F.explode(F.array("jurisdiction_id", F.lit("*"))))
-    c = _read_once(chunks, *([N.hash_embedding(F.col("text")).alias("c_vector")] if cosine else []))
-    met = c.join(small(q), "jurisdiction_id").where(tag_filter(F.col("district"), F.col("use"), F.col("districts"), F.col("uses"), strict=strict))
+    met = _meet(c, q).where(tag_filter(F.col("district"), F.col("use"), F.col("districts"), F.col("uses"), strict=strict))
     score = _keyword_score() + N.dot(F.col("q_vector"), F.col("c_vector")) if cosine else _keyword_score()
     found, named = _measure()
     return met.select("qid", "chunk_id", "section_ref", "uses", score.alias("score"), found.alias("measure"), named.alias("named"))
 
 
-def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """A broadcast side if it has few rows; else Spark picks the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
@@ -178,9 +201,10 @@ def vector_hits(requests: DataFrame, chunks: DataFrame, limits: tuple[int, int,
     join, each cut to its first ones before any row moves.
     """
     q = asked(requests).withColumn("q_vectors", F.array(*[N.hash_embedding(x) for x in (F.col("query"), F.lit(PERMIT_QUERY), F.lit(DISTRICT_QUERY))]))
+    c = _read_once(chunks, q, N.hash_embedding(F.col("text")).alias("c_vector"))
     q = q.withColumn("jurisdiction_id", F.explode(F.array("jurisdiction_id", F.lit("*"))))
     tags = [F.col(x) for x in ("district", "use", "districts", "uses")]
-    met = _read_once(chunks, N.hash_embedding(F.col("text")).alias("c_vector")).join(small(q), "jurisdiction_id").where(vector_filter(*tags))
+    met = _meet(c, q).where(vector_filter(*tags))
     found, named = _measure()
     met = met.select("qid", "chunk_id", "section_ref", "uses", _keyword_score().alias("keywords"), found.alias("measure"), named.alias("named"), hit_filter(*tags).alias("fits"), F.transform("q_vectors", lambda v: N.dot(v, F.col("c_vector"))).alias("near"))
     lists = met.select(*[c for c in met.columns if c != "near"], F.posexplode("near").alias("kind", "score"))

@@ -187,6 +187,28 @@ def test_hybrid_retrieve_equals_plain_picks(spark):
         assert got[qid] == [(k, round(s, 9)) for k, s in plain_pick(met, hits, retrieval.MARKED, 2)]
 
 
+@pytest.mark.parametrize("bounds", [{"SMALL": 1}, {"MOST_TOKENS": 3}, {"SMALL": 1, "MOST_TOKENS": 3}])
+def test_candidates_beyond_their_bounds(spark, monkeypatch, bounds):
+    """More requests than are broadcast, and more tokens than are looked up as one set, give the same pairs and scores."""
+    from quarry.plans.retrieval import _given
+
+    q, c = _given(spark, "/root/testdata/sf0.001")
+    q = q.withColumn("description", F.concat("description", F.lit(" Minimum LOT  AREA, or F.A.R.?")))
+    c = c.withColumn("text", F.concat("text", F.when(F.substring("chunk_id", -1, 1) < "5", " lot area 12 acres").otherwise(" 35 feet")))
+    want = sorted(map(tuple, retrieval.candidates(q, c).select("qid", "chunk_id", "score", "measure", "named").collect()))
+    assert {(m, n) for *_, m, n in want} == {(True, True), (True, False)}
+    for name, value in bounds.items():
+        monkeypatch.setattr(retrieval, name, value)
+    assert sorted(map(tuple, retrieval.candidates(q, c).select("qid", "chunk_id", "score", "measure", "named").collect())) == want
+
+
+def test_no_tokens_and_null_texts(spark):
+    """Requests without a token, and chunks without text: no error; a chunk without text has no score."""
+    q = spark.createDataFrame([(1, "en", "unknown", "", "?")], "qid int, jurisdiction_id string, district string, use string, description string").withColumn("district", F.lit("§"))
+    c = spark.createDataFrame([("a", "en", "", ["*"], ["general"], None), ("b", "*", "", ["*"], ["general"], "some text")], "chunk_id string, jurisdiction_id string, section_ref string, districts array<string>, uses array<string>, text string")
+    assert sorted(map(tuple, retrieval.candidates(q, c).select("chunk_id", "score", "measure").collect())) == [("a", None, False), ("b", 4.0, False)]
+
+
 def test_hash_embedding(spark):
     import hashlib
 
