@@ -89,13 +89,13 @@ def _read_once(chunks: DataFrame, requests: DataFrame, *more: Column) -> DataFra
     return c.withColumn("c_tokens", F.expr(f"filter(c_tokens, t -> t in ({own}))"))
 
 
-def _meet(chunks: DataFrame, requests: DataFrame, parts: int = 64) -> DataFrame:
-    """Chunks beside the requests of their jurisdiction. Few requests go to the chunks; many meet them in `parts` parts of a jurisdiction, as one
-    jurisdiction may have most chunks."""
+def meet(chunks: DataFrame, requests: DataFrame, key: str = "jurisdiction_id", parts: int = 64) -> DataFrame:
+    """Chunks beside the requests of their key. Few requests go to the chunks; many meet them in `parts` parts of a key, as one may have most
+    chunks."""
     if requests.limit(SMALL + 1).count() <= SMALL:
-        return chunks.join(F.broadcast(requests), "jurisdiction_id")
+        return chunks.join(F.broadcast(requests), key)
     dealt = chunks.withColumn("__part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
-    return dealt.join(requests.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["jurisdiction_id", "__part"]).drop("__part")
+    return dealt.join(requests.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [key, "__part"]).drop("__part")
 
 
 def candidates(requests: DataFrame, chunks: DataFrame, *, strict: bool = True, cosine: bool = False) -> DataFrame:
@@ -110,7 +110,7 @@ def candidates(requests: DataFrame, chunks: DataFrame, *, strict: bool = True, c
     q = q.withColumn("q_vector", N.hash_embedding(F.col("query"))) if cosine else q
     c = _read_once(chunks, q, *([N.hash_embedding(F.col("text")).alias("c_vector")] if cosine else []))
     q = q.withColumn("jurisdiction_id", F.explode(F.array("jurisdiction_id", F.lit("*"))))
-    met = _meet(c, q).where(tag_filter(F.col("district"), F.col("use"), F.col("districts"), F.col("uses"), strict=strict))
+    met = meet(c, q).where(tag_filter(F.col("district"), F.col("use"), F.col("districts"), F.col("uses"), strict=strict))
     score = _keyword_score() + N.dot(F.col("q_vector"), F.col("c_vector")) if cosine else _keyword_score()
     found, named = _measure()
     return met.select("qid", "chunk_id", "section_ref", "uses", score.alias("score"), found.alias("measure"), named.alias("named"))
@@ -204,7 +204,7 @@ def vector_hits(requests: DataFrame, chunks: DataFrame, limits: tuple[int, int,
     c = _read_once(chunks, q, N.hash_embedding(F.col("text")).alias("c_vector"))
     q = q.withColumn("jurisdiction_id", F.explode(F.array("jurisdiction_id", F.lit("*"))))
     tags = [F.col(x) for x in ("district", "use", "districts", "uses")]
-    met = _meet(c, q).where(vector_filter(*tags))
+    met = meet(c, q).where(vector_filter(*tags))
     found, named = _measure()
     met = met.select("qid", "chunk_id", "section_ref", "uses", _keyword_score().alias("keywords"), found.alias("measure"), named.alias("named"), hit_filter(*tags).alias("fits"), F.transform("q_vectors", lambda v: N.dot(v, F.col("c_vector"))).alias("near"))
     lists = met.select(*[c for c in met.columns if c != "near"], F.posexplode("near").alias("kind", "score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["scalar", "retrieval", "relational", "corpus", "validation", "intake", "structure", "streams", "runs", "plain", "analysis"]
+MODULES: list[str] = ["scalar", "retrieval", "relational", "corpus", "validation", "intake", "structure", "streams", "runs", "plain", "analysis", "index_filter"]
 
 
 def _all(name: str) -> dict:
