@@ -1,10 +1,11 @@
-"""Queries of the index's filters: orders are chunks of their customer's nation, each segment of each nation asks."""
+"""Queries of the index's filters (orders are chunks of their customer's nation, each segment of each nation asks) and of stale sources."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quarry.operators import index_filter as I
+from quarry.sources import scans as C
 from quarry.sources.tables import table
 
 
@@ -36,7 +37,18 @@ def p06_index_filter(spark, d):
     return I.matches(*_given(spark, d))
 
 
-QUERIES = {"p06_index_filter": p06_index_filter}
+def a23_stale_refs(spark, d):
+    """Orders as sources of their customer's name in the file of their priority: of one name in one file the first order counts."""
+    o, day = table(spark, d, "orders"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    refs = o.select(
+        F.concat(F.lit("s"), "o_custkey").alias("source_id"), F.when(F.col("o_totalprice") < 30000, "local://x").otherwise("https://x.gov").alias("url"),
+        F.when(F.col("o_orderstatus") == "O", F.concat(day, F.lit("T08:00:00Z"))).when(F.col("o_orderstatus") == "F", F.regexp_replace(day, "-", "")).alias("retrieved_at"),
+        F.when(F.col("o_totalprice") > 150000, C.PUBLIC).otherwise("draft").alias("coverage_status"), F.col("o_orderpriority").alias("origin"), F.col("o_orderkey").alias("place"),
+    )
+    return C.stale_refs(refs, "1998-01-01", 700)
+
+
+QUERIES = {"p06_index_filter": p06_index_filter, "a23_stale_refs": a23_stale_refs}
 
 ORACLE = {
     "p06_index_filter": """
@@ -51,5 +63,10 @@ select qid, chunk_id, (seg = 'FURNITURE' or list_has_any(districts, [case when s
 from r join c on (seg = 'MACHINERY' or j = n_name or j = r_name or (j = '*' and state = r_name))
 where (seg <> 'MACHINERY' or sid = who) and (seg <> 'BUILDING' or stype = top) and (seg <> 'AUTOMOBILE' or sver = y)
   and (seg in ('FURNITURE', 'AUTOMOBILE') or list_has_any(districts, [seg, 'unknown'])) and (seg = 'HOUSEHOLD' or list_has_any(uses, ['F', 'general', 'principal_uses']))
+""",
+    "a23_stale_refs": """
+with first as (select * from orders qualify row_number() over (partition by o_custkey, o_orderpriority order by o_orderkey) = 1),
+r as (select o_orderpriority as origin, 's' || o_custkey as source_id, o_totalprice >= 30000 as web, case when o_totalprice >= 30000 and o_orderstatus in ('O', 'F') then date_diff('day', o_orderdate::date, date '1998-01-01') end::int as age, case when o_totalprice > 150000 then 'error' else 'warning' end as level from first)
+select origin, source_id, case when not web then 'url' when age is null then 'undated' else 'old' end as issue, age, level from r where not web or age is null or age > 700
 """,
 }
