@@ -175,3 +175,15 @@ def test_throttle_state_ends(spark, tmp_path):
     got, state = run(spark, S.throttled(stream, 2, 60), tmp_path)
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False, 8: True}
     assert state[-1] <= 2  # the last user's time and timer alone
+
+
+def test_admission_reads_its_state_once_a_part(spark, tmp_path):
+    """400 keys of a day in two micro-batches, with and without a user: their state is a few values, not one a key, and every key counts on."""
+    ids = iter(range(10_000))
+    made = [[event(next(ids), 1, 1 + i % 3 + 4 * b, user=u if u else None, kind=k) for u in range(200) for k in ("view", "click") for i in range(2)] for b in range(2)]
+    got, state = run(spark, S.daily_admission(feed(spark, f"{tmp_path}/in", *made), 3, parts=8), tmp_path)
+    seen, want = {}, {}
+    for e in sorted((e for batch in made for e in batch), key=lambda e: (e[1], e[0])):
+        seen[e[2], e[3]] = seen.get((e[2], e[3]), 0) + 1
+        want[e[0]] = seen[e[2], e[3]] <= 3
+    assert got == want and max(state) <= 2 * 8
