@@ -110,7 +110,9 @@ def unique_names(rows: DataFrame, name: str, *order: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.string())], names)
 
     kind = StructType([*rows.schema.fields, StructField("unique", StringType())])
-    return alone.select(*rows.columns, "unique").unionAll(met.repartition("__f").sortWithinPartitions("__f", *order).mapInArrow(run, kind))
+    # Dealt by a hash of its own: by __f alone it would be the join's own partitioning, Spark would leave it out, and a join that is split for skew
+    # or turned into a broadcast at run time would part a family among tasks.
+    return alone.select(*rows.columns, "unique").unionAll(met.repartition(F.xxhash64("__f")).sortWithinPartitions("__f", *order).mapInArrow(run, kind))
 
 
 def slices(marks: DataFrame) -> DataFrame:

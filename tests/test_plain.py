@@ -33,6 +33,17 @@ def test_unique_names_equal_the_plain_loop(spark, seed):
     assert S.unique_names(df.limit(0), "name", "i").count() == 0
 
 
+def test_unique_names_where_a_join_turns_into_a_broadcast(spark):
+    """Families stay whole where the join with them, planned as a shuffle, becomes a broadcast with a local read at run time."""
+    names = [("a", "a-2", "b", "b-3")[i * 7 % 4] for i in range(4000)]
+    df = spark.createDataFrame(list(enumerate(names)), "i long, name string").repartition(8)
+    made = S.unique_names(df, "name", "i")
+    got = {r.i: r.unique for r in made.collect()}
+    assert [got[i] for i in range(len(names))] == plain_names(names)
+    assert "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString()  # not left out for the join's own partitioning
+
+
+
 def test_rules_with_all_conditions(spark):
     rules = [(2, None, None, "PARK", None, ["P"], []), (0, "", None, "", "", None, None), (1, "Art. II", "uses", "", "", ["R-1", " ", "R-2 "], ["dwelling"]), (3, "", "", "", "xii", None, ["shops"])]
     rows = [("a", "Parking", ["Code", "ART. II", "Div. 1 Uses"]), ("b", "Park rules", ["Code", "Art. V", None]), ("c", None, ["Code", "Chapter XII"]), ("d", "Nothing", None), ("e", "None", [])]
