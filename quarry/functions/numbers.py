@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .text import ladder
 
@@ -43,8 +49,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v at length 1; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    own = F.transform(v, lambda x: x.cast("double"))
+    by = lambda norm: F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(own)
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), by), F.lit(0))  # the lambda's variable: the norm is found once, not for each component
 
 
 def token_cell(token: Column, dims: int = 64) -> tuple[Column, Column]:
@@ -55,22 +62,41 @@ def token_cell(token: Column, dims: int = 64) -> tuple[Column, Column]:
     return cell, sign
 
 
-def token_cells(text: Column, dims: int = 64) -> Column:
-    """array<struct<cell, more, less>>: how many of a text's tokens fall in each cell with a positive and a negative sign, within the row."""
+#: Tokens of which a worker keeps the cell.
+KEPT_TOKENS = 200_000
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+_CELLS: dict[str, tuple[int, int]] = {}
+
 
-    def place(token: Column) -> Column:
-        cell, sign = token_cell(token, dims)
-        return 2 * cell + F.when(sign > 0, 0).otherwise(1)
+def _place(token: str) -> tuple[int, int]:
+    """(the first two bytes of its SHA-256, its sign) of a token."""
+    h = hashlib.sha256(token.encode()).digest()
+    if len(_CELLS) >= KEPT_TOKENS:
+        _CELLS.clear()
+    _CELLS[token] = found = (h[0] * 256 + h[1], 1 - h[2] % 2 * 2)
+    return found
 
-    places = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), place)
-    count = lambda p, x: F.size(p) - F.size(F.array_remove(p, x))
-    cells = lambda p: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.struct(i.alias("cell"), count(p, 2 * i).alias("more"), count(p, 2 * i + 1).alias("less")))
-    return F.get(F.transform(F.array(places), cells), F.lit(0))  # the lambda's variable: places are made once
+
+def _add_up(text: str | None, dims: int) -> list[float]:
+    out = [0] * dims
+    for token, times in Counter(_TOKEN.findall(text or "")).items():
+        cell, sign = _CELLS.get(token) or _place(token)
+        out[cell % dims] += sign * times
+    return [float(x) for x in out]
+
+
+def _signed_counts(lowered: pd.Series, dims: pd.Series) -> pd.Series:
+    return pd.Series([_add_up(text, n) for text, n in zip(lowered, dims, strict=True)], dtype=object)
 
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
-    """A text's tokens added up in signed cells, at length 1; a text without tokens is the zero vector."""
-    return F.get(F.transform(F.array(F.transform(token_cells(text, dims), lambda c: (c["more"] - c["less"]).cast("double"))), unit), F.lit(0))
+    """A text's tokens added up in signed cells (see token_cell), at length 1; a text without tokens is the zero vector.
+
+    The tokens of a text are counted and their cells looked up in one pass: work grows with the text, not with the text times the cells.
+    """
+    return F.get(F.transform(F.array(F.pandas_udf(_signed_counts, ArrayType(DoubleType()))(F.lower(text), F.lit(dims))), unit), F.lit(0))
 
 
 def confidence(missing: Column, citations: Column) -> Column:

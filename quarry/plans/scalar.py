@@ -118,7 +118,8 @@ def x47_hash_embedding(spark, d):
 def x47_hash_vector(spark, d):
     """The same at length 1, as vectors of 64 components made within the row."""
     t = _t(spark, d, "documents").where("text is not null").select("doc_id", N.hash_embedding(F.col("text")).alias("v"))
-    return t.select("doc_id", F.posexplode("v").alias("cell", "x")).where("x <> 0").select("doc_id", "cell", F.round("x", 9).alias("value"))
+    # Outer, or Spark would put a filter on the size of v below, and make v twice.
+    return t.select("doc_id", F.posexplode_outer("v").alias("cell", "x")).where("x <> 0").select("doc_id", "cell", F.round("x", 9).alias("value"))
 
 
 def x49_confidence(spark, d):
