@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import numbers as N
 from quarry.functions import text as X
+from quarry.sources.tables import settled
 
 # The words that name a measure, plain questions for one, and units that follow a number.
 METRICS = (
@@ -127,12 +128,13 @@ def rank(met: DataFrame) -> DataFrame:
     return met.where("score > 0").withColumn("rank", F.row_number().over(order))
 
 
-def pick(met: DataFrame, *, top: int = 8, per_section: int = 2, marked: tuple[tuple[str, int], ...] = (), measures: int = 0, hits: DataFrame | None = None, of_hits: int = 2) -> DataFrame:
+def pick(met: DataFrame, *, top: int = 8, per_section: int = 2, marked: tuple[tuple[str, int], ...] = (), measures: int = 0, hits: DataFrame | None = None, of_hits: int = 2, runners: tuple[int, int, int] | None = None) -> DataFrame:
     """qid, slot, chunk_id, score: the excerpts of each request.
 
     The first `top` by score (above 0; ties by chunk_id) with at most per_section of a section, chunks without a section alone; behind them
     of_hits of the hits (qid, chunk_id, score, rank) that aren't there yet; for each (marker, n) the next chunks tagged so until n are there; and for
-    requests that ask for a measure, `measures` chunks that hold one, those that name the metric first.
+    requests that ask for a measure, `measures` chunks that hold one, those that name the metric first. runners (first, last, n): then the
+    first n of the chunks that rank() has at first to last and that aren't there yet.
 
     One pass: each list that a pick may be taken from (a section, a marker, the measures) is cut to the few that may be needed before
     any row moves, and what is left of a request, at most some dozens, is put together in its row.
@@ -141,12 +143,15 @@ def pick(met: DataFrame, *, top: int = 8, per_section: int = 2, marked: tuple[tu
     kinds = [F.concat(F.lit("s:"), F.coalesce(F.nullif(F.col("section_ref"), F.lit("")), F.col("chunk_id")))]
     kinds += [F.when(F.array_contains("uses", m), F.lit(f"m{i}")) for i, (m, _) in enumerate(marked)]
     kinds += [F.when(F.col("measure"), F.lit("d"))] if measures else []
+    kinds += [F.lit("r")] if runners else []
+    last = max(most, runners[1]) if runners else most
+    in_reach = (F.col("n") <= last) & ((F.col("kind") == "r") | (F.col("n") <= most))
     tags = F.array(*[F.array_contains("uses", m) for m, _ in marked]) if marked else F.array(F.lit(False))
     rows = met.where("score > 0").select("qid", "chunk_id", "score", "named", tags.alias("tags"), F.explode(F.array_compact(F.array(*kinds))).alias("key"))
     rows = rows.withColumn("kind", F.split_part("key", F.lit(":"), F.lit(1))).withColumn("late", (F.col("kind") == "d") & ~F.col("named")).withColumn("at", -F.round("score", 9))
     in_list = F.row_number().over(Window.partitionBy("qid", "key").orderBy("late", "at", "chunk_id"))
-    rows = rows.withColumn("n", in_list).where((F.col("n") <= most) & ((F.col("kind") != "s") | (F.col("n") <= per_section)))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("qid", "kind").orderBy("late", "at", "chunk_id"))).where(F.col("n") <= most)
+    rows = rows.withColumn("n", in_list).where(in_reach & ((F.col("kind") != "s") | (F.col("n") <= per_section)))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("qid", "kind").orderBy("late", "at", "chunk_id"))).where(in_reach)
     columns = ("n", "kind", "chunk_id", "score", "tags")
     if hits is not None:
         rows = rows.select("qid", *columns).unionByName(hits.where(F.col("rank") <= most).select("qid", F.col("rank").alias("n"), F.lit("h").alias("kind"), "chunk_id", "score", tags.alias("tags")))
@@ -167,6 +172,8 @@ def pick(met: DataFrame, *, top: int = 8, per_section: int = 2, marked: tuple[tu
         out = out.withColumn("lack", F.greatest(F.lit(0), F.lit(n) - tagged)).withColumn("picks", more(f"m{i}", F.col("lack")))
     if measures:
         out = out.withColumn("picks", more("d", F.lit(measures)))
+    if runners:
+        out = out.withColumn("all", F.filter("all", lambda x: (x["kind"] == "r") & x["n"].between(*runners[:2]))).withColumn("picks", more("r", F.lit(runners[2])))
     return out.select("qid", F.posexplode("picks").alias("slot", "x")).select("qid", (F.col("slot") + 1).alias("slot"), "x.chunk_id", "x.score")
 
 
@@ -222,7 +229,7 @@ def hybrid_retrieve(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     hits = vector_hits(requests, chunks)
     own = ("section_ref", "uses", "keywords", "measure", "named")
-    best = hits.groupBy("qid", "chunk_id").agg(F.max("score").alias("near"), *[F.first(c).alias(c) for c in own], F.min(F.when(F.col("kind") == 2, F.col("rank"))).alias("rank"))
+    best = settled(hits.groupBy("qid", "chunk_id").agg(F.max("score").alias("near"), *[F.first(c).alias(c) for c in own], F.min(F.when(F.col("kind") == 2, F.col("rank"))).alias("rank")))  # read twice: some dozens for each request
     met = best.where("keywords > 0").withColumn("score", F.col("near") + F.col("keywords"))
     return pick(met, marked=MARKED, measures=2, hits=best.where("rank is not null").withColumn("score", F.col("near")))
 

@@ -72,9 +72,7 @@ def x50_valid_citations(spark, d):
 
 
 def w03_reserved_hits(spark, d):
-    top = R.pick(R.candidates(*_given(spark, d))).select("qid", "slot", "chunk_id")
-    hits = R.rank(R.candidates(*_given(spark, d))).where("rank between 5 and 30").select("qid", F.col("rank").alias("place"), "chunk_id")
-    return V.reserve_hits(top, hits, 2)
+    return R.pick(R.candidates(*_given(spark, d)), runners=(5, 30, 2)).select("qid", "slot", "chunk_id")
 
 
 def a12_status_counts(spark, d):

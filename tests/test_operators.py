@@ -1,5 +1,6 @@
 """Cases that the tables don't hold."""
 
+import time
 import json
 import re
 
@@ -225,3 +226,39 @@ def test_hash_embedding(spark):
 @pytest.mark.parametrize("query", ["size of my lot", "What is the smallest permitted lot?", "sq ft needed", "F.A.R. limits", "how many storeys"])
 def test_whole_measure_patterns(spark, query):
     assert one(spark, retrieval.is_dimensional(F.lit(query)))
+
+
+def test_hash_embedding_of_long_and_odd_texts(spark):
+    """Tokens as Spark lower-cases them, nulls as texts without tokens, and a long text in one pass: its cells were gone through 128 times before."""
+    import hashlib
+    import re
+
+    texts = [None, "", "\u0130X \u212a9 Stra\u00dfe A1", "it's a-b_c", " ".join(f"w{i % 5000}" for i in range(300_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    began = time.monotonic()
+    got = {r.i: r.v for r in df.select("i", N.hash_embedding(F.col("t")).alias("v")).collect()}
+    assert time.monotonic() - began < 20
+    for i, text in enumerate(texts):
+        want = [0] * 64
+        for token in re.findall("[a-z0-9]+", (text or "").lower()):
+            h = hashlib.sha256(token.encode()).digest()
+            want[(h[0] * 256 + h[1]) % 64] += 1 - h[2] % 2 * 2
+        size = sum(x * x for x in want) ** 0.5 or 1
+        assert got[i] == [x / size for x in want]
+
+
+def test_embedding_is_made_once(spark, tmp_path):
+    from quarry.plans.scalar import x47_hash_vector
+
+    spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = x47_hash_vector(spark, str(tmp_path))
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and {r.doc_id for r in made.collect()} == {1}
+
+
+def test_runners_equal_the_two_passes(spark):
+    from quarry.operators import validation as V
+
+    met = spark.createDataFrame([(q, f"c{i:02}", f"s{i % 3}" if i % 4 else "", ["u"], float((i * 7 % 11) - 1), False, False) for q in (1, 2) for i in range(40 if q == 1 else 3)], "qid int, chunk_id string, section_ref string, uses array<string>, score double, measure boolean, named boolean")
+    top = retrieval.pick(met).select("qid", "slot", "chunk_id")
+    want = V.reserve_hits(top, retrieval.rank(met).where("rank between 5 and 30").select("qid", F.col("rank").alias("place"), "chunk_id"), 2)
+    assert sorted(retrieval.pick(met, runners=(5, 30, 2)).select("qid", "slot", "chunk_id").collect()) == sorted(want.collect())
