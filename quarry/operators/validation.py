@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import collapse, ladder, question_key
+from quarry.operators.relational import small
 
 
 # Hosts that stand for none.
@@ -36,14 +37,23 @@ def resolve(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """key with the first jurisdiction whose rule its address meets; rules by county come after all others.
 
     rows: key, locality, county, state. rules: pos, strategy (locality, county, locality_and_county), locality, county, state, jurisdiction_id.
-    An address without a county passes locality_and_county by its locality alone. Joined on the state, then the first by place.
+    An address without a county passes locality_and_county by its locality alone. The rules of a state, some dozens, meet its addresses as one
+    list in order, so that an address stays one row; addresses are dealt by key before they are sorted for it, however large the files are.
     """
-    r = rules.select("pos", "strategy", F.lower("locality").alias("__l"), F.lower("county").alias("__c"), F.lower("state").alias("__s"), "jurisdiction_id")
-    met = rows.join(r, F.lower("state") == F.col("__s"), "left")
-    by_locality, by_county = F.lower("locality") == F.col("__l"), F.lower("county") == F.col("__c")
-    hit = F.when(F.col("strategy") == "locality", by_locality).when(F.col("strategy") == "county", by_county).otherwise(by_locality & (F.col("county").isNull() | by_county))
-    rank = F.when(F.coalesce(hit, F.lit(False)), F.struct((F.col("strategy") == "county").alias("late"), "pos", "jurisdiction_id"))
-    return met.groupBy(key).agg(F.min(rank).alias("m")).select(key, F.col("m.jurisdiction_id").alias("jurisdiction_id"))
+    late = (F.col("strategy") == "county").alias("late")
+    rule = F.struct(late, "pos", "jurisdiction_id", "strategy", F.lower("locality").alias("l"), F.lower("county").alias("c"))
+    r = rules.groupBy(F.lower("state").alias("__s")).agg(F.array_sort(F.collect_list(rule)).alias("__rules"))
+    met = rows.join(small(r), F.lower("state") == F.col("__s"), "left")
+
+    def hit(x: Column) -> Column:
+        by_locality, by_county = F.lower("locality") == x["l"], F.lower("county") == x["c"]
+        met_by = F.when(x["strategy"] == "locality", by_locality).when(x["strategy"] == "county", by_county).otherwise(by_locality & (F.col("county").isNull() | by_county))
+        return F.coalesce(met_by, F.lit(False))
+
+    best = met.select(key, F.get(F.filter("__rules", hit), F.lit(0)).alias("__x"))
+    rank = F.when(F.col("__x").isNotNull(), F.struct("__x.late", "__x.pos", "__x.jurisdiction_id"))
+    dealt = best.select(key, rank.alias("__x")).repartition(key)
+    return dealt.groupBy(key).agg(F.min("__x").alias("m")).select(key, F.col("m.jurisdiction_id").alias("jurisdiction_id"))
 
 
 def pick(nodes: DataFrame, group: str, *order: Column) -> DataFrame:

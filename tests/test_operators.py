@@ -262,3 +262,27 @@ def test_runners_equal_the_two_passes(spark):
     top = retrieval.pick(met).select("qid", "slot", "chunk_id")
     want = V.reserve_hits(top, retrieval.rank(met).where("rank between 5 and 30").select("qid", F.col("rank").alias("place"), "chunk_id"), 2)
     assert sorted(retrieval.pick(met, runners=(5, 30, 2)).select("qid", "slot", "chunk_id").collect()) == sorted(want.collect())
+
+
+def test_pages_cross_to_python_in_bounded_batches(spark):
+    from quarry.operators import fragments
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    pages = spark.createDataFrame([(i, "<p>" + "word " * 40_000 + f"{i}</p>") for i in range(30)] + [(99, None)], "page_id int, html string").coalesce(1)
+    for change in (html.clean_pages, lambda p: fragments.stripped_pages(p, (fragments.Rule("nav"),))):
+        spark.conf.set(key, "256000000")
+        made = change(pages)
+        assert int(spark.conf.get(key).rstrip("b")) <= 2_000_000
+        got = {r.page_id: r[1] for r in made.collect()}
+        assert len(got) == 31 and got[99] == "" and all(f"word {i}" in got[i] for i in range(30))
+
+
+def test_resolve_keeps_an_address_one_row(spark):
+    from quarry.operators import validation as V
+
+    rules = spark.createDataFrame([(2, "locality", "A", None, "S", "two"), (1, "county", None, "C", "s", "one"), (3, "locality_and_county", "a", "c", "S", "three"), (4, "locality", "a", None, None, "none")], "pos int, strategy string, locality string, county string, state string, jurisdiction_id string")
+    rows = spark.createDataFrame([(1, "a", "c", "s"), (2, "b", "C", "S"), (3, "b", None, "S"), (4, "a", "c", None), (5, "x", "y", "S"), (5, "A", "y", "S")], "k int, locality string, county string, state string")
+    made = V.resolve(rows, rules, "k")
+    assert {r.k: r.jurisdiction_id for r in made.collect()} == {1: "two", 2: "one", 3: None, 4: None, 5: "two"}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and plan.count("FileScan") == 0
