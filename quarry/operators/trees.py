@@ -68,7 +68,13 @@ def climb(nodes: DataFrame, *, stop: Column | None = None, cut: Column | None =
 
 
 def by_container(nodes: DataFrame, *, leaf: Column, container: Column, cut: Column | None = None, node: str = "node", parent: str = "parent") -> DataFrame:
-    """node, container: each leaf with the nearest of its ancestors that is a container (null: none), branches under a `cut` node left out."""
-    found = climb(nodes.withColumn("__leaf", leaf), stop=container & ~leaf, cut=cut, node=node, parent=parent).where(~F.col("excluded"))
-    leaves = nodes.where(leaf).select(F.col(node).alias("node")).distinct()
-    return found.join(leaves, "node", "left_semi").select("node", F.col("nearest").alias("container"))
+    """node, container: each leaf with the nearest of its ancestors that is a container (null: none), branches under a `cut` node left out.
+
+    Only nodes that are a parent of some row climb, mostly few beside the leaves; each leaf then takes over what its parent knows, in one join.
+    """
+    parents = nodes.select(F.col(parent).alias("__up")).where("__up is not null").distinct()
+    inner = nodes.withColumn("__leaf", leaf).join(parents, F.col(node) == F.col("__up"), "left_semi")
+    found = settled(climb(inner, stop=container & ~F.col("__leaf"), cut=cut, node=node, parent=parent).select("node", "nearest", "excluded"))
+    out = F.coalesce(cut, F.lit(False)) if cut is not None else F.lit(False)
+    leaves = nodes.where(leaf & F.col(node).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("up"), out.alias("out")).dropDuplicates(["node"]).where("not out")
+    return _lift(leaves, found, HOT).where(~F.coalesce("t_excluded", F.lit(False))).select("node", F.col("t_nearest").alias("container"))

@@ -5,6 +5,7 @@ import random
 from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import fragments as G
 from quarry.operators import trees as T
@@ -211,3 +212,15 @@ def test_pages_with_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "<nav>x</nav><div id='text-container'>y</div>")], "page_id long, html string")
     assert {r.page_id: r.html for r in G.stripped_pages(df, (G.Rule("nav"),)).collect()} == {1: "", 2: "<div id='text-container'>y</div>"}
     assert {r.page_id: r.text for r in G.container_texts(df, "div", "id", "text-container").collect()} == {1: "", 2: "y"}
+
+
+def test_by_container_climbs_with_parents_alone(spark, monkeypatch):
+    """A thousand leaves under two nodes: two rows climb; leaves in leaves, in a cut branch, cut themselves and without a parent's row are told alike."""
+    climbed, real = [], T.climb
+    monkeypatch.setattr(T, "climb", lambda rows, **k: (climbed.append(rows.count()), real(rows, **k))[1])
+    rows = [("a", None, "box", ""), ("b", "a", "box", "cut"), *[(f"l{i}", "ab"[i % 2], "leaf", "") for i in range(1000)]]
+    rows += [("in", "l0", "leaf", ""), ("out", "a", "leaf", "cut"), ("lone", "gone", "leaf", ""), ("free", None, "leaf", ""), (None, "a", "leaf", "")]
+    df = spark.createDataFrame(rows, "node string, parent string, kind string, title string")
+    got = {r.node: r.container for r in T.by_container(df, leaf=F.col("kind") == "leaf", container=F.col("kind") == "box", cut=F.col("title") == "cut").collect()}
+    assert got == {**{f"l{i}": "a" for i in range(0, 1000, 2)}, "in": "a", "lone": None, "free": None}
+    assert climbed == [3]
