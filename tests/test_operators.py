@@ -1,8 +1,8 @@
 """Cases that the tables don't hold."""
 
-import time
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
