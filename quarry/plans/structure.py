@@ -60,14 +60,15 @@ def _scripts(spark, d):
     rows = o.withColumn("l_linenumber", F.lit(0)).withColumn("title", F.concat(F.lit("Order's "), "o_orderpriority")).select("o_custkey", "o_orderkey", "l_linenumber", "title")
     rows = rows.unionByName(o.join(line, "o_orderkey").select("o_custkey", "o_orderkey", "l_linenumber", F.concat(F.lit('"'), "l_returnflag", F.lit('", '), "l_linenumber").alias("title")))
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "l_linenumber", "title")) - 1)
-    order = rows.groupBy("o_custkey", "o_orderkey").agg(F.array_sort(F.collect_list(F.struct("i", "title"))).alias("e"))
-    quoted = F.transform("e", lambda x: F.concat(F.lit("'"), F.replace(x["title"], F.lit("'"), F.lit("\\'")), F.lit("'")))
-    tree = F.concat(F.lit("{i:"), F.col("e")[0]["i"], F.lit(",c:0,n:["), F.array_join(F.transform(F.slice("e", 2, F.size("e")), lambda x: F.concat(F.lit("{i:"), x["i"], F.lit(",c:0}"))), ","), F.lit("]}"))
-    page = F.concat(F.lit("'/Content/o"), "o_orderkey", F.lit(".htm':{i:["), F.array_join(F.transform("e", lambda x: x["i"].cast("string")), ","), F.lit("],t:["), F.array_join(quoted, ","), F.lit("],b:[''"), F.lit(",]}"))
-    site = order.select("o_custkey", F.struct("o_orderkey", tree.alias("tree"), page.alias("page")).alias("x")).groupBy("o_custkey").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    quoted = F.concat(F.lit("'"), F.replace("title", F.lit("'"), F.lit("\\'")), F.lit("'")).alias("title")
+    leaf = F.concat(F.lit("{i:"), "i", F.lit(",c:0}")).alias("leaf")
+    order = rows.groupBy("o_custkey", "o_orderkey").agg(F.sort_array(F.collect_list(F.struct("i", F.col("i").cast("string").alias("number"), quoted, leaf))).alias("e"))
+    tree = F.concat(F.lit("{i:"), F.col("e")[0]["i"], F.lit(",c:0,n:["), F.array_join(F.slice("e.leaf", 2, F.size("e")), ","), F.lit("]}"))
+    page = F.concat(F.lit("'/Content/o"), "o_orderkey", F.lit(".htm':{i:["), F.array_join("e.number", ","), F.lit("],t:["), F.array_join("e.title", ","), F.lit("],b:[''"), F.lit(",]}"))
+    site = order.select("o_custkey", F.struct("o_orderkey", tree.alias("tree"), page.alias("page")).alias("x")).groupBy("o_custkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
     site = site.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal"), "o_custkey")
-    whole = F.concat(F.lit("define({numchunks:1,prefix:'Chunk',chunkstart:['/Content/x.htm'],tree:{n:["), F.array_join(F.transform("x", lambda y: y["tree"]), ","), F.lit("]}});"))
-    chunk = F.concat(F.lit("define({/* pages */"), F.array_join(F.transform("x", lambda y: y["page"]), ",\n"), F.lit("});"))
+    whole = F.concat(F.lit("define({numchunks:1,prefix:'Chunk',chunkstart:['/Content/x.htm'],tree:{n:["), F.array_join("x.tree", ","), F.lit("]}});"))
+    chunk = F.concat(F.lit("define({/* pages */"), F.array_join("x.page", ",\n"), F.lit("});"))
     chunk = F.when(F.col("c_acctbal") < 0, F.substring(chunk, F.lit(1), F.length(chunk) - 9)).otherwise(chunk)
     two = F.array(F.struct(F.lit("Toc.js").alias("name"), whole.alias("body")), F.struct(F.lit("Toc_Chunk0.js").alias("name"), chunk.alias("body")))
     return site.select(F.col("o_custkey").alias("site"), F.explode(two).alias("f")).select("site", "f.name", "f.body")
@@ -76,8 +77,7 @@ def _scripts(spark, d):
 def x25_script_toc(spark, d):
     """Entries with their paths of all sites; a broken file is one row with `broken` set."""
     read = J.read_scripts(_scripts(spark, d)).persist()
-    e = J.entries(read)
-    good = e.join(J.paths(e), ["site", "i"]).select("site", "i", "href", F.array_join("path", " > ").alias("path"), F.lit(False).alias("broken"))
+    good = J.paths(J.entries(read)).select("site", "i", "href", F.array_join("path", " > ").alias("path"), F.lit(False).alias("broken"))
     bad = read.where("error is not null").select("site", F.lit(-1).alias("i"), F.col("name").alias("href"), F.lit("").alias("path"), F.lit(True).alias("broken"))
     return good.unionByName(bad)
 

@@ -3,19 +3,23 @@
 A site has one tree file, `({numchunks:2,prefix:'Chunk',tree:{n:[{i:0,n:[{i:1}]}]}})`, and chunk files with the entries by
 page in columns, `({'/Content/a.htm':{i:[0,1],t:['A','A.1'],b:['','#x']}})`: numbers, titles and anchors that belong
 together by their places. Literals are read by a tolerant parser: keys bare or quoted, either kind of quotes, comments,
-commas too many. A file that can't be read gives an error and no entries; the others of its site count all the same.
+commas too many. Most become JSON by a few substitutions and are read as that; only the others are read token by token.
+A file that can't be read gives an error and no entries; the others of its site count all the same.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from json.encoder import encode_basestring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.trees import climb
+from quarry.sources.tables import settled
 
 _TOKEN = re.compile(
     r"\s+|//[^\n]*|/\*.*?\*/"
@@ -28,6 +32,11 @@ _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(.))", re.DOTALL
 _PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": ""}
 _WORDS = {"true": True, "false": False, "null": None, "undefined": None}
 _CLOSES = {"}": dict, "]": list}
+# Strings and comments, up to the end of the script where they don't end; without going back, so that a broken one costs no more than its length.
+_PIECE = re.compile(r"('[^'\\]*+(?:\\.[^'\\]*+)*+'?|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"?|//[^\n]*+|/\*.*?(?:\*/|\Z))", re.DOTALL)
+_KEY = re.compile(r"(?<![\w$])([A-Za-z_$][\w$]*+)(?=[ \t\r\n]*+:)")
+_MORE = re.compile(r",(?=[ \t\r\n]*+[}\]])")
+_HREF = re.compile(r"\.html?$")
 
 
 def _text(quoted: str) -> str:
@@ -40,8 +49,40 @@ def _word(bare: str) -> object:
     return int(bare) if re.fullmatch(r"-?\d+", bare) else float(bare) if re.fullmatch(r"-?\d*\.\d+(?:[eE][-+]?\d+)?", bare) else bare
 
 
+_JSON = json.JSONDecoder(parse_float=_word, parse_constant=str)
+
+
+def _quoted(piece: str) -> str:
+    """A string of a script as one of JSON, a comment as a space."""
+    if piece[0] == "/":
+        return " "
+    inner = piece[1:-1]
+    return encode_basestring(_text(inner) if "\\" in inner else inner)
+
+
+def _as_json(script: str) -> dict | list | None:
+    """What literal() finds at the start of a script, if a few substitutions make JSON of it; else None. They keep each token as it is, and
+    all that JSON takes means the same in a script, so that None is the only other answer."""
+    pieces = _PIECE.split(script)
+    between = "\0".join(pieces[::2])
+    if between.count("\0") != len(pieces) // 2 or "/" in between or (len(pieces) > 1 and not _TOKEN.fullmatch(pieces[-2])):
+        return None
+    pieces[::2] = _MORE.sub("", _KEY.sub(r'"\1"', between)).split("\0")
+    pieces[1::2] = map(_quoted, pieces[1::2])
+    try:
+        return _JSON.raw_decode("".join(pieces))[0]
+    except (ValueError, RecursionError):
+        return None
+
+
 def literal(script: str, start: int = 0) -> dict | list:
     """The object or list that begins at `start` of a script, of any depth. ValueError says where it is broken."""
+    found = _as_json(script[start:]) if script.startswith(("{", "["), start) else None
+    return _by_tokens(script, start) if found is None else found
+
+
+def _by_tokens(script: str, start: int) -> dict | list:
+    """literal() token by token."""
     held: list[tuple[dict | list, list]] = []  # what is open, each object with its key and whether the colon was read
     at = start
     while m := _TOKEN.match(script, at):
@@ -114,7 +155,7 @@ def _read(script: str | None) -> tuple:
             return None, value["numchunks"], value["prefix"], numbers, above, []
         pages = []
         for href, columns in value.items():
-            if re.search(r"\.html?$", href) and isinstance(columns, dict):
+            if _HREF.search(href) and isinstance(columns, dict):
                 i, t, b = (columns.get(k) if isinstance(columns.get(k), list) else [] for k in "itb")
                 pages.append({"href": href, "i": [x if isinstance(x, int) else None for x in i], "t": [str(x) for x in t], "b": [str(x) for x in b]})
         return None, None, None, [], [], pages
@@ -148,7 +189,12 @@ def entries(read: DataFrame) -> DataFrame:
 
 
 def paths(rows: DataFrame) -> DataFrame:
-    """site, i, path: the titles of an entry's ancestors and its own, from the root down. rows: as of entries()."""
+    """rows, as of entries(), with path: the titles of an entry's ancestors and its own, from the root down. Only entries that are a parent
+    climb, mostly few beside the others; each entry then takes over its parent's path, in one join."""
+    rows = settled(rows)
+    above = rows.where("parent is not null").select("site", F.col("parent").alias("i")).distinct()
     key = F.struct("site", "i")
-    found = climb(rows.select(key.alias("node"), F.when(F.col("parent").isNotNull(), F.struct("site", F.col("parent").alias("i"))).alias("parent"), "title"), label=F.col("title"))
-    return found.select("node.site", "node.i", "path")
+    found = climb(rows.join(above, ["site", "i"], "left_semi").select(key.alias("node"), F.when(F.col("parent").isNotNull(), F.struct("site", F.col("parent").alias("i"))).alias("parent"), "title"), label=F.col("title"))
+    found = found.select("node.site", F.col("node.i").alias("parent"), F.col("path").alias("__above"))
+    path = F.concat(F.coalesce("__above", F.array().cast("array<string>")), F.array("title"))
+    return rows.join(found, ["site", "parent"], "left").select(*rows.columns, path.alias("path"))

@@ -133,6 +133,37 @@ def test_script_toc(spark):
     assert sorted((r.i, r.title, r.anchor, r.parent) for r in entries.where("site = 'u'").collect()) == [(4, "x", "", None), (9, "", "", None)]
 
 
+def test_scripts_mean_the_same_as_json_and_by_tokens():
+    """Whatever is changed in a script: what the substitutions make JSON of has the value that its tokens have."""
+    rng, some, seen = random.Random(3), [*"{}[]:,'\"/\\ \n\0*a1.-e", "NaN", "1e5", "undefined", "//", "/*", "*/", "01", "\u00a0", "\\ud83d\\ude00"], 0
+    for k in range(3000):
+        text = list(dumped({"v": value_of(rng), "w": [value_of(rng)]}, rng) if k % 2 else json.dumps({"v": value_of(rng), "f": 1.5}))
+        for _ in range(rng.randrange(3)):
+            text.insert(rng.randrange(1, len(text) + 1), rng.choice(some))
+        found = J._as_json("".join(text))
+        if found is not None:
+            seen += 1
+            assert repr(found) == repr(J._by_tokens("".join(text), 0)), "".join(text)
+    assert seen > 300
+    for broken in ("{a:'" + "\\'" * 300_000, "{" + "/* " * 200_000, "{" + "a" * 500_000):
+        assert J._as_json(broken) is None
+
+
+def test_published_scripts_are_not_read_by_tokens(monkeypatch):
+    monkeypatch.setattr(J, "_by_tokens", lambda *_: pytest.fail("token by token"))
+    assert J.literal("define({numchunks:1,prefix:'C',tree:{n:[{i:0,c:0,n:[{i:1,c:0}]}]}});", 7)["tree"] == {"n": [{"i": 0, "c": 0, "n": [{"i": 1, "c": 0}]}]}
+    assert J.literal("""{/* pages */'/a.htm':{i:[0,1],t:['Order\\'s 1','"R", 2'],b:['',]}});""") == {"/a.htm": {"i": [0, 1], "t": ["Order's 1", '"R", 2'], "b": [""]}}
+
+
+def test_only_parents_climb(spark, monkeypatch):
+    climbed = []
+    monkeypatch.setattr(J, "climb", lambda nodes, **more: climbed.append(nodes.count()) or T.climb(nodes, **more))
+    rows = [("s", i, None if i == 0 else i // 10 if i % 10 else 0, f"/{i}.htm", str(i), "") for i in range(100)]
+    got = {r.i: r.path for r in J.paths(spark.createDataFrame(rows, "site string, i int, parent int, href string, title string, anchor string")).collect()}
+    assert climbed == [10] and len(got) == 100
+    assert got[57] == ["0", "5", "57"] and got[0] == ["0"] and got[30] == ["0", "30"]
+
+
 class Plain(HTMLParser):
     """Names and places of elements as a parser of events sees them."""
 
