@@ -7,7 +7,8 @@ if the paragraph holds one of the family's names where a licence is named, or en
 passages. Other paragraphs in question are unknown. All of it is DataFrame and ML-pipeline work inside the JVM.
 
 Paragraphs that the model can't guess a family for aren't scored one by one: one without any of the model's keys (a
-word of each n-gram that speaks for a family) has only n-grams that speak against all of them, so it is none.
+word of each n-gram that speaks for a family, but those common words whose n-grams all together can't make any family
+likelier than none) stays none.
 """
 
 from __future__ import annotations
@@ -230,15 +231,27 @@ def train(docs: DataFrame, *, text_col="text", others: int = 1000, precision: fl
 
 def keys_of(model: PipelineModel, common: Counter) -> list[str] | None:
     """Words of which every paragraph has one that the model guesses a family for: of each n-gram with more weight for some family than
-    for none, the word that is least common in other text. None (every paragraph is to be scored) if other text isn't the likeliest
-    without any n-gram."""
+    for none, the word that is least common in other text. Words are left out, the most common first, as long as all n-grams of those
+    left out, at once in a paragraph, bring no family up to none. None (every paragraph is to be scored) if other text isn't the
+    likeliest without any n-gram."""
     labels, last = list(model.stages[0].labels), model.stages[-1]
     weights, start, none = last.coefficientMatrix.toArray(), last.interceptVector.toArray(), labels.index("none")
     others = [i for i in range(len(labels)) if i != none]
-    if not (start[others] < start[none]).all():
+    ahead = start[none] - start[others]
+    if not (ahead > 0).all():
         return None
-    speak = np.flatnonzero((weights[others] > weights[none]).any(0))
-    return sorted({min(model.stages[1].vocabulary[i].split(" "), key=lambda w: (common[w], w)) for i in speak.tolist()})
+    more = np.maximum(weights[others] - weights[none], 0.0)  # an n-gram counts once in a paragraph
+    lift: dict[str, np.ndarray] = {}
+    for i in np.flatnonzero(more.any(0)).tolist():
+        word = min(model.stages[1].vocabulary[i].split(" "), key=lambda w: (common[w], w))
+        lift[word] = lift.get(word, 0.0) + more[:, i]
+    keys, left_out = [], np.zeros(len(others))
+    for word in sorted(lift, key=lambda w: (-common[w], w)):
+        if (left_out + lift[word] < ahead - 1e-6).all():
+            left_out += lift[word]
+        else:
+            keys.append(word)
+    return sorted(keys)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -257,8 +270,10 @@ def paragraphs(text: Column) -> Column:
 
 
 def has_key(text: Column, keys: list[str]) -> Column:
-    """Whether a text has one of the keys as a word, in whatever case."""
-    return F.arrays_overlap(F.split(F.lower(text), _BETWEEN), F.array(*[F.lit(k.lower()) for k in keys]))
+    """Whether a text has one of the keys as a word, in whatever case, or MIT as it stands, if that is a key."""
+    low = [F.lit(k) for k in keys if k != "MIT"]
+    found = F.arrays_overlap(F.split(F.lower(text), _BETWEEN), F.array(*low)) if low else F.lit(False)
+    return text.contains("MIT") | found if "MIT" in keys else found
 
 
 def scan(docs: DataFrame, model: PipelineModel, threshold: float, keys: list[str] | None = None, *, id_col="doc_id", text_col="text", contained: float = 0.8) -> DataFrame:

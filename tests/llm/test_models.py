@@ -138,6 +138,25 @@ def test_licenses(spark, licences):
 
 
 #: Notices that are training rows or names as they stand: no measure of anything but that they are found.
+def test_keys_leave_out_what_lifts_no_family():
+    """Words whose n-grams, all together, bring no family up to none are no keys; MIT is one only as it stands."""
+    from collections import Counter
+    from types import SimpleNamespace as Of
+
+    vocabulary = ["is", "what is", "MIT", "is free"]
+    weights = np.array([[0.0, 0.0, 0.0, 0.0], [1.0, 1.5, 5.0, 0.0], [-1.0, 0.0, 0.0, 4.5]])
+    last = Of(coefficientMatrix=Of(toArray=lambda: weights), interceptVector=Of(toArray=lambda: np.array([4.0, 0.0, 0.5])))
+    model = Of(stages=[Of(labels=["none", "MIT", "GPL"]), Of(vocabulary=vocabulary), last])
+    assert C.keys_of(model, Counter({"is": 50, "what": 20})) == ["MIT", "free"]
+    weights[1, 1] = 3.0  # "is" and "what is" together now lift MIT
+    assert C.keys_of(model, Counter({"is": 50, "what": 20})) == ["MIT", "free", "what"]
+
+
+def test_keys_in_texts(spark):
+    df = spark.createDataFrame([("Er kam mit dem Auto",), ("Under MIT.",), ("Is FREE here",), ("is",)], "text string")
+    assert [r[0] for r in df.select(C.has_key(df.text, ["MIT", "free"])).collect()] == [False, True, True, False]
+
+
 TRAINED = [("GPL", "GPLv2+"), ("MIT", "Dieses Werk steht unter einer MIT-Lizenz."), ("GPL", "Este trabajo usa la licencia GPL"), ("MIT", "SPDX-License-Identifier: MIT"), ("BSD", "SPDX-License-Identifier: BSD-3-Clause"), ("Zlib", "zlib license")]
 #: Notices in words of their own: test_notices_are_not_trained holds them against the training rows.
 NOTICES = [
