@@ -41,9 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute df once, into the shared folder: later readers and lost executors don't compute it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute df once, into the shared folder: later readers and lost executors don't compute it again, so the shuffle files that it took go at once."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shared_dir(spark)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return df.select("*").checkpoint()  # a new frame takes the setting
+    finally:
+        spark.conf.set(key, before)
 
 
 class Held:
@@ -59,11 +65,6 @@ class Held:
         self._frames.append(df.persist(StorageLevel.DISK_ONLY))
         return self._frames[-1]
 
-    def cut(self, df: DataFrame, rows: int = 200_000) -> DataFrame:
-        """df settled, in one file for so many rows: for results that are small beside the work they take."""
-        kept = self(df)
-        return settle(kept.coalesce(max(1, -(-kept.count() // rows))))
-
     def __exit__(self, *_) -> None:
         for df in self._frames:
             df.unpersist()
@@ -71,6 +72,17 @@ class Held:
         give_back()
 
 
+def cut(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df settled, in one file for so many rows: for results that are small beside the work they take.
+
+    A settled table hands on Spark's guess of its size, which joins multiply; once held and counted its size is known. Without that
+    the guess has twice the digits after each round of joins, and planning takes minutes.
+    """
+    with Held() as held:
+        kept = held(settle(df))
+        return settle(kept.coalesce(max(1, -(-kept.count() // rows))))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null. Each word becomes one mark, so memory stays near the text's own size."""
     marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]++", "x")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, broadcast_if_small, give_back, parts_of, settle, table, tidy
+from .common import Held, broadcast_if_small, cut, give_back, parts_of, settle, table, tidy
 from .graph import components
 
 #: Buckets that n-grams are counted in: about one for 32 n-grams, within these bounds (a byte each, sent to every task).
@@ -161,7 +161,7 @@ def _levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     for _ in range(2):  # sums of at most 100 each, however many partitions there are
         found = found.groupBy("chunk", F.floor(F.col("part") / 100).cast("int").alias("part")).applyInPandas(add, kind)
     total = np.zeros((chunks, _CHUNK), "u4")
-    for row in found.toLocalIterator():
+    for row in settle(found).toLocalIterator():
         total[row["chunk"]] += np.frombuffer(zlib.decompress(row["counts"]), "u4")
     usual = max(2 * total.sum(dtype="i8") / buckets, 4.0)
     out = np.clip(np.floor(np.log2(np.maximum(total.ravel(), 1) / usual)) + 1, 0, 60).astype("u1")
@@ -276,7 +276,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
         yield ids, grams
 
 
-def _with_sets(held: Held, docs: DataFrame, members: DataFrame, id_col: str, text_col: str, n: int, levels: np.ndarray) -> DataFrame:
+def _with_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, n: int, levels: np.ndarray) -> DataFrame:
     """members(gid, class_id, rep) with the ordered set of each class, from the text of its document rep: gid, class_id, grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,15 +291,15 @@ def _with_sets(held: Held, docs: DataFrame, members: DataFrame, id_col: str, tex
                 yield pa.RecordBatch.from_arrays([pa.array(gids, pa.string()), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["gid", "class_id", "grams"])
 
     # Each class is in few groups at a time: see the callers.
-    wanted = held.cut(members.groupBy("rep").agg(F.collect_set(F.struct("gid", "class_id")).alias("in")))
-    held = docs.join(broadcast_if_small(wanted, 500_000), docs[id_col].eqNullSafe(wanted["rep"])).select(docs[text_col].alias("t"), "in")
-    return held.mapInArrow(tidy(run), "gid string, class_id long, grams binary")
+    wanted = cut(members.groupBy("rep").agg(F.collect_set(F.struct("gid", "class_id")).alias("in")))
+    texts = docs.join(broadcast_if_small(wanted, 500_000), docs[id_col].eqNullSafe(wanted["rep"])).select(docs[text_col].alias("t"), "in")
+    return texts.mapInArrow(tidy(run), "gid string, class_id long, grams binary")
 
 
-def _split_groups(held: Held, members: DataFrame, most: int, grams: int) -> DataFrame:
+def _split_groups(members: DataFrame, most: int, grams: int) -> DataFrame:
     """members(gid, class_id, rep, n) with large groups dealt into parts of about `most` sets or `grams` n-grams; groups of one go."""
     sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("__k"), F.sum("n").alias("__n")).where("__k > 1")
-    sizes = held(sizes.select(F.col("gid").alias("__gid"), F.ceil(F.greatest(F.col("__k") / most, F.col("__n") / grams)).alias("__parts")))
+    sizes = cut(sizes.select(F.col("gid").alias("__gid"), F.ceil(F.greatest(F.col("__k") / most, F.col("__n") / grams)).alias("__parts")))
     part = F.pmod(F.xxhash64("class_id"), F.col("__parts"))
     return members.join(broadcast_if_small(sizes), F.col("gid") == F.col("__gid")).select(F.concat_ws("-", "gid", part).alias("gid"), "class_id", "rep", "n")
 
@@ -330,26 +330,43 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", n: i
                 cells = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(b"".join(sketches), "i8")), WIDE // 64).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(anchors, pa.int64()), cells, lists], ["doc_id", "n", "class_id", "anchor", "sketch", "head"])
 
-    all_rows = settle(docs.mapInArrow(tidy(begin), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class_id long, anchor long, sketch array<long>, head array<long>"))
-    classes = all_rows.where("class_id is not null").groupBy("class_id").agg(F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.first("sketch").alias("sketch"), F.first("head").alias("head"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-
-    branches = classes.select(F.col("anchor").cast("string").alias("gid"), "class_id", "rep", "n")
+    rows = docs.mapInArrow(tidy(begin), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class_id long, anchor long, sketch array<long>, head array<long>")
+    all_rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
     with Held() as held:
 
         def look_up(members: DataFrame) -> DataFrame:
-            return _links_in_groups(_with_sets(held, docs, members, "doc_id", "text", n, levels), percent)
+            return _links_in_groups(_with_sets(docs, members, "doc_id", "text", n, levels), percent)
 
-        classes = held(classes)
-        edges = held.cut(look_up(_split_groups(held, branches, most, grams)))
+        copied = _copied(all_rows)
+        classes = _classes(held, all_rows, copied)
+        branches = classes.select(F.col("anchor").cast("string").alias("gid"), "class_id", "rep", "n")
+        edges = cut(look_up(_split_groups(branches, most, grams)))
         known = components(edges)
         posts = held(_open_posts(held, classes, known, percent))
         for last in (False, True):
-            pairs = held.cut(_open_pairs(posts, known, percent, last))
-            pairs = held.cut(_overlapping(held.cut(_near(pairs, classes, percent)), classes, percent))
+            pairs = cut(_open_pairs(posts, known, percent, last))
+            pairs = cut(_overlapping(cut(_near(pairs, classes, percent)), classes, percent))
             if pairs.limit(1).count():
-                edges = edges.unionAll(held.cut(look_up(_pair_groups(held, pairs, most))))
+                edges = edges.unionAll(cut(look_up(_pair_groups(pairs, most))))
                 known = components(edges)
-        return _label(held, all_rows, classes, known)
+        return _label(all_rows, classes, copied, known)
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    """class_id, kept, rep of each class of several rows: the row that stands for it, of the smallest doc_id, and that doc_id."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    found = rows.where("class_id is not null").groupBy("class_id").agg(first, F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return cut(found.select("class_id", F.col("first.row").alias("kept"), F.col("first.doc_id").alias("rep")))
+
+
+def _classes(held: Held, rows: DataFrame, copied: DataFrame, most: int = 500_000) -> DataFrame:
+    """class_id, n, anchor, sketch, head, rep: a row of each class. Rows stay where they are while few classes have copies;
+    otherwise Spark picks the join, and its result is kept."""
+    few = copied.limit(most + 1).count() <= most
+    of = copied.select(F.col("class_id").alias("__class"), "kept")
+    joined = rows.where("class_id is not null").join(F.broadcast(of) if few else of, F.col("class_id") == F.col("__class"), "left").where("kept is null or kept = row")
+    found = joined.select("class_id", "n", "anchor", "sketch", "head", F.col("doc_id").alias("rep"))
+    return found if few else held(found)
 
 
 def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -376,10 +393,10 @@ def _open_posts(held: Held, classes: DataFrame, known: DataFrame, percent: int)
     posts = posts.select("class_id", "n", *[f"s{i}" for i in range(CELLS // 64)], "c", "many", F.posexplode("head").alias("at", "gram"))
     posts = posts.withColumn("lead", F.col("at") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)))
     state = posts.groupBy("gram").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max("many").alias("m"), F.max("lead").alias("lead"))
-    grams = held.cut(state.where("a <> b and lead").select(F.col("gram").alias("__gram"), "m"))
+    grams = cut(state.where("a <> b and lead").select(F.col("gram").alias("__gram"), "m"))
     posts = held(posts.drop("c", "many").join(broadcast_if_small(grams, 2_000_000), F.col("gram") == F.col("__gram")).drop("__gram"))
     sizes = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    apart = held.cut(sizes.where((F.col("k") == 2) & (F.col("lo") * 100 < F.col("hi") * percent)).select(F.col("gram").alias("__gram")))
+    apart = cut(sizes.where((F.col("k") == 2) & (F.col("lo") * 100 < F.col("hi") * percent)).select(F.col("gram").alias("__gram")))
     return posts.join(broadcast_if_small(apart, 2_000_000), F.col("gram") == F.col("__gram"), "left_anti")
 
 
@@ -430,22 +447,22 @@ def _overlapping(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return pairs.join(both.select("x", "y"), ["x", "y"])
 
 
-def _pair_groups(held: Held, pairs: DataFrame, most: int) -> DataFrame:
+def _pair_groups(pairs: DataFrame, most: int) -> DataFrame:
     """members(gid, class_id, rep): each x with the sets it is to be compared with, dealt into groups of about `most`."""
-    parts = held(pairs.groupBy(F.col("x").alias("__x")).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")))
+    parts = cut(pairs.groupBy(F.col("x").alias("__x")).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")))
     dealt = pairs.join(broadcast_if_small(parts), F.col("x") == F.col("__x")).withColumn("gid", F.concat_ws("-", "x", F.pmod(F.xxhash64("y"), F.col("__parts"))))
     own = dealt.select("gid", F.col("x").alias("class_id"), F.col("x_rep").alias("rep")).distinct()
     return own.unionAll(dealt.select("gid", F.col("y").alias("class_id"), F.col("y_rep").alias("rep")))
 
 
-def _label(held: Held, rows: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
+def _label(rows: DataFrame, classes: DataFrame, copied: DataFrame, known: DataFrame) -> DataFrame:
     """Only classes of several documents or sets need a look-up; any other document is its own component."""
     of = known.select(F.col("node").alias("__node"), "component")
-    named = classes.select("class_id", "rep", "copies").join(of, F.col("class_id") == F.col("__node"), "left").where("copies > 1 or component is not null")
-    named = held(named.select("class_id", "rep", F.coalesce("component", "class_id").alias("c")))
-    least = held(named.groupBy(F.col("c").alias("__c")).agg(F.min("rep").alias("component_id")))
-    parts = max(1, -(-named.count() // 200_000))
-    labels = settle(named.join(least, F.col("c") == F.col("__c")).select(F.col("class_id").alias("__class"), "component_id").coalesce(parts))
+    linked = classes.select("class_id", "rep").join(broadcast_if_small(of, 500_000), F.col("class_id") == F.col("__node")).select("class_id", "rep", F.col("component").alias("c"))
+    alone = copied.join(of, F.col("class_id") == F.col("__node"), "left_anti").select("class_id", "rep", F.col("class_id").alias("c"))
+    named = cut(linked.unionAll(alone))
+    least = cut(named.groupBy(F.col("c").alias("__c")).agg(F.min("rep").alias("component_id")))
+    labels = cut(named.join(least, F.col("c") == F.col("__c")).select(F.col("class_id").alias("__class"), "component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class_id").join(broadcast_if_small(labels, 500_000), F.col("class_id") == F.col("__class"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id")
 

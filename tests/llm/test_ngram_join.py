@@ -1,10 +1,13 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import ngram_join as J
+from quarry.llm.common import Held, settle
 
 
 def words(text):
@@ -92,3 +95,36 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in J.similar_documents(df).collect())
     assert got == [(-1, 0, -1), (-1, 2, 7), (3, 2, 3), (7, 2, 3), (7, 2, 7)]
     assert J.similar_documents(df.limit(0)).count() == 0
+
+
+def left_behind(spark):
+    """Bytes of shuffle files on the session's disks."""
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    return {f: f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    before = set(left_behind(spark))
+    got = settle(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert set(left_behind(spark)) <= before
+    assert got.count() == 7
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(200)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string")
+    before = set(left_behind(spark))
+    out = J.similar_documents(df)
+    assert sum(size for f, size in left_behind(spark).items() if f not in before) < 100 * len(texts)  # a set's beginning and sketch alone are 500
+    assert out.where("component_id < doc_id").count() == 20
+
+
+def test_classes_with_and_without_broadcast(spark):
+    rows = spark.createDataFrame([(5, 1, 9), (3, 2, 9), (None, 3, 9), (3, 4, 9), (8, 5, 7), (None, 6, 6), (None, 7, 6), (1, 8, None)], "doc_id long, row long, class_id long")
+    rows = rows.selectExpr("*", "2L as n", "0L as anchor", "array(class_id) as sketch", "array(row) as head")
+    copied = J._copied(rows)
+    assert sorted(map(tuple, copied.collect()), key=str) == [(6, 6, None), (9, 2, 3)]
+    for most in (500_000, 0):
+        with Held() as held:
+            got = J._classes(held, rows, copied, most)
+            assert sorted((r.class_id, r.head[0], r.rep or -1) for r in got.collect()) == [(6, 6, -1), (7, 5, 8), (9, 2, 3)]
+            assert most == 0 or "Exchange hashpartitioning" not in got._jdf.queryExecution().toString()
